@@ -91,3 +91,53 @@ def ranked(frame: DataFrame, group: list[str], order: list[str], spread: Column,
     same = [inner[g].eqNullSafe(totals[f"{g}_t_"]) for g in group] + [inner["bucket_"] == totals["bucket_"]]
     joined = inner.join(totals, same).withColumns({"rank": (F.col("rank") + F.col("n_")).cast("long"), "before": (F.col("before") + F.col("sum_")).cast("long")})
     return joined.select(*frame.columns, "rank", "before")
+
+
+def tile_groups(rows: DataFrame, key: str, item: Column, size: int, cell: Column | None = None, reach: int = 0) -> DataFrame:
+    """Adds gid and side, so that rows of one gid can be compared in one task. A key of at most size rows is one gid
+    (side 2: all of it). A larger one is cut into tiles within cells (ints; only cells at most reach apart are
+    compared) and a row goes once to every pair of tiles that it is part of (sides 0 and 1, or 2 within one tile)."""
+    rows = rows.withColumn("cell_", (F.lit(0) if cell is None else cell).cast("int"))
+    cells = cut(rows.groupBy(key, "cell_").agg(F.count("*").alias("n_")))
+    whole = Window.partitionBy(key)
+    tiles = F.ceil(F.col("n_") / size).cast("int")
+    info = cells.select(key, "cell_", "n_", tiles.alias("tiles_"), F.sum("n_").over(whole).alias("all_"), F.map_from_entries(F.collect_list(F.struct("cell_", tiles)).over(whole)).alias("map_")).filter("all_ > 1")
+    alone, rest = info.filter(F.col("all_") <= size).select(key).distinct(), info.filter(F.col("all_") > size)
+    small = rows.join(alone, key, "left_semi").select(*rows.columns, F.xxhash64(F.col(key)).alias("gid"), F.lit(2).alias("side"))
+    large = rows.join(rest, [key, "cell_"]).withColumn("tile_", F.pmod(F.xxhash64(item), F.col("tiles_")).cast("int"))
+    mine = F.struct(F.col("cell_").alias("c"), F.col("tile_").alias("t"))
+    others = F.flatten(F.transform(F.filter(F.sequence(F.col("cell_") - reach, F.col("cell_") + reach), lambda c: F.map_contains_key("map_", c)), lambda c: F.transform(F.sequence(F.lit(0), F.element_at("map_", c) - 1), lambda t: F.struct(c.alias("c"), t.alias("t")))))
+    pair = lambda o: F.struct(F.xxhash64(F.col(key), F.least(mine, o)["c"], F.least(mine, o)["t"], F.greatest(mine, o)["c"], F.greatest(mine, o)["t"]).alias("gid"), F.when(mine == o, 2).when(mine < o, 0).otherwise(1).alias("side"))
+    large = large.withColumn("to_", F.explode(F.transform(others, pair))).select(*rows.columns, "to_.gid", "to_.side")
+    return small.unionByName(large).drop("cell_")
+
+
+def in_groups(batches, gid: int = 0):
+    """Of Arrow batches sorted by gid, tables that hold whole groups; a group that a batch cuts is carried over."""
+    import numpy as np
+    import pyarrow as pa
+
+    held: list = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        ids = batch.column(gid).to_numpy()
+        if held and held[-1].column(gid)[-1].as_py() != ids[0]:
+            yield pa.Table.from_batches(held)
+            held = []
+        if ids[0] == ids[-1]:
+            held.append(batch)
+            continue
+        last = len(ids) - int(np.argmax(ids[::-1] != ids[-1]))
+        held.append(batch.slice(0, last))
+        yield pa.Table.from_batches(held)
+        held = [batch.slice(last)]
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def keep_rows(docs: DataFrame, decide) -> DataFrame:
+    """The rows of docs, with all their columns, whose row ids decide(docs with sightline_row) returns as row_id."""
+    kept = cut(docs.withColumn("sightline_row", F.monotonically_increasing_id()))
+    stay = decide(kept).select(F.col("row_id").alias("stay_"))
+    return kept.join(stay, kept["sightline_row"] == F.col("stay_"), "left_semi").select(*docs.columns)

@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WHITE, cut, heavy_join
+from .common import WHITE, cut, heavy_join, keep_rows
 
 #: Rows of one group that meet the text that stays in one task.
 SALT_ROWS = 2000
@@ -26,14 +26,15 @@ def normalised(text: Column) -> Column:
     return F.translate(F.coalesce(text, F.lit("")), WHITE, "")
 
 
-def _entries(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def _entries(docs: DataFrame, id_col: str, text_col: str, row: Column | None = None) -> DataFrame:
     text = F.coalesce(F.col(text_col), F.lit(""))
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.length(text).alias("points"), normalised(F.col(text_col)).alias("norm")).withColumn("digest", F.unhex(F.sha2(F.encode("norm", "UTF-8"), 256)))
+    row = F.monotonically_increasing_id() if row is None else row
+    return docs.select(row.alias("row_id"), F.col(id_col).cast("long").alias("doc_id"), F.length(text).alias("points"), normalised(F.col(text_col)).alias("norm")).withColumn("digest", F.unhex(F.sha2(F.encode("norm", "UTF-8"), 256)))
 
 
-def flush_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def flush_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", row_col: str | None = None) -> DataFrame:
     """One sorted, filtered run for each memtable: row_id, doc_id, points, digest."""
-    entries = _entries(docs, id_col, text_col).select(F.monotonically_increasing_id().alias("row_id"), "doc_id", "points", "digest")
+    entries = _entries(docs, id_col, text_col, row_col and F.col(row_col)).select("row_id", "doc_id", "points", "digest")
     return cut(entries, sort_by="digest", **FILTER)
 
 
@@ -54,35 +55,25 @@ def unequal(docs: DataFrame, index: DataFrame, id_col: str = "doc_id", text_col:
     return salted.join(keepers, ["digest", "salt"]).filter("norm <> kept_norm").select("digest").distinct()
 
 
-def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row for each row of docs: doc_id, keep_id, group_size, kept, text_sha256."""
-    runs = flush_runs(docs, id_col, text_col)
+def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", row_col: str | None = None) -> DataFrame:
+    """One row for each row of docs: doc_id, keep_id, group_size, kept, text_sha256, row_id (row_col, if given)."""
+    runs = flush_runs(docs, id_col, text_col, row_col)
     index = compact(runs)
     total = runs.count()
     wrong = cut(unequal(docs, index, id_col, text_col))
     found = heavy_join(runs, index, "digest", F.col("group_size"), total)
-    result = found.select("doc_id", F.col("keep.i").alias("keep_id"), "group_size", (F.col("row_id") == F.col("keep.r")).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"))
+    result = found.select("doc_id", F.col("keep.i").alias("keep_id"), "group_size", (F.col("row_id") == F.col("keep.r")).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"), "row_id")
     if wrong.isEmpty():
         return result
     # Different bytes under one digest: those few digests are grouped by the bytes themselves.
-    again = _entries(docs, id_col, text_col).join(F.broadcast(wrong), "digest").withColumn("row_id", F.monotonically_increasing_id())
+    again = _entries(docs, id_col, text_col, row_col and F.col(row_col)).join(F.broadcast(wrong), "digest")
     again = cut(again)
     rank = F.struct((-F.col("points")).alias("p"), F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("i"), F.col("row_id").alias("r"))
     groups = again.groupBy("digest", "norm").agg(F.min(rank).alias("keep"), F.count("*").alias("group_size"))
-    split = again.join(groups, ["digest", "norm"]).select("doc_id", F.col("keep.i").alias("keep_id"), "group_size", (F.col("row_id") == F.col("keep.r")).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"))
+    split = again.join(groups, ["digest", "norm"]).select("doc_id", F.col("keep.i").alias("keep_id"), "group_size", (F.col("row_id") == F.col("keep.r")).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"), "row_id")
     return result.join(F.broadcast(wrong.select(F.lower(F.hex("digest")).alias("text_sha256"))), "text_sha256", "left_anti").select(*split.columns).unionByName(split)
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs that stay, with all their columns; of rows that repeat wholly, one."""
-    stays = exact_dedup(docs, id_col, text_col).filter("kept").select(F.col("keep_id").alias("id_"), F.unhex("text_sha256").alias("digest_"))
-    marked = docs.withColumns({"id_": F.col(id_col).cast("long"), "digest_": F.unhex(F.sha2(F.encode(normalised(F.col(text_col)), "UTF-8"), 256)), "points_": F.length(F.coalesce(F.col(text_col), F.lit("")))})
-    kept = marked.join(stays.withColumnRenamed("id_", "keep_").withColumnRenamed("digest_", "of_"), F.col("id_").eqNullSafe(F.col("keep_")) & (F.col("digest_") == F.col("of_")), "left_semi")
-    twice = cut(kept.groupBy("id_", "digest_").agg(F.count("*").alias("n"), F.max("points_").alias("points_")).filter("n > 1").select("id_", "digest_", "points_"))
-    if twice.isEmpty():
-        return kept.select(*docs.columns)
-    names = twice.select(F.col("id_").alias("i2_"), F.col("digest_").alias("d2_"), F.col("points_").alias("p2_"))
-    same = F.col("id_").eqNullSafe(F.col("i2_")) & (F.col("digest_") == F.col("d2_"))
-    once = kept.join(names, same, "left_anti")
-    rest = kept.join(names, same & (F.col("points_") == F.col("p2_")), "left_semi").dropDuplicates(["id_", "digest_"])
-    return once.unionByName(rest).select(*docs.columns)
+    return keep_rows(docs, lambda d: exact_dedup(d, id_col, text_col, "sightline_row").filter("kept"))

@@ -8,6 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import exact_dedup as _exact
+from . import mixing as _mixing
+from . import packing as _packing
+from . import simhash as _simhash
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -17,7 +20,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _exact.exact_dedup(table(spark, sf_dir, "documents"))
+    return _exact.exact_dedup(table(spark, sf_dir, "documents")).drop("row_id")
 
 
 OP1_SQL = r"""
@@ -30,9 +33,43 @@ select doc_id, keep_id, group_size, kept, sha256(norm) as text_sha256 from r
 """
 
 
+def op2_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _mixing.taken_words(table(spark, sf_dir, "documents"))
+
+
+OP2_SQL = r"""
+with d as (select doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) as size,
+                  ('0x' || md5('mix:' || coalesce(doc_id::varchar, ''))[1:8])::bigint // 2 as spread from documents),
+s as (select source, sum(size)::bigint as source_size from d group by source),
+n as (select *, row_number() over (order by source nulls last) - 1 as rn from s),
+w as (select *, case rn % 3 when 0 then 5 when 1 then 2 else 1 end as w, 3 * source_size as cap from n),
+f as (select *, cap::double / w as ratio, sum(source_size) over () as total from w),
+v as (select *, (total - coalesce(sum(cap) over (order by ratio, rn rows between unbounded preceding and 1 preceding), 0))::double
+             / sum(w) over (order by ratio, rn rows between current row and unbounded following) as level from f),
+l as (select level from v where level <= ratio order by ratio, rn limit 1),
+t as (select source, source_size, least(w * l.level, cap::double) as target, floor(least(w * l.level, cap::double))::bigint as goal from v, l),
+o as (select doc_id, size, source_size, target, goal, coalesce(sum(size) over (partition by d.source
+             order by spread, doc_id nulls last, size rows between unbounded preceding and 1 preceding), 0)::bigint as before
+      from d join t on d.source is not distinct from t.source)
+select doc_id, size::bigint as size, source_size, round(target, 6) as target,
+       (greatest(0, least(before + size, goal) - before)
+        + greatest(0, least(source_size + before + size, goal) - source_size - before)
+        + greatest(0, least(2 * source_size + before + size, goal) - 2 * source_size - before))::bigint as taken from o
+"""
+
+
+def op3_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = _simhash.simhash(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _packing.pack(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Query]:
-    return {"op1_exact_dedup": op1_exact_dedup}
+    return {"op1_exact_dedup": op1_exact_dedup, "op2_source_mix": op2_source_mix, "op3_simhash_near_dedup": op3_simhash_near_dedup, "op9_best_fit_packing": op9_best_fit_packing}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_exact_dedup": OP1_SQL}
+    return {"op1_exact_dedup": OP1_SQL, "op2_source_mix": OP2_SQL}
