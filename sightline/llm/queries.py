@@ -7,10 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import embedding_dedup as _embedding
 from . import exact_dedup as _exact
+from . import language_id as _language
+from . import license_scan as _license
 from . import mixing as _mixing
 from . import packing as _packing
+from . import quality as _quality
 from . import simhash as _simhash
+from . import suffix_dedup as _suffix
+from . import url_filter as _url
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -63,12 +69,47 @@ def op3_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _license.license_scan(table(spark, sf_dir, "documents"))
+
+
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _language.language_id(table(spark, sf_dir, "documents"))
+
+
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _quality.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op7_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _embedding.embedding_dedup(table(spark, sf_dir, "embeddings"))
+
+
+def op8_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _suffix.suffix_dedup(table(spark, sf_dir, "documents"))
+
+
 def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _url.judge(table(spark, sf_dir, "pages"))
+
+
 def queries() -> dict[str, Query]:
-    return {"op1_exact_dedup": op1_exact_dedup, "op2_source_mix": op2_source_mix, "op3_simhash_near_dedup": op3_simhash_near_dedup, "op9_best_fit_packing": op9_best_fit_packing}
+    return {
+        "op1_exact_dedup": op1_exact_dedup,
+        "op2_source_mix": op2_source_mix,
+        "op3_simhash_near_dedup": op3_simhash_near_dedup,
+        "op4_license_scan": op4_license_scan,
+        "op5_language_id": op5_language_id,
+        "op6_quality": op6_quality,
+        "op7_embedding_near_dedup": op7_embedding_near_dedup,
+        "op8_repeated_passages": op8_repeated_passages,
+        "op9_best_fit_packing": op9_best_fit_packing,
+        "op10_url_filter": op10_url_filter,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
