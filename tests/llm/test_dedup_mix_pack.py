@@ -141,7 +141,7 @@ def test_simhash_components(spark):
             least[of[fp(t)]] = min(i, least.get(of[fp(t)], i))
     assert len(got) == len(rows)
     for r in got:
-        assert r.component_id == least[of[r.fp & (1 << 64) - 1]]
+        assert r.component_id == least.get(of[r.fp & (1 << 64) - 1])  # null where the group has null ids alone
     assert simhash.keep_one(frame(spark, rows)).count() == len(set(of.values()))
 
 
