@@ -32,6 +32,15 @@ def cut(frame: DataFrame, sort_by: str | None = None, **options: str) -> DataFra
     return spark.read.schema(frame.schema).parquet(path)
 
 
+def held(frame: DataFrame) -> DataFrame:
+    """A frame computed once, as a checkpoint, which Spark removes when nothing refers to it any more (where
+    spark.cleaner.referenceTracking.cleanCheckpoints is set): for copies of whole texts within one stage."""
+    spark = frame.sparkSession
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(shared_dir(spark))
+    return frame.checkpoint()
+
+
 def fine_buckets(rows: int, size: int = 4096) -> int:
     """A power of two: buckets of about so many rows each."""
     n = 1
@@ -138,6 +147,6 @@ def in_groups(batches, gid: int = 0):
 
 def keep_rows(docs: DataFrame, decide) -> DataFrame:
     """The rows of docs, with all their columns, whose row ids decide(docs with sightline_row) returns as row_id."""
-    kept = cut(docs.withColumn("sightline_row", F.monotonically_increasing_id()))
+    kept = held(docs.withColumn("sightline_row", F.monotonically_increasing_id()))
     stay = decide(kept).select(F.col("row_id").alias("stay_"))
     return kept.join(stay, kept["sightline_row"] == F.col("stay_"), "left_semi").select(*docs.columns)

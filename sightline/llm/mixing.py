@@ -17,7 +17,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, cut, heavy_join, ranked
+from .common import WORD, cut, heavy_join, held, ranked
 
 WEIGHTS = (5, 2, 1)
 REPEATS = 3
@@ -111,7 +111,7 @@ def taken_words(docs: DataFrame, **how) -> DataFrame:
 def mixed(docs: DataFrame, **how) -> DataFrame:
     """The documents of the mix with the columns of docs: a row for each time a document is taken, the text cut after
     the words taken where a source ends."""
-    kept = cut(docs.withColumn("mix_row_", F.monotonically_increasing_id()))
+    kept = held(docs.withColumn("mix_row_", F.monotonically_increasing_id()))
     m = mix(kept.select(F.col("mix_row_").alias("row_id"), "doc_id", "source", "text"), **how)
     times = m.pieces.groupBy("row_id", "epoch").agg(F.sum("words").alias("mix_words_")).join(m.rows.select("row_id", F.col("size").alias("mix_size_")), "row_id")
     whole = F.col("mix_words_") >= F.col("mix_size_")
