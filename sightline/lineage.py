@@ -14,3 +14,12 @@ def settled(frame: DataFrame) -> DataFrame:
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(frame.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="sightline-"))
     return frame.checkpoint()
+
+
+def shared_folder(spark) -> str:
+    """Where tables that executors and driver share may be written: the checkpoint folder."""
+    known = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if known is None:
+        known = tempfile.mkdtemp(prefix="sightline-")
+        spark.conf.set("spark.checkpoint.dir", known)
+    return known.rstrip("/")

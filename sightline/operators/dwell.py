@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .spans import stationarity
-from .tracking import overlaps, tracked
+from .tracking import by_frame, overlaps, tracked
 
 EVENTS = "source string, segment long, start_mono double, end_mono double, start_frame long, end_frame long, primary_track_id string, track_ids array<string>, n_detections long, multi boolean, ambiguous boolean, near_miss boolean, stationary_duration_s double, dwell_duration_s double, confidence double"
 IDLE, WATCHING, CANDIDATE = "idle", "watching", "candidate"
@@ -137,12 +137,15 @@ def _fold(settings: Settings):
     def run(pdf):
         import pandas as pd
 
+        pdf = pdf.sort_values(["frame_idx", "det_rank"], kind="stable")
+        boxes, mono, active = pdf[["x1", "y1", "x2", "y2"]].to_numpy(float), pdf["mono_ts"].to_numpy(float), pdf["n_active"].to_numpy()
+        postures = list(zip(*(pdf[c].tolist() for c in ("track_id", "span_s", "motion_px", "window_start", "stationary")), strict=True))
+        real = ~np.isnan(boxes[:, 0])
         machine, out = Machine(settings), []
-        for number, rows in pdf.groupby("frame_idx", sort=True):
-            real = rows[rows["x1"].notna()].sort_values("det_rank")
-            own = real[real["track_id"].notna()]
-            current = [Posture(r.track_id, r.span_s, r.motion_px, r.window_start, bool(r.stationary)) for r in sorted(own.itertuples(), key=lambda r: track_order(r.track_id))]
-            out += machine.frame(float(rows["mono_ts"].iloc[0]), int(number), real[["x1", "y1", "x2", "y2"]].to_numpy(float), current, int(rows["n_active"].iloc[0]))
+        for number, rows in by_frame(pdf):
+            here = np.flatnonzero(real[rows]) + rows.start
+            current = sorted((Posture(*postures[i]) for i in here if postures[i][0] is not None), key=lambda p: track_order(p.track))
+            out += machine.frame(float(mono[rows.start]), number, boxes[here], current, int(active[rows.start]))
         out += machine.flush()
         names = [f.split()[0] for f in EVENTS.split(", ")]
         found = pd.DataFrame(out, columns=names[2:])

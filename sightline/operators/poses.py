@@ -11,14 +11,17 @@ from .gates import best_per_frame
 
 
 def frame_features(poses: DataFrame, min_conf: float = 0.5, min_torso: int = 3) -> DataFrame:
-    """poses (points, crop_bbox, mono_ts, ...) that have enough torso points and a scale, with scale, quality, the
+    """poses (points, crop_bbox, mono_ts, ...) that have enough torso points, with scale (null: not usable), quality, the
     features of the frame, and the centroid."""
+    # roles, lengths and lines are plain columns of their own: written out in every feature, the expression would grow
+    # without bound
     points = F.col("points")
-    scaled = poses.filter(posture.torso_count(points, min_conf) >= min_torso).withColumn("s_", posture.body_scale(points, min_conf, F.col("crop_bbox")))
-    scaled = scaled.withColumns({"scale": F.col("s_.scale"), "quality": F.col("s_.quality")}).drop("s_").filter("scale > 0")
-    # roles and lines are columns of their own: written out in every feature, the expression would grow without bound
-    found = scaled.withColumn("r_", posture.roles(points, min_conf)).withColumn("l_", posture.lines(F.col("r_")))
-    return found.withColumns(posture.frame_posture(F.col("r_"), F.col("l_"), F.col("scale")) | {"centroid": posture.torso_centroid(points, min_conf)}).drop("r_", "l_")
+    roles, lengths, lines = posture.role_columns(points, min_conf), posture.length_columns(), posture.line_columns()
+    found = poses.filter(posture.torso_count(points, min_conf) >= min_torso).withColumns(roles).withColumns(lengths)
+    found = found.withColumns(posture.scale_columns(F.col("crop_bbox"))).withColumns(lines)
+    # without a scale a row keeps its place with null features: a filter would be pushed below, and written out, too
+    made = posture.frame_posture(F.col("scale")) | {"centroid": posture.torso_centroid(points, min_conf)}
+    return found.withColumns({n: F.when(F.col("scale").isNotNull(), c) for n, c in made.items()}).drop(*roles, *lengths, *lines)
 
 
 def window_features(poses: DataFrame, keys: list[str], min_conf: float = 0.5, min_frames: int = 3, min_coverage: float = 0.5, min_torso: int = 3, order: str = "mono_ts") -> DataFrame:
@@ -26,13 +29,14 @@ def window_features(poses: DataFrame, keys: list[str], min_conf: float = 0.5, mi
     and whether to fall back to the boxes."""
     totals = poses.groupBy(*keys).agg(F.count("*").alias("n_frames_total"))
     rows = frame_features(poses, min_conf, min_torso)
+    at = F.when(F.col("scale").isNotNull(), F.col(order))
     base = rows.groupBy(*keys).agg(
-        F.count("*").alias("n_frames_valid"), (F.max(order) - F.min(order)).alias("dwell_duration_s"), F.percentile("scale", 0.5).alias("body_scale_px"),
+        F.count("scale").alias("n_frames_valid"), (F.max(at) - F.min(at)).alias("dwell_duration_s"), F.percentile("scale", 0.5).alias("body_scale_px"),
         F.max(F.when(F.col("quality") == "torso", "torso")).alias("q_"),
         *(F.percentile(f, 0.5).alias(f) for f in posture.FEATURES), *(F.count(f).alias(f"n_{f}") for f in posture.FEATURES),
         F.min("hip_offset_ratio").alias("hip_offset_min"), F.max("hip_offset_ratio").alias("hip_offset_max"),
-        F.count("centroid").alias("n_centroid_motion_ratio"), F.min_by("centroid", order).alias("origin"),
-    )
+        F.count("centroid").alias("n_centroid_motion_ratio"), F.min_by("centroid", F.when(F.col("centroid").isNotNull(), F.col(order))).alias("origin"),
+    ).filter("n_frames_valid > 0")
     far = rows.select(*keys, "centroid").join(base.select(*keys, "origin"), keys)
     dx, dy = F.col("centroid.x") - F.col("origin.x"), F.col("centroid.y") - F.col("origin.y")
     far = far.groupBy(*keys).agg(F.max(F.sqrt(dx * dx + dy * dy)).alias("far_"))

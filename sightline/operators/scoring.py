@@ -35,7 +35,7 @@ def scored(frames: DataFrame, make: Callable[[], Callable], keep: list[str], sch
     kept = frames.select(*keep).schema
     for f in frames.sparkSession.createDataFrame([], schema).schema.fields:
         kept = kept.add(f)
-    return frames.mapInPandas(run, kept.add("det_rank", "int"))
+    return frames.mapInPandas(run, kept.add("det_rank", "integer"))
 
 
 def estimated(crops: DataFrame, make: Callable[[], Callable], keep: list[str], schema: str, batch: int = 32) -> DataFrame:

@@ -6,6 +6,7 @@ exact cut: each burst between cuts is tracked by itself, and its track numbers a
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -90,16 +91,28 @@ def segmented(frames: DataFrame, detections: DataFrame, max_age: int, min_confid
     return numbered.filter((F.col("segment") > 0) & (F.col("n_") - F.col("seen_") <= max_age + 1)).select(*frames.columns, "segment")
 
 
+def by_frame(pdf) -> Iterator[tuple[int, slice]]:
+    """Of rows sorted by frame_idx: each frame and where its rows are."""
+    numbers = pdf["frame_idx"].to_numpy()
+    edges = [0, *(np.flatnonzero(np.diff(numbers)) + 1).tolist(), len(numbers)]
+    for a, b in zip(edges, edges[1:], strict=False):
+        if b > a:
+            yield int(numbers[a]), slice(a, b)
+
+
 def _kernel(make):
     def run(pdf):
         import pandas as pd
 
+        pdf = pdf.sort_values(["frame_idx", "det_rank"], kind="stable")
+        boxes, confidence = pdf[["x1", "y1", "x2", "y2"]].to_numpy(float), pdf["confidence"].to_numpy(float)
+        ranks, real = pdf["det_rank"].to_numpy(float), ~np.isnan(confidence)
         tracker, out = make(), []
-        for frame, rows in pdf.sort_values(["frame_idx", "det_rank"]).groupby("frame_idx", sort=True):
-            real = rows[rows["confidence"].notna()]
-            numbers = tracker.update(real[["x1", "y1", "x2", "y2"]].to_numpy(float), real["confidence"].to_numpy(float))
+        for frame, rows in by_frame(pdf):
+            here = real[rows]
+            numbers = tracker.update(boxes[rows][here], confidence[rows][here])
             active = len(tracker.numbers)
-            out += [(frame, int(r), int(n), tracker.born, active) for r, n in zip(real["det_rank"], numbers, strict=True) if n >= 0]
+            out += [(frame, int(r), int(n), tracker.born, active) for r, n in zip(ranks[rows][here], numbers, strict=True) if n >= 0]
             out.append((frame, -1, 0, tracker.born, active))  # the frame itself
         found = pd.DataFrame(out, columns=["frame_idx", "det_rank", "track_no", "births", "n_active"])
         found.insert(0, "segment", pdf["segment"].iloc[0])

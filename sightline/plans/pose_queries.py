@@ -47,7 +47,7 @@ def line_sql(x: str, y: str) -> str:
 
 
 def angle_sql(ax: str, ay: str, bx: str, by: str) -> str:
-    return f"degrees(acos(greatest(-1, least(1, (({ax})*({bx}) + ({ay})*({by})) / (sqrt(({ax})**2 + ({ay})**2) * sqrt(({bx})**2 + ({by})**2))))))"
+    return f"case when ({ax})*({bx}) is not null then degrees(acos(greatest(-1, least(1, (({ax})*({bx}) + ({ay})*({by})) / (sqrt(({ax})**2 + ({ay})**2) * sqrt(({bx})**2 + ({by})**2)))))) end"
 
 
 PAW_X, PAW_Y = "case when lx is null then rx else (lx+rx)/2 end", "case when ly is null then ry else (ly+ry)/2 end"
