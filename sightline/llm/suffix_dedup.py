@@ -7,10 +7,10 @@ Ranking all suffixes at every byte would sort some fourteen times the corpus, so
    equal windows have equal anchors at equal offsets. The windows of one anchor form a run. Tasks keep, of equal
    stretches (anchor and all bytes of its run), those of the least id, and mark the rest as repeated; what is left
    meets by anchor hash, packed in blocks, and the same is done across tasks.
-2. Prefix doubling. Anchors that meet in different stretches leave positions in doubt. These are ranked by their first
-   LENGTH / 2 bytes with a distributed sort; positions whose rank is unique are dropped, and the pairs of ranks at the
-   growing offset are sorted and ranked again, until LENGTH is reached. A position whose final rank also has a smaller
-   id is repeated.
+2. Growing ranks. Anchors that meet in different stretches leave windows in doubt. Spark deals and sorts these by the
+   bytes that a third of an anchor's windows share (its rank at some 40 bytes), drops those that are alone, and ranks
+   the rest again by pairs of that rank and the bytes by which each window is longer, at LENGTH. A window whose last
+   rank also has a smaller id is repeated.
 
 Defined cases: a null text is empty; a null id counts as the largest; rows of one id never remove each other's bytes;
 rows that repeat get equal results; an empty table gives an empty result; other columns are ignored.
@@ -21,16 +21,18 @@ from __future__ import annotations
 import hashlib
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, heavy_join, in_groups
+from .common import cut, in_groups
 
 LENGTH, GRAM, SEED = 50, 20, 5
 LAST = (1 << 63) - 1
 #: Bytes of text hashed at once, of text whose anchors a task brings together, and of text for each block of anchors.
 SECTION, CHUNK, BLOCK = 1 << 19, 1 << 23, 1 << 23
-_ENTRY = (("h", "<u8"), ("c", "<u8"), ("doc", "<u4"), ("lo", "<u4"), ("span", "<u1"), ("off", "<u1"))
+_ENTRY = (("h", "<u8"), ("c", "<u8"), ("doc", "<u4"), ("lo", "<u4"), ("span", "<u1"), ("off", "<u1"), ("f0", "<u1"), ("f1", "<u1"), ("f2", "<u1"))
+#: Of the eight bytes of c, so many travel.
+_C_BYTES = 5
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -48,6 +50,11 @@ class Thinner:
         self.base = int(rng.integers(1 << 62, 1 << 63)) | 1
         self.powers = self.inverses = np.ones(1, np.uint64)
 
+    def parts(self) -> list[tuple[int, int]]:
+        """Offsets of an anchor in its windows, in three parts."""
+        cuts = [0, -(-self.width // 3), -(-2 * self.width // 3), self.width]
+        return [(a, b - 1) for a, b in zip(cuts, cuts[1:], strict=False)]
+
     def grow(self, n: int) -> None:
         if len(self.powers) < n:
             def powers(b: int) -> np.ndarray:
@@ -90,7 +97,11 @@ class Thinner:
         lo, hi, anchor, of = windows[heads], windows[tails], at[heads], doc[heads]
         stretch = (summed[hi + self.length] - summed[lo]) * self.powers[lo]
         shape = (hi - lo).astype(np.uint64) * np.uint64(256) + (anchor - lo).astype(np.uint64)
-        return {"h": hashes[anchor], "c": _mix(stretch ^ _mix(shape + np.uint64(1))), "doc": docs[of].astype("<u4"), "lo": (lo - starts[of]).astype("<u4"), "span": (hi - lo).astype("<u1"), "off": (anchor - lo).astype("<u1")}
+        marks = {}
+        for k, (near, far) in enumerate(self.parts()):  # bytes that all windows with near <= offset <= far share
+            a, b = np.maximum(anchor - near, 0), np.minimum(anchor - far + self.length, n)
+            marks[f"f{k}"] = (_mix((summed[np.maximum(a, b)] - summed[a]) * self.powers[a]) >> np.uint64(40)).astype("<u1")
+        return marks | {"h": hashes[anchor], "c": _mix(stretch ^ _mix(shape + np.uint64(1))), "doc": docs[of].astype("<u4"), "lo": (lo - starts[of]).astype("<u4"), "span": (hi - lo).astype("<u1"), "off": (anchor - lo).astype("<u1")}
 
 
 def least_of_equals(h: np.ndarray, c: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -110,7 +121,8 @@ def pack(entries: dict[str, np.ndarray], rid: np.ndarray, ids: np.ndarray) -> by
     parts = [np.array([len(used), len(doc)], "<i8").tobytes(), rid[used].tobytes(), ids[used].tobytes()]
     for k, kind in _ENTRY:
         column = (doc if k == "doc" else entries[k]).astype(kind)
-        parts.append(np.ascontiguousarray(column.view(np.uint8).reshape(len(column), -1).T).tobytes())
+        planes = column.view(np.uint8).reshape(len(column), -1).T
+        parts.append(np.ascontiguousarray(planes[:_C_BYTES] if k == "c" else planes).tobytes())
     return zstandard.ZstdCompressor(level=1).compress(b"".join(parts))
 
 
@@ -122,25 +134,26 @@ def unpack(block: bytes) -> tuple[dict[str, np.ndarray], np.ndarray, np.ndarray]
     rid, ids = np.frombuffer(raw, "<i8", n_docs, 16), np.frombuffer(raw, "<i8", n_docs, 16 + 8 * n_docs)
     at, entries = 16 + 16 * n_docs, {}
     for k, kind in _ENTRY:
-        size = np.dtype(kind).itemsize
-        planes = np.frombuffer(raw, np.uint8, n * size, at).reshape(size, n)
+        size, full = _C_BYTES if k == "c" else np.dtype(kind).itemsize, np.dtype(kind).itemsize
+        planes = np.zeros((full, n), np.uint8)
+        planes[:size] = np.frombuffer(raw, np.uint8, n * size, at).reshape(size, n)
         entries[k] = np.ascontiguousarray(planes.T).reshape(-1).view(kind)
         at += n * size
     return entries, rid, ids
 
 
 _THINNERS: dict[tuple, Thinner] = {}
-_SPANS = "block int, rid long, id long, lo long, hi long, data binary"
+_SPANS = "block int, rid long, id long, lo long, hi long, anchor long, data binary"
 
 
-def _spans(kind: int, rid, ids, lo, hi):
+def _spans(kind: int, rid, ids, lo, hi, anchor=None):
     import pyarrow as pa
 
     n = len(rid)
-    return pa.RecordBatch.from_arrays([pa.array(np.full(n, kind, np.int32)), pa.array(rid), pa.array(ids), pa.array(lo.astype(np.int64)), pa.array(hi.astype(np.int64)), pa.nulls(n, pa.binary())], names=["block", "rid", "id", "lo", "hi", "data"])
+    return pa.RecordBatch.from_arrays([pa.array(np.full(n, kind, np.int32)), pa.array(rid), pa.array(ids), pa.array(lo.astype(np.int64)), pa.array(hi.astype(np.int64)), pa.array((lo if anchor is None else anchor).astype(np.int64)), pa.nulls(n, pa.binary())], names=["block", "rid", "id", "lo", "hi", "anchor", "data"])
 
 
-#: Kinds of spans: repeated windows lo to hi, windows in doubt.
+#: Kinds of spans: repeated windows lo to hi; windows in doubt, of the first part of offsets, the second and so on.
 REPEATED, DOUBT = -1, -2
 
 
@@ -157,7 +170,7 @@ def _thin(length: int, gram: int, blocks: int):
         block = (found["h"][stay] >> np.uint64(32)).astype(np.int64) * blocks >> 32  # stay is in the order of h
         for b in np.unique(block):
             part = stay[np.searchsorted(block, b) : np.searchsorted(block, b, "right")]
-            yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), *(pa.array([0], pa.int64()) for _ in range(4)), pa.array([pack({k: v[part] for k, v in found.items()}, rid, ids)], pa.binary())], names=["block", "rid", "id", "lo", "hi", "data"])
+            yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), *(pa.array([0], pa.int64()) for _ in range(5)), pa.array([pack({k: v[part] for k, v in found.items()}, rid, ids)], pa.binary())], names=["block", "rid", "id", "lo", "hi", "anchor", "data"])
 
     def run(batches):
         thinner = _THINNERS.setdefault((length, gram), Thinner(length, gram))
@@ -196,7 +209,14 @@ def _thin(length: int, gram: int, blocks: int):
     return run
 
 
-def _meet(batches):
+def _meet(parts: list[tuple[int, int]]):
+    def run(batches):
+        yield from _met(batches, parts)
+
+    return run
+
+
+def _met(batches, parts):
     """All of one block: what repeats a smaller id's stretch, and what stays in doubt. Spans pass through."""
     def blocks():
         for batch in batches:  # sorted by block, spans first
@@ -209,7 +229,7 @@ def _meet(batches):
     for table in in_groups(blocks()):
         yield from passed
         passed.clear()
-        unpacked = [unpack(x) for x in table.column(5).to_pylist()]
+        unpacked = [unpack(x) for x in table.column(6).to_pylist()]
         h, c = (np.concatenate([u[0][k] for u in unpacked]) for k in ("h", "c"))
         rid = np.concatenate([u[1][u[0]["doc"]] for u in unpacked])
         ids = np.concatenate([u[2][u[0]["doc"]] for u in unpacked])
@@ -218,13 +238,22 @@ def _meet(batches):
         order, over, new = least_of_equals(h, c, ids)
         gone = order[over]
         yield _spans(REPEATED, rid[gone], ids[gone], lo[gone], lo[gone] + span[gone])
-        hs = h[order]
-        heads = np.flatnonzero(np.concatenate(([True], hs[1:] != hs[:-1])))
-        group = np.cumsum(np.concatenate(([True], hs[1:] != hs[:-1]))) - 1
-        kinds = np.add.reduceat(new.astype(np.int64), heads)
-        several = np.minimum.reduceat(ids[order], heads) != np.maximum.reduceat(ids[order], heads)
-        doubt = order[((kinds > 1) & several)[group] & ~over]
-        yield _spans(DOUBT, rid[doubt], ids[doubt], lo[doubt], lo[doubt] + span[doubt])
+        off = np.concatenate([u[0]["off"] for u in unpacked]).astype(np.int64)
+        stay = order[~over]  # one id for each stretch
+        for k, (near, far) in enumerate(parts):
+            first, last = np.maximum(near, off[stay] - span[stay]), np.minimum(far, off[stay])  # offsets within the run
+            mine = stay[first <= last]
+            mark = np.concatenate([u[0][f"f{k}"] for u in unpacked])
+            again = mine[np.lexsort((c[mine], mark[mine], h[mine]))]
+            if not len(again):
+                continue
+            fresh = np.concatenate(([True], (h[again][1:] != h[again][:-1]) | (mark[again][1:] != mark[again][:-1])))
+            heads, group = np.flatnonzero(fresh), np.cumsum(fresh) - 1
+            kinds = np.add.reduceat(np.concatenate(([1], ((c[again][1:] != c[again][:-1]) | fresh[1:]).astype(np.int64))), heads)
+            several = np.minimum.reduceat(ids[again], heads) != np.maximum.reduceat(ids[again], heads)
+            doubt = again[((kinds > 1) & several)[group]]
+            anchor = lo[doubt] + off[doubt]
+            yield _spans(DOUBT - k, rid[doubt], ids[doubt], np.maximum(lo[doubt], anchor - far), np.minimum(lo[doubt] + span[doubt], anchor - near), anchor)
     yield from passed
 
 
@@ -238,44 +267,49 @@ def _squeezed(batches):
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.binary())], names=["rid", "id", "data"])
 
 
-def _halves(length: int):
+_CORES = "rid long, id long, anchor long, lo long, hi long, part int, core binary, before binary, after binary"
+
+
+def _cores(length: int, parts: list[tuple[int, int]]):
+    """For each span in doubt: a digest of the bytes that all its windows share, and the few bytes around them."""
+
     def run(batches):
         import pyarrow as pa
         import zstandard
+        from xxhash import xxh3_128_digest
 
-        open_up, half = zstandard.ZstdDecompressor().decompress, length - length // 2
+        open_up = zstandard.ZstdDecompressor().decompress
         for batch in batches:
+            out: list[list] = [[] for _ in range(9)]
             for rid, i, data, spans in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 text = open_up(data) if data else b""
-                at = [p for s in spans for p in range(s["lo"], s["hi"] + 1)]
-                for k in range(0, len(at), 50_000):
-                    ps = at[k : k + 50_000]
-                    yield pa.RecordBatch.from_arrays([pa.array([rid] * len(ps), pa.int64()), pa.array([i] * len(ps), pa.int64()), pa.array(ps, pa.int64()), pa.array([text[p : p + half] for p in ps], pa.binary()), pa.array([text[p + length - half : p + length] for p in ps], pa.binary())], names=["rid", "id", "p", "first", "second"])
+                for s in spans:
+                    near, far = parts[s["part"]]
+                    a, b = s["anchor"] - near, s["anchor"] - far + length
+                    row = (rid, i, s["anchor"], s["lo"], s["hi"], s["part"], xxh3_128_digest(text[a:b]), text[max(0, a - far + near) : a], text[b : b + far - near])
+                    for column, x in zip(out, row, strict=True):
+                        column.append(x)
+            kinds = [pa.int64()] * 5 + [pa.int32()] + [pa.binary()] * 3
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], names=[f.split()[0] for f in _CORES.split(", ")])
 
     return run
 
 
-def doubled(positions: DataFrame) -> DataFrame:
-    """One step of prefix doubling: positions (rid, id, p, first, second: the bytes at p and at the offset) that share
-    both with others, as rid, id, p and the rank pair (r1, r2). Ranks are in the order of the bytes: distinct strings
-    that occur twice or more are sorted over the cluster and numbered along the sort."""
-    strings = positions.select(F.col("first").alias("s"), "id").unionByName(positions.select(F.col("second").alias("s"), "id"))
-    shared = strings.groupBy("s").agg(F.count("*").alias("n"), F.min("id").alias("a"), F.max("id").alias("b")).filter("a < b")
-    ranks = cut(shared.select("s", "n").sort("s").withColumn("rank", F.monotonically_increasing_id()))
-    total = ranks.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    for side, name in (("first", "r1"), ("second", "r2")):
-        found = heavy_join(positions.withColumnRenamed(side, "s"), ranks, "s", F.col("n"), total)
-        positions = found.drop("s", "n").withColumnRenamed("rank", name)
-    return positions.select("rid", "id", "p", "r1", "r2")
-
-
-def repeated_positions(positions: DataFrame) -> DataFrame:
-    """Of ranked pairs, the positions (rid, id, lo, hi) whose pair also has a smaller id."""
-    pairs = cut(doubled(positions).withColumn("pair", F.struct("r1", "r2")).drop("r1", "r2"))
-    ranks = pairs.groupBy("pair").agg(F.min("id").alias("least"), F.max("id").alias("most"), F.count("*").alias("n")).filter("least < most").drop("most")
-    ranks = cut(ranks)
-    total = ranks.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    return heavy_join(pairs, ranks, "pair", F.col("n"), total).filter("id > least").select("rid", "id", F.col("p").alias("lo"), F.col("p").alias("hi"))
+def repeated_positions(cores: DataFrame, parts: list[tuple[int, int]]) -> DataFrame:
+    """Of spans in doubt, the windows (rid, id, lo, hi) that also start in a document of a smaller id. Spans meet by the
+    shared bytes first, which drops those without a rival; what is left is ranked again by the bytes by which each
+    window is longer, in the same partitions."""
+    wide = F.element_at(F.array(*(F.lit(b - a) for a, b in parts)), F.col("part") + 1)
+    near = F.element_at(F.array(*(F.lit(a) for a, _ in parts)), F.col("part") + 1)
+    rivals = Window.partitionBy("core", "part")
+    met = cores.withColumns({"least": F.min("id").over(rivals), "most": F.max("id").over(rivals)}).filter("least < most")
+    each = met.withColumn("p", F.explode(F.sequence("lo", "hi"))).withColumn("extra", (F.col("anchor") - F.col("p") - near).cast("int"))
+    size = F.octet_length("before")
+    left = F.substring("before", size - F.col("extra") + 1, F.col("extra"))
+    right = F.substring("after", F.lit(1), (wide - F.col("extra")).cast("int"))
+    ranked = each.select("rid", "id", "p", "core", "part", "extra", left.alias("left"), right.alias("right"))
+    first = F.min("id").over(Window.partitionBy("core", "part", "extra", "left", "right"))
+    return ranked.withColumn("first", first).filter("id > first").select("rid", "id", F.col("p").alias("lo"), F.col("p").alias("hi"))
 
 
 def _removed(length: int):
@@ -312,12 +346,14 @@ def repeated_spans(texts: DataFrame, length: int = LENGTH, gram: int = GRAM) ->
     blocks = 1 + size // BLOCK
     thinned = texts.select("rid", "id", "text").mapInArrow(_thin(length, gram, blocks), _SPANS)
     dealt = thinned.repartition(blocks, F.when(F.col("block") >= 0, F.col("block").cast("long")).otherwise(F.col("rid"))).sortWithinPartitions("block")
-    met = cut(dealt.mapInArrow(_meet, _SPANS).drop("data"))
+    met = cut(dealt.mapInArrow(_meet(Thinner(length, gram).parts()), _SPANS).drop("data"))
     repeated = met.filter(F.col("block") == REPEATED).select("rid", "id", "lo", "hi")
-    doubt = met.filter(F.col("block") == DOUBT).groupBy("rid", "id").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
-    squeezed = texts.select("rid", "id", "text").mapInArrow(_squeezed, "rid long, id long, data binary").dropDuplicates(["rid", "id"])
-    positions = squeezed.join(doubt, ["rid", "id"]).mapInArrow(_halves(length), "rid long, id long, p long, first binary, second binary")
-    return repeated.unionByName(repeated_positions(cut(positions)))
+    spans = F.struct("lo", "hi", "anchor", (DOUBT - F.col("block")).alias("part"))
+    doubt = met.filter(F.col("block") <= DOUBT).groupBy("rid", "id").agg(F.collect_list(spans).alias("spans"))
+    squeezed = texts.select("rid", "id", "text").mapInArrow(_squeezed, "rid long, id long, data binary")
+    parts = Thinner(length, gram).parts()
+    cores = squeezed.join(doubt, ["rid", "id"]).mapInArrow(_cores(length, parts), _CORES)
+    return repeated.unionByName(repeated_positions(cores.repartition("core"), parts))
 
 
 def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM) -> DataFrame:
