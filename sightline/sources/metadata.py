@@ -34,7 +34,9 @@ def read_json(spark: SparkSession, path: str, schema: str, recursive: bool = Fal
     reader = spark.read.schema(full).option("multiLine", True).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "bad")
     if recursive:
         reader = reader.option("recursiveFileLookup", True).option("pathGlobFilter", "*.json")
-    return reader.json(path).withColumn("file_path", F.col("_metadata.file_path"))
+    rows = reader.json(path).withColumn("file_path", F.col("_metadata.file_path"))
+    # a field of the wrong kind also marks a row as bad; only what is no object is
+    return rows.withColumn("bad", F.when(F.from_json("bad", "map<string,string>").isNull(), F.col("bad")))
 
 
 def read_events(spark: SparkSession, root: str) -> DataFrame:
@@ -46,7 +48,7 @@ def read_events(spark: SparkSession, root: str) -> DataFrame:
 
 
 def bad_events(spark: SparkSession, root: str) -> DataFrame:
-    return read_json(spark, f"{root}/*/*/events/*/metadata.json", EVENTS).filter("bad is not null").select("file_path", "bad")
+    return read_json(spark, f"{root}/*/*/events/*/metadata.json", EVENTS).select("file_path", "bad", "event_id").filter("bad is not null")
 
 
 def files(spark: SparkSession, root: str, pattern: str = "*") -> DataFrame:

@@ -27,7 +27,8 @@ class Live:
         interval = 1.0 / sample_rate_fps if sample_rate_fps > 0 else 0.0
         self.tolerance = min(max(1e-3, 0.15 * settings.stationary_threshold_s, 2.0 * interval), 0.5 * settings.stationary_threshold_s)
         self.recent: dict[str, list[tuple[float, np.ndarray]]] = {}
-        self.waiting: list[tuple] = []  # wall, frame, mono, boxes, confidences
+        self.waiting: list[tuple] = []  # wall (milliseconds), frame, mono, boxes, confidences
+        self.latest = 0.0
 
     def take(self, until: float) -> list[dict]:
         """Processes the frames that wait with a wall time before until, in frame order."""
@@ -73,15 +74,16 @@ def dwell_stream(frames: DataFrame, settings: Settings | None = None, sample_rat
             for row in pdf.itertuples():
                 boxes = np.array([[b[c] for c in ("x1", "y1", "x2", "y2")] for b in row.boxes], float).reshape(-1, 4)
                 live.waiting.append((row.wall_ts.timestamp() * 1000, int(row.frame_idx), float(row.mono_ts), boxes, np.array([b["confidence"] for b in row.boxes], float)))
+        live.latest = max([live.latest, *(w[0] for w in live.waiting)])
         mark = state.getCurrentWatermarkMs()
-        if state.hasTimedOut:
+        if state.hasTimedOut and mark >= live.latest + idle_ms:
             out = live.take(float("inf")) + live.machine.flush()
             state.remove()
         else:
             out = live.take(mark)
             state.update((pickle.dumps(live),))
-            last = max([w[0] for w in live.waiting], default=mark)
-            state.setTimeoutTimestamp(int(max(last, mark) + idle_ms))
+            due = min((w[0] for w in live.waiting), default=live.latest + idle_ms)
+            state.setTimeoutTimestamp(int(max(due, mark + 1)))
         found = pd.DataFrame(out, columns=names)
         found.insert(0, "source", key[0])
         yield found
