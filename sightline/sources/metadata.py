@@ -35,8 +35,9 @@ def read_json(spark: SparkSession, path: str, schema: str, recursive: bool = Fal
     if recursive:
         reader = reader.option("recursiveFileLookup", True).option("pathGlobFilter", "*.json")
     rows = reader.json(path).withColumn("file_path", F.col("_metadata.file_path"))
-    # a field of the wrong kind also marks a row as bad; only what is no object is
-    return rows.withColumn("bad", F.when(F.from_json("bad", "map<string,string>").isNull(), F.col("bad")))
+    # a field of the wrong kind also marks a row as bad; only what is no object, and so has no field at all, is
+    none = F.from_json("bad", "map<string,string>").isNull() & F.coalesce(*(F.col(f.name).cast("string") for f in fields.fields if isinstance(f.dataType, T.AtomicType))).isNull()
+    return rows.withColumn("bad", F.when(none, F.col("bad")))
 
 
 def read_events(spark: SparkSession, root: str) -> DataFrame:
