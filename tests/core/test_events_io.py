@@ -135,3 +135,27 @@ def test_reconcile_sink(spark, tmp_path):
         sink(frame(spark, event("n", 1, 3)).withColumn("seq", F.lit(2)), 1)
     assert sightings.versions(spark, str(tmp_path)) == [0, 1]
     assert [(r.event_key, r.event_id, r.label) for r in spark.read.parquet(f"{tmp_path}/version=1").collect()] == [("n", "id-p", "pee")]
+
+
+def drained(frame, name, path):
+    run = frame.writeStream.format("memory").queryName(name).outputMode("append").option("checkpointLocation", str(path)).start()
+    run.processAllAvailable()
+    run.stop()
+    return frame.sparkSession.sql(f"select * from {name}")
+
+
+def test_feed_gives_each_new_event_once(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    for n, ids in enumerate((("a", "b"), ("b", "c", "old"))):
+        (tmp_path / "in" / f"{n}.json").write_text("\n".join(json.dumps({"event_id": i, "recorded_at": "2026-01-01T00:00:00Z"}) for i in ids))
+    known = spark.createDataFrame([("old",)], "event_id string")
+    feed = sightings.new_events(spark, str(tmp_path / "in"), "event_id string, recorded_at timestamp", known)
+    assert sorted(r.event_id for r in drained(feed, "feed_out", tmp_path / "ck").collect()) == ["a", "b", "c"]
+
+
+def test_events_wait_for_their_post_roll(spark, tmp_path):
+    rows = spark.createDataFrame([("a", 0), ("b", 100), ("c", 1000)], "event_key string, s long").select("event_key", F.timestamp_seconds("s").alias("end_ts"))
+    rows.coalesce(1).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema("event_key string, end_ts timestamp").parquet(str(tmp_path / "in"))
+    got = drained(sightings.released(stream, 30.0), "released_out", tmp_path / "ck").collect()
+    assert sorted(r.event_key for r in got) == ["a", "b"]  # the last waits for time to pass
