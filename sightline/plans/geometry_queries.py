@@ -207,14 +207,23 @@ def h2_trailing_union(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(*ID, *(F.col(f"u{n}").alias(n) for n in Box._fields))
 
 
-@query()
+STILL = f"""(with h as {H1}, s as (select *, recent[1].t as window_start, recent[-1].t - recent[1].t as span_s, len(recent) as n_recent,
+  list_max(list_transform(recent, lambda r: sqrt(((r.x1+r.x2)/2-(recent[1].x1+recent[1].x2)/2)**2 + ((r.y1+r.y2)/2-(recent[1].y1+recent[1].y2)/2)**2))) as motion_px,
+  greatest(10, 0.2::double * list_sort(list_transform(recent, lambda r: sqrt((r.x2-r.x1)**2 + (r.y2-r.y1)**2)))[len(recent) // 2 + 1]) as allowed_px from h)
+select cam, frame_idx, slot, mono_ts, window_start, span_s, motion_px, span_s >= 1.0 - 0.4::double and n_recent >= 2 and motion_px <= allowed_px as stationary from s)"""
+RUNS = f"""(with b as (select *, case when stationary and not coalesce(lag(stationary) over (partition by cam, slot order by mono_ts), false) then 1 else 0 end as begins from {STILL}),
+r as (select *, sum(begins) over (partition by cam, slot order by mono_ts rows unbounded preceding) as run from b)
+select *, mono_ts - first_value(window_start) over (partition by cam, slot, run order by mono_ts) as dwell_s from r where stationary)"""
+
+
+@query(f"select cam, slot, run::bigint as run, round(max(dwell_s), 6) as dwell_s, count(*) as n from {RUNS} group by 1, 2, 3")
 def h9_dwell_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     still = spans.stationarity(tracks(spark, sf_dir), ["cam", "slot"], 1.0, 5.0)
     runs = spans.dwell_runs(still, ["cam", "slot"])
     return runs.groupBy("cam", "slot", "run").agg(r6(F.max("dwell_s")).alias("dwell_s"), F.count("*").alias("n"))
 
 
-@query()
+@query(f"select cam, frame_idx, slot, round(dwell_s, 6) as dwell_s from (select *, row_number() over (partition by cam, frame_idx order by dwell_s desc, span_s desc, motion_px, slot) as r from {RUNS}) where r = 1")
 def h10_best_candidate(spark: SparkSession, sf_dir: str) -> DataFrame:
     still = spans.stationarity(tracks(spark, sf_dir), ["cam", "slot"], 1.0, 5.0)
     runs = spans.dwell_runs(still, ["cam", "slot"])
