@@ -15,11 +15,11 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir, or a local one where it is unset (tests, one machine)."""
-    known = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if known is None:
-        known = tempfile.mkdtemp(prefix="sightline-")
-        spark.conf.set("spark.checkpoint.dir", known)
-    return known.rstrip("/")
+    context = spark.sparkContext
+    known = spark.conf.get("spark.checkpoint.dir", None)
+    if known is None and context.getCheckpointDir() is None:
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="sightline-"))
+    return (known or context.getCheckpointDir()).rstrip("/")
 
 
 def cut(frame: DataFrame, sort_by: str | None = None, **options: str) -> DataFrame:
