@@ -101,7 +101,8 @@ class Thinner:
         for k, (near, far) in enumerate(self.parts()):  # bytes that all windows with near <= offset <= far share
             a, b = np.maximum(anchor - near, 0), np.minimum(anchor - far + self.length, n)
             marks[f"f{k}"] = (_mix((summed[np.maximum(a, b)] - summed[a]) * self.powers[a]) >> np.uint64(40)).astype("<u1")
-        return marks | {"h": hashes[anchor], "c": _mix(stretch ^ _mix(shape + np.uint64(1))), "doc": docs[of].astype("<u4"), "lo": (lo - starts[of]).astype("<u4"), "span": (hi - lo).astype("<u1"), "off": (anchor - lo).astype("<u1")}
+        # least hashes are all small: mixed again, they spread evenly over blocks
+        return marks | {"h": _mix(hashes[anchor] + np.uint64(0x632BE59BD9B4E019)), "c": _mix(stretch ^ _mix(shape + np.uint64(1))), "doc": docs[of].astype("<u4"), "lo": (lo - starts[of]).astype("<u4"), "span": (hi - lo).astype("<u1"), "off": (anchor - lo).astype("<u1")}
 
 
 def least_of_equals(h: np.ndarray, c: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
