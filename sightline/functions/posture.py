@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from functools import reduce
+from typing import NamedTuple
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -78,28 +79,63 @@ def torso_centroid(points: Column, min_conf: float) -> Column:
     return F.when(F.size(found) > 0, F.struct(mean("x").alias("x"), mean("y").alias("y")))
 
 
-def roles(points: Column, min_conf: float, names: tuple[str, ...] = ("neck", "withers", "spine_mid", "hips", "tail_base", "tail_end", "hind_left_paw", "hind_right_paw", "belly")) -> Column:
-    """struct of roles, to be computed once in a column of its own."""
-    return F.struct(*(role(points, n, min_conf).alias(n) for n in names))
+USED = ("neck", "withers", "spine_mid", "hips", "tail_base", "tail_end", "hind_left_paw", "hind_right_paw", "belly")
 
 
-def lines(r: Column) -> Column:
-    """struct of signed distances from the neck-spine line, from a column of roles."""
-    left, right = r["hind_left_paw"], r["hind_right_paw"]
+class Point(NamedTuple):
+    """Two plain columns that serve as a point."""
+
+    x: Column
+    y: Column
+
+    def __getitem__(self, axis: str) -> Column:
+        return self.x if axis == "x" else self.y
+
+    def isNotNull(self) -> Column:  # noqa: N802
+        return self.x.isNotNull()
+
+
+def at(name: str) -> Point:
+    return Point(F.col(f"{name}_x_"), F.col(f"{name}_y_"))
+
+
+def role_columns(points: Column, min_conf: float) -> dict[str, Column]:
+    """x and y of each role, to be computed once, in plain columns that `at` names."""
+    return {f"{n}_{axis}_": F.coalesce(*(point(points, c, min_conf)[axis] for c in ROLES[n])) for n in USED for axis in ("x", "y")}
+
+
+def length_columns() -> dict[str, Column]:
+    """Neck to hips, and withers to hips."""
+    return {"long_": _length(_minus(at("neck"), at("hips"))), "short_": _length(_minus(at("withers"), at("hips")))}
+
+
+def scale_columns(crop: Column) -> dict[str, Column]:
+    """scale and quality from the columns of lengths, as body_scale has them."""
+    long, short = F.col("long_"), F.col("short_")
+    torso = F.coalesce((long + short) / 2, long, short)
+    w, h = F.greatest(crop["x2"] - crop["x1"], F.lit(0.0)), F.greatest(crop["y2"] - crop["y1"], F.lit(0.0))
+    diagonal = F.sqrt(w * w + h * h)
+    fine = F.nullif(torso, F.lit(0.0))
+    return {"scale": F.coalesce(fine, F.nullif(diagonal, F.lit(0.0))), "quality": F.when(fine.isNotNull(), "torso").when(diagonal > 0, "bbox_fallback").otherwise("none")}
+
+
+def line_columns() -> dict[str, Column]:
+    """Signed distances from the neck-spine line, of the hips, the hind paws together, and each of them."""
+    left, right = at("hind_left_paw"), at("hind_right_paw")
     mean = lambda f: F.when(left.isNotNull() & right.isNotNull(), (left[f] + right[f]) / 2).otherwise(F.coalesce(left[f], right[f]))
-    paws = F.when(left.isNotNull() | right.isNotNull(), F.struct(mean("x").alias("x"), mean("y").alias("y")))
-    of = {"hips": r["hips"], "paws": paws, "left": left, "right": right}
-    return F.struct(*(signed_distance(p, r["neck"], r["spine_mid"], r["belly"]).alias(n) for n, p in of.items()))
+    of = {"hips": at("hips"), "paws": Point(mean("x"), mean("y")), "left": left, "right": right}
+    return {f"line_{n}_": signed_distance(p, at("neck"), at("spine_mid"), at("belly")) for n, p in of.items()}
 
 
-def frame_posture(r: Column, line: Column, scale: Column) -> dict[str, Column]:
-    """One frame's features from columns of roles and lines; null where a point is missing."""
+def frame_posture(scale: Column) -> dict[str, Column]:
+    """One frame's features from the columns of roles and lines; null where a point is missing."""
+    line = lambda n: F.col(f"line_{n}_")
     return {
-        "spine_angle_deg": angle_at(r["withers"], r["spine_mid"], r["hips"]),
-        "hip_offset_ratio": line["hips"] / scale,
-        "hind_paw_drop_ratio": (line["paws"] - line["hips"]) / scale,
-        "tail_angle_deg": angle_between(_minus(r["hips"], r["spine_mid"]), _minus(r["tail_end"], r["tail_base"])),
-        "hind_paw_asymmetry": F.abs(line["left"] - line["right"]) / scale,
+        "spine_angle_deg": angle_at(at("withers"), at("spine_mid"), at("hips")),
+        "hip_offset_ratio": line("hips") / scale,
+        "hind_paw_drop_ratio": (line("paws") - line("hips")) / scale,
+        "tail_angle_deg": angle_between(_minus(at("hips"), at("spine_mid")), _minus(at("tail_end"), at("tail_base"))),
+        "hind_paw_asymmetry": F.abs(line("left") - line("right")) / scale,
     }
 
 
