@@ -29,7 +29,7 @@ from .common import cut, in_groups
 LENGTH, GRAM, SEED = 50, 20, 5
 LAST = (1 << 63) - 1
 #: Bytes of text hashed at once, of text whose anchors a task brings together, and of text for each block of anchors.
-SECTION, CHUNK, BLOCK = 1 << 19, 1 << 23, 1 << 23
+SECTION, CHUNK, BLOCK = 1 << 18, 1 << 22, 1 << 22
 _ENTRY = (("h", "<u8"), ("c", "<u8"), ("doc", "<u4"), ("lo", "<u4"), ("span", "<u1"), ("off", "<u1"), ("f0", "<u1"), ("f1", "<u1"), ("f2", "<u1"))
 #: Of the eight bytes of c, so many travel.
 _C_BYTES = 5
