@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import keys
 from ..functions.boxes import Box
-from ..operators import events, labels, maintenance, poses, prefilter, reconcile
+from ..operators import events, labels, maintenance, poses, prefilter, ranks, reconcile
 from . import views
 from .registry import query, r6
 
@@ -236,8 +236,7 @@ def g8_clip_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"select clip, row_number() over (order by clip % 2, clip % 5 desc, clip) as place from {C}")
 def i2_label_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = views.clips(spark, sf_dir).select("clip", F.col("clip").alias("span_id"), (F.col("clip") % 2 == 1).alias("labeled"), (F.col("clip") % 5).cast("double").alias("start_s"))
-    order = Window.orderBy("labeled", F.col("start_s").desc_nulls_last(), "span_id")
-    return events.label_queue(rows).select("clip", F.row_number().over(order).alias("place"))
+    return ranks.placed(events.label_queue(rows), "labeled", F.col("start_s").desc_nulls_last(), "span_id").select("clip", "place")
 
 
 @query(f"""with c as (select clip, (clip // 3)::int as camera, (clip % 3) * 100::double as start_s from {C}), b as (select cam as clip, slot, frame_idx, (cam % 3) * 100 + mono_ts as at_s from {D})

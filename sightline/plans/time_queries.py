@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import keys, timebase
+from ..operators import ranks
 from . import views
 from .registry import query, r6
 
@@ -233,8 +234,6 @@ def d9_lenient_values(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"select event_key, row_number() over (order by coalesce(try_cast(t as int), 0), t, event_key) as place from (select event_key, case when event_key % 9 = 0 then 'a' || (event_key % 50)::varchar else (event_key % 300)::varchar end as t from {E} where event_key % 10 = 0)")
 def i4_numeric_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from pyspark.sql import Window
-
     track = F.when(F.col("event_key") % 9 == 0, F.concat(F.lit("a"), (F.col("event_key") % 50).cast("string"))).otherwise((F.col("event_key") % 300).cast("string"))
-    rows = views.events(spark, sf_dir).filter("event_key % 10 = 0").withColumn("t", track)
-    return rows.select("event_key", F.row_number().over(Window.orderBy(*keys.numeric_first(F.col("t")), "event_key")).alias("place"))
+    rows = views.events(spark, sf_dir).select("event_key", track.alias("t"))
+    return ranks.placed(rows, *keys.numeric_first(F.col("t")), "event_key").select("event_key", "place")
