@@ -54,3 +54,9 @@ def test_chunk_repeats_of_every_event(spark, events_dir):
             kept.append((chunk, span, a, b))
     assert at % 600 == 0 and any(x[1] // 2 % 2 for x in again) and len(kept) < len(own + again)
     assert sorted(r.span_id for r in QUERY["f7_chunk_repeats"](spark, events_dir).collect()) == sorted(x[1] for x in kept)
+
+
+def test_lenient_numbers_of_every_event(spark, events_dir):
+    """The parser sees numbers too, and gives back the value that the text was made of."""
+    got = {r.event_key: r.number for r in QUERY["d9_lenient_values"](spark, events_dir).collect()}
+    assert got == {k: k * 12.5 + 0.0001 if k % 4 == 1 else None for k in range(1, 61)}
