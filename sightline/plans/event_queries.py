@@ -383,7 +383,7 @@ def e5_trainable_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = labels.sampled(views.ranges(spark, sf_dir), views.clips(spark, sf_dir), 1.6, 10).filter("clip % 3 <> 0")
+    rows = labels.sampled(views.ranges(spark, sf_dir), views.clips(spark, sf_dir), 1.6, 10)
     return rows.withColumn("sample_id", F.concat_ws("/", "clip", "blk", "frame_idx"))
 
 
@@ -393,7 +393,7 @@ NEAREST = f"""(select s.*, r.x1 as rx1, r.y1 as ry1, r.x2 as rx2, r.y2 as ry2 fr
 
 
 def referenced(spark: SparkSession, sf_dir: str) -> DataFrame:
-    refs = views.detections(spark, sf_dir).filter("frame_idx % 6 = 0").select(F.col("cam").alias("clip"), F.col("slot").cast("string").alias("track_id"), F.col("frame_idx").alias("ref_idx"), *Box._fields)
+    refs = views.detections(spark, sf_dir).select(F.col("cam").alias("clip"), F.col("slot").cast("string").alias("track_id"), F.col("frame_idx").alias("ref_idx"), *Box._fields)
     return labels.with_reference(samples(spark, sf_dir), refs)
 
 

@@ -51,7 +51,7 @@ def c7_frame_times(spark: SparkSession, sf_dir: str) -> DataFrame:
 t as (select *, len(f) as n from s)
 select clip, blk, unnest(list_distinct(case when n <= 6 then f else list_transform(range(6), lambda i: f[round_even(i * (n - 1) / 5::double, 0)::int + 1]) end)) as frame_idx from t""")
 def c8_stride_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = views.ranges(spark, sf_dir).filter("clip % 3 <> 0").join(views.clips(spark, sf_dir).select("clip", "fps", "frame_count", "frame_times_s"), "clip")
+    rows = views.ranges(spark, sf_dir).join(views.clips(spark, sf_dir).select("clip", "fps", "frame_count", "frame_times_s"), "clip")
     found = timebase.stride_frames(F.col("start_frame"), F.col("end_frame"), F.lit(0.8), F.col("fps"), F.col("frame_count"), F.col("frame_times_s"), 6)
     return rows.select("clip", "blk", F.explode(found).alias("frame_idx"))
 

@@ -1,11 +1,13 @@
 """Registered queries take whole tables: small tables against brute force."""
 
+import bisect
+from collections import defaultdict
 from datetime import datetime, timedelta
 
 import pytest
 
 from sightline.operators import ranks
-from sightline.plans import catalog
+from sightline.plans import catalog, views
 
 QUERY = catalog.queries()
 
@@ -60,3 +62,67 @@ def test_lenient_numbers_of_every_event(spark, events_dir):
     """The parser sees numbers too, and gives back the value that the text was made of."""
     got = {r.event_key: r.number for r in QUERY["d9_lenient_values"](spark, events_dir).collect()}
     assert got == {k: k * 12.5 + 0.0001 if k % 4 == 1 else None for k in range(1, 61)}
+
+
+@pytest.fixture(scope="module")
+def lines_dir(spark, tmp_path_factory):
+    """Four cameras, of which 0 and 3 have uneven frame times; both subjects in some frames only."""
+    rows = [(k, n, float((k * 31 + n * 17) % 50 + 1)) for k in range(4000) if k % 1000 < 500 and k * 7 % 11 < 6 for n in range(1, 2 + k * 13 % 7)]
+    path = str(tmp_path_factory.mktemp("lines"))
+    spark.createDataFrame(rows, "l_orderkey long, l_linenumber int, l_quantity double").repartition(4).write.parquet(f"{path}/lineitem.parquet")
+    return path
+
+
+def strided(start, end, stride, cap, times):
+    """Frames start..end: every so many, or the first at or after each target time."""
+    if times is None:
+        found = list(range(start, end + 1, max(1, round(stride * 5.0))))
+    else:
+        found, target = [start], times[start] + stride
+        while target <= times[end] + 1e-9:
+            at = min(bisect.bisect_left(times, target), len(times) - 1)
+            if start <= at <= end and at != found[-1]:
+                found.append(at)
+            target += stride
+    return found if len(found) <= cap else sorted({found[round(i * (len(found) - 1) / (cap - 1))] for i in range(cap)})
+
+
+def overlap(a, b):
+    shared = max(0, min(a.x2, b.x2) - max(a.x1, b.x1)) * max(0, min(a.y2, b.y2) - max(a.y1, b.y1))
+    size = lambda x: (x.x2 - x.x1) * (x.y2 - x.y1)
+    return shared / (size(a) + size(b) - shared)
+
+
+def test_sampling_of_every_clip(spark, lines_dir):
+    clips = {c.clip: c for c in views.clips(spark, lines_dir).collect()}
+    ranges = views.ranges(spark, lines_dir).collect()
+    dets = views.detections(spark, lines_dir).collect()
+    here, tracks = defaultdict(list), defaultdict(list)
+    for d in sorted(dets, key=lambda d: (d.frame_idx, d.det_rank)):
+        here[d.cam, d.frame_idx].append(d)
+        tracks[d.cam, str(d.slot)].append(d)
+    assert {c for c in clips if clips[c].frame_times_s} == {0, 3}
+
+    want = {(r.clip, r.blk, f) for r in ranges for f in strided(r.start_frame, r.end_frame, 0.8, 6, clips[r.clip].frame_times_s)}
+    got = [tuple(r) for r in QUERY["c8_stride_sampling"](spark, lines_dir).select("clip", "blk", "frame_idx").collect()]
+    assert len(got) == len(want) and set(got) == want
+
+    near, pick = {}, {}
+    for r in ranges:
+        for f in strided(r.start_frame, r.end_frame, 1.6, 10, clips[r.clip].frame_times_s) if r.behavior != "excluded" else []:
+            known = tracks[r.clip, r.track_id] if r.track_id else []
+            ref = min(known, key=lambda d: (abs(d.frame_idx - f), d.frame_idx), default=None)
+            score = lambda d, ref=ref: overlap(d, ref) if ref else d.confidence
+            best = max(here[r.clip, f], key=lambda d: (score(d), -d.det_rank), default=None)
+            near[r.clip, r.blk, f] = (ref.x1, ref.y2) if ref else (None, None)
+            pick[r.clip, r.blk, f] = best.x1 if best and (ref is None or score(best) >= 0.1) else None
+    got = QUERY["f4_nearest_reference"](spark, lines_dir).collect()
+    assert len(got) == len(near) and {(r.clip, r.blk, r.frame_idx): (r.x1, r.y2) for r in got} == near
+    got = QUERY["f5_pick_detection"](spark, lines_dir).collect()
+    assert len(got) == len(pick) and {(r.clip, r.blk, r.frame_idx): r.x1 for r in got} == pick
+    assert all(r.matched == (r.x1 is not None) for r in got)
+    matched = sum(x is not None for x in pick.values())
+    assert sorted({r.clip for r in QUERY["a15_manifest"](spark, lines_dir).collect()}) == [0, 1, 2, 3]
+    assert QUERY["a15_manifest"](spark, lines_dir).count() == matched
+    stats = QUERY["g10_export_stats"](spark, lines_dir).first()
+    assert (stats.ranges, stats.sampled, stats.written, stats.unmatched) == (len(ranges), len(pick), matched, len(pick) - matched)
