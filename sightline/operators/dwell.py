@@ -1,7 +1,7 @@
 """Sustained-dwell events: a subject that stands still long enough opens a candidate, which is emitted a little later.
 
 What can be said of each box by itself (the trailing stationarity window) is computed by window expressions; only the
-narrow fold over a burst's frames runs as a grouped map. The same machine serves streams.
+narrow fold over a burst's frames runs in Python, frame by frame. The same machine serves streams.
 """
 
 from __future__ import annotations
@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .spans import stationarity
-from .tracking import by_frame, overlaps, tracked
+from .tracking import by_burst, overlaps, tracked
 
 EVENTS = "source string, segment long, start_mono double, end_mono double, start_frame long, end_frame long, primary_track_id string, track_ids array<string>, n_detections long, multi boolean, ambiguous boolean, near_miss boolean, stationary_duration_s double, dwell_duration_s double, confidence double"
 IDLE, WATCHING, CANDIDATE = "idle", "watching", "candidate"
@@ -133,27 +133,24 @@ def track_order(track: str) -> tuple[int, str]:
     return (int(track), track) if track.lstrip("-").isdigit() else (0, track)
 
 
-def _fold(settings: Settings):
-    def run(pdf):
-        import pandas as pd
+class Dwelling:
+    """A burst's dwell machine as a fold over frames."""
 
-        pdf = pdf.sort_values(["frame_idx", "det_rank"], kind="stable")
-        boxes, mono, active = pdf[["x1", "y1", "x2", "y2"]].to_numpy(float), pdf["mono_ts"].to_numpy(float), pdf["n_active"].to_numpy()
-        postures = list(zip(*(pdf[c].tolist() for c in ("track_id", "span_s", "motion_px", "window_start", "stationary")), strict=True))
-        real = ~np.isnan(boxes[:, 0])
-        machine, out = Machine(settings), []
-        for number, rows in by_frame(pdf):
-            here = np.flatnonzero(real[rows]) + rows.start
-            current = sorted((Posture(*postures[i]) for i in here if postures[i][0] is not None), key=lambda p: track_order(p.track))
-            out += machine.frame(float(mono[rows.start]), number, boxes[here], current, int(active[rows.start]))
-        out += machine.flush()
-        names = [f.split()[0] for f in EVENTS.split(", ")]
-        found = pd.DataFrame(out, columns=names[2:])
-        found.insert(0, "segment", pdf["segment"].iloc[0])
-        found.insert(0, "source", pdf["source"].iloc[0])
-        return found
+    def __init__(self, settings: Settings):
+        self.machine = Machine(settings)
 
-    return run
+    def frame(self, number: int, rows: dict[str, np.ndarray]) -> list[tuple]:
+        boxes = np.stack([rows[c].astype(float) for c in ("x1", "y1", "x2", "y2")], axis=1)
+        here = np.flatnonzero(~np.isnan(boxes[:, 0]))
+        postures = [Posture(rows["track_id"][i], *(float(rows[c][i]) for c in ("span_s", "motion_px", "window_start")), bool(rows["stationary"][i])) for i in here if rows["track_id"][i] is not None]
+        return self.rows(self.machine.frame(float(rows["mono_ts"][0]), number, boxes[here], sorted(postures, key=lambda p: track_order(p.track)), int(rows["n_active"][0])))
+
+    def end(self) -> list[tuple]:
+        return self.rows(self.machine.flush())
+
+    @staticmethod
+    def rows(events: list[dict]) -> list[tuple]:
+        return [tuple(e[f.split()[0]] for f in EVENTS.split(", ")[2:]) for e in events]
 
 
 def dwell_events(frames: DataFrame, detections: DataFrame, settings: Settings | None = None, sample_rate_fps: float = 1.0, max_age: int | None = None, iou_threshold: float = 0.3, center_gate: float = 0.0) -> DataFrame:
@@ -166,7 +163,7 @@ def dwell_events(frames: DataFrame, detections: DataFrame, settings: Settings |
     still = stationarity(timed, ["source", "track_id"], settings.stationary_threshold_s, sample_rate_fps)
     columns = ["source", "frame_idx", "det_rank", "track_id", "x1", "y1", "x2", "y2", "span_s", "motion_px", "window_start", "stationary"]
     rows = state.join(frames.select("source", "frame_idx", "mono_ts"), ["source", "frame_idx"]).join(still.select(*columns), ["source", "frame_idx"], "left")
-    return rows.groupBy("source", "segment").applyInPandas(_fold(settings), EVENTS)
+    return by_burst(rows, ["mono_ts", "n_active", *columns[3:]], lambda: Dwelling(settings), EVENTS)
 
 
 def event_confidence(dwell_s, span_s, near_miss, known):

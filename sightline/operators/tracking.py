@@ -6,14 +6,16 @@ exact cut: each burst between cuts is tracked by itself, and its track numbers a
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 TRACKED = "source string, segment long, frame_idx long, det_rank int, track_no int, births int, n_active int"
+#: Results are handed on in batches of about so many rows.
+OUT_ROWS = 10_000
 
 
 @dataclass
@@ -91,37 +93,81 @@ def segmented(frames: DataFrame, detections: DataFrame, max_age: int, min_confid
     return numbered.filter((F.col("segment") > 0) & (F.col("n_") - F.col("seen_") <= max_age + 1)).select(*frames.columns, "segment")
 
 
-def by_frame(pdf) -> Iterator[tuple[int, slice]]:
-    """Of rows sorted by frame_idx: each frame and where its rows are."""
-    numbers = pdf["frame_idx"].to_numpy()
-    edges = [0, *(np.flatnonzero(np.diff(numbers)) + 1).tolist(), len(numbers)]
-    for a, b in zip(edges, edges[1:], strict=False):
-        if b > a:
-            yield int(numbers[a]), slice(a, b)
-
-
-def _kernel(make):
-    def run(pdf):
-        import pandas as pd
-
-        pdf = pdf.sort_values(["frame_idx", "det_rank"], kind="stable")
-        boxes, confidence = pdf[["x1", "y1", "x2", "y2"]].to_numpy(float), pdf["confidence"].to_numpy(float)
-        ranks, real = pdf["det_rank"].to_numpy(float), ~np.isnan(confidence)
-        tracker, out = make(), []
-        for frame, rows in by_frame(pdf):
-            here = real[rows]
-            numbers = tracker.update(boxes[rows][here], confidence[rows][here])
-            active = len(tracker.numbers)
-            out += [(frame, int(r), int(n), tracker.born, active) for r, n in zip(ranks[rows][here], numbers, strict=True) if n >= 0]
-            out.append((frame, -1, 0, tracker.born, active))  # the frame itself
-        found = pd.DataFrame(out, columns=["frame_idx", "det_rank", "track_no", "births", "n_active"])
-        found.insert(0, "segment", pdf["segment"].iloc[0])
-        found.insert(0, "source", pdf["source"].iloc[0])
-        return found
+def by_burst(rows: DataFrame, columns: list[str], state, schema: str) -> DataFrame:
+    """Folds each burst's frames in their order, in one pass over sorted rows: neither a burst nor its results are ever
+    held whole. rows: source, segment, frame_idx, det_rank and columns (numbers, or texts). state() makes a burst's
+    state with frame(frame_idx, rows as a dict of arrays) and end(), both giving tuples that follow source, segment."""
+    names = ["source", "segment", "frame_idx", "det_rank", *columns]
+    dealt = rows.select(*names).repartition("source", "segment").sortWithinPartitions("source", "segment", "frame_idx", "det_rank")
+    return dealt.mapInArrow(_in_order(names, state, StructType.fromDDL(schema)), schema)
+
+
+def _in_order(names: list[str], state, schema: StructType):
+    def run(batches):
+        import pyarrow as pa
+        from pyspark.sql.pandas.types import to_arrow_schema
+
+        kind = to_arrow_schema(schema)
+        burst, now, frame, parts, out = None, None, None, [], []
+
+        def settle():
+            """The frame whose rows are all read."""
+            held = {n: np.concatenate([p[n] for p in parts]) for n in names[3:]}
+            return [(*burst, *x) for x in now.frame(frame, held)]
+
+        def pack(rows):
+            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), kind, strict=True)], schema=kind)
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            sources, segments = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            frames = batch.column(2).to_pylist()
+            arrays = {n: batch.column(i + 3).to_numpy(zero_copy_only=False) for i, n in enumerate(names[3:])}
+            ids = list(zip(sources, segments, frames, strict=True))
+            edges = [0, *(i for i in range(1, len(ids)) if ids[i] != ids[i - 1]), len(ids)]
+            for a, b in zip(edges, edges[1:], strict=False):
+                key, number = ids[a][:2], ids[a][2]
+                if parts and (key != burst or number != frame):
+                    out += settle()
+                    parts = []
+                if key != burst:
+                    if now is not None:
+                        out += [(*burst, *x) for x in now.end()]
+                    burst, now = key, state()
+                frame = number
+                parts.append({n: x[a:b] for n, x in arrays.items()})
+                if len(out) >= OUT_ROWS:
+                    yield pack(out)
+                    out = []
+        if parts:
+            out += settle()
+            out += [(*burst, *x) for x in now.end()]
+        if out:
+            yield pack(out)
 
     return run
 
 
+class Tracking:
+    """A burst's tracker as a fold over frames."""
+
+    def __init__(self, make):
+        self.tracker = make()
+
+    def frame(self, number: int, rows: dict[str, np.ndarray]) -> list[tuple]:
+        confidence = rows["confidence"].astype(float)
+        real = ~np.isnan(confidence)
+        boxes = np.stack([rows[c].astype(float) for c in ("x1", "y1", "x2", "y2")], axis=1)[real]
+        numbers = self.tracker.update(boxes, confidence[real])
+        born, active = self.tracker.born, len(self.tracker.numbers)
+        out = [(number, int(r), int(n), born, active) for r, n in zip(rows["det_rank"][real], numbers, strict=True) if n >= 0]
+        return [*out, (number, -1, 0, born, active)]  # the frame itself
+
+    def end(self) -> list[tuple]:
+        return []
+
+
 def tracked(frames: DataFrame, detections: DataFrame, iou_threshold: float = 0.3, max_age: int = 15, min_confidence: float = 0.0, center_gate: float = 0.0, make=None) -> tuple[DataFrame, DataFrame]:
     """frames: source, frame_idx of every sampled frame. detections: source, frame_idx, det_rank (int, surest first),
     x1..y2, confidence, and more. Returns detections with segment and track_id (by birth within the source, from 1),
@@ -130,7 +176,7 @@ def tracked(frames: DataFrame, detections: DataFrame, iou_threshold: float = 0.3
     boxes = detections.select("source", "frame_idx", "det_rank", "x1", "y1", "x2", "y2", "confidence")
     joined = parts.join(boxes, ["source", "frame_idx"], "left")
     make = make or (lambda: Tracker(iou_threshold, max_age, min_confidence, center_gate))
-    raw = joined.groupBy("source", "segment").applyInPandas(_kernel(make), TRACKED)
+    raw = by_burst(joined, ["x1", "y1", "x2", "y2", "confidence"], lambda: Tracking(make), TRACKED)
     births = raw.groupBy("source", "segment").agg(F.max("births").alias("b_"))
     before = Window.partitionBy("source").orderBy("segment").rowsBetween(Window.unboundedPreceding, -1)
     births = births.select("source", "segment", F.coalesce(F.sum("b_").over(before), F.lit(0)).alias("before_"))

@@ -20,9 +20,9 @@ D, E, C, FR, R = views.DETECTIONS, views.EVENTS, views.CLIPS, views.FRAMES, view
 
 
 def sources(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Frames and detections by source; every seventh hundred of frames is without boxes, so that tracks die."""
+    """Frames and detections by source."""
     frames = views.frames(spark, sf_dir).select(F.col("cam").cast("string").alias("source"), "frame_idx", "mono_ts")
-    rows = views.detections(spark, sf_dir).filter("frame_idx % 140 < 120").withColumn("source", F.col("cam").cast("string"))
+    rows = views.detections(spark, sf_dir).withColumn("source", F.col("cam").cast("string"))
     return frames, rows.select("source", "frame_idx", "mono_ts", "det_rank", *Box._fields, "confidence", "class_name")
 
 

@@ -4,9 +4,12 @@ import bisect
 from collections import defaultdict
 from datetime import datetime, timedelta
 
+import numpy as np
+import pyarrow as pa
 import pytest
+from pyspark.sql.types import StructType
 
-from sightline.operators import ranks
+from sightline.operators import ranks, tracking
 from sightline.plans import catalog, views
 
 QUERY = catalog.queries()
@@ -126,3 +129,43 @@ def test_sampling_of_every_clip(spark, lines_dir):
     assert QUERY["a15_manifest"](spark, lines_dir).count() == matched
     stats = QUERY["g10_export_stats"](spark, lines_dir).first()
     assert (stats.ranges, stats.sampled, stats.written, stats.unmatched) == (len(ranges), len(pick), matched, len(pick) - matched)
+
+
+def plain_tracks(dets, n, max_age):
+    """(frame, det_rank) to track of one tracker over every frame of a camera."""
+    tracker, out, by = tracking.Tracker(max_age=max_age), {}, defaultdict(list)
+    for d in sorted(dets, key=lambda d: (d.frame_idx, d.det_rank)):
+        by[d.frame_idx].append(d)
+    for f in range(n):
+        boxes = np.array([[d.x1, d.y1, d.x2, d.y2] for d in by[f]]).reshape(-1, 4)
+        out |= {(f, d.det_rank): int(t) for d, t in zip(by[f], tracker.update(boxes, np.array([d.confidence for d in by[f]])), strict=True)}
+    return out
+
+
+def test_tracks_of_every_detection(spark, lines_dir):
+    """Tracks die after frame 499 of each camera, and where blocks of frames jump; batches cut frames and bursts."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        got = {(r.source, r.frame_idx, r.det_rank): int(r.track_id) for r in QUERY["k1_tracker"](spark, lines_dir).collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    dets = views.detections(spark, lines_dir).collect()
+    want = {(str(c), *k): t for c in range(4) for k, t in plain_tracks([d for d in dets if d.cam == c], 1000, 5).items()}
+    assert got == want and any(120 <= f % 140 for _, f, _ in got) and max(got.values()) > 4
+
+
+def test_a_burst_is_never_held_whole():
+    """A camera that never empties: results come out while its rows are still being read."""
+    names = ["source", "segment", "frame_idx", "det_rank", "x1", "y1", "x2", "y2", "confidence"]
+    read = []
+
+    def batches():
+        for k in range(100):
+            read.append(k)
+            n = 1000
+            yield pa.RecordBatch.from_arrays([pa.array(["c"] * n), pa.array([1] * n), pa.array(range(k * n, k * n + n)), pa.array([0] * n, pa.int32()), *(pa.array([float(x)] * n) for x in (0, 0, 9, 9, 1))], names=names)
+
+    out = tracking._in_order(names, lambda: tracking.Tracking(tracking.Tracker), StructType.fromDDL(tracking.TRACKED))(batches())
+    first = next(out)
+    assert len(read) < 20 and set(first.column(4).to_pylist()) == {0, 1}
+    assert first.num_rows + sum(b.num_rows for b in out) == 200_000
