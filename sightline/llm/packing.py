@@ -7,12 +7,14 @@ needs of the corpus is the count for each length, 1,024 numbers at most; it give
 pieces look up. The result is that of best-fit decreasing.
 
 Defined cases: a null or empty text is the end token alone; rows that repeat are packed one by one; an empty table
-gives no pieces; special-token strings in a text are ordinary text; other columns are ignored.
+gives no pieces; an added token's string in a text (here <|endoftext|>) is that token, as in the library by default; other columns are
+ignored.
 """
 
 from __future__ import annotations
 
 import bisect
+import json
 import os
 import re
 import zlib
@@ -39,14 +41,22 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
+def added_tokens(path: str) -> dict[str, int]:
+    """Tokens that texts are split at before all else: those of the library's file, or of the one beside a rank file."""
+    beside = path if path.endswith(".json") else f"{path.removesuffix('.tiktoken')}.json"
+    if not os.path.exists(beside):
+        return {}
+    with open(beside, encoding="utf-8") as file:
+        return {t["content"]: t["id"] for t in json.load(file).get("added_tokens", [])}
+
+
 def encode_all(path: str) -> Callable[[list[str]], list[list[int]]]:
-    """Ids of texts without special tokens, by the library that reads the file."""
+    """Ids of texts with no tokens put around them, by the library that reads the file."""
     if path.endswith(".json"):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         tokenizer = Tokenizer.from_file(path)
-        tokenizer.encode_special_tokens = True
         return lambda texts: [x.ids for x in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
     import base64
 
@@ -55,21 +65,22 @@ def encode_all(path: str) -> Callable[[list[str]], list[list[int]]]:
 
     with open(path, "rb") as lines:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
-    encoding = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-    return lambda texts: [encoding.encode_ordinary(t) for t in texts]
+    added = added_tokens(path)
+    encoding = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=added)
+    return lambda texts: [encoding.encode(t, allowed_special="all") if any(a in t for a in added) else encoding.encode_ordinary(t) for t in texts]
 
 
 class Encoder:
     """Token ids of whole texts as little-endian unsigned 32-bit bytes. The byte-level pre-tokenizer never joins
     characters across a single space between two others, the space going with what follows; so texts are cut there,
-    and the ids of short chunks are remembered."""
+    and the ids of short chunks are remembered. Texts that hold an added token are not cut."""
 
     def __init__(self, path: str):
-        self.encode_all = encode_all(path)
+        self.encode_all, self.added = encode_all(path), tuple(added_tokens(path))
         self.known: dict[str, bytes] = {}
 
     def encode(self, texts: list[str]) -> Iterator[bytes]:
-        chunks = [_APART.split(t) if _WHITE_RUN.search(t) else t.split(" ") for t in texts]
+        chunks = [[t] if any(a in t for a in self.added) else _APART.split(t) if _WHITE_RUN.search(t) else t.split(" ") for t in texts]
         heads = [array("I", x).tobytes() for x in self.encode_all([c[0] for c in chunks])]
         if len(self.known) > CACHE:
             self.known.clear()

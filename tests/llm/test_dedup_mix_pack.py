@@ -174,6 +174,27 @@ def test_tokens_equal_the_tokenizers_library(spark):
         assert [np.frombuffer(x, "<u4").tolist() for x in encoder.encode(odd)] == plain(odd)
 
 
+def test_added_tokens_are_those_of_the_library_by_default(spark):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    plain = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    end = "<|endoftext|>"
+    odd = [f"a {end} b", end, f"{end}{end}", f"a  {end}\n b", f"x{end}y", f" {end}  z  ", f"<|{end}|>", "<|endoftext", f"long words here {end} " * 700, "no token"]
+    want = [plain.encode(t, add_special_tokens=False).ids for t in odd]
+    assert want[0] == [64, 220, 50256, 275]
+    encoder = packing.Encoder(packing.default_tokenizer())
+    for _ in range(2):
+        assert [np.frombuffer(x, "<u4").tolist() for x in encoder.encode(odd)] == want
+    got = packing.pack(frame(spark, [(i, t, "s") for i, t in enumerate(odd)])).collect()
+    first = {r.doc_id: (r.length, r.ids_crc32) for r in got if r.piece == 0}
+    for i, ids in enumerate(want):
+        ids = np.array([*ids, 2], "<u4")
+        n = (len(ids) - 1) % 1024 + 1
+        assert first[i] == (n, zlib.crc32(ids[:n].tobytes()))
+        assert sum(r.length for r in got if r.doc_id == i) == len(ids)
+
+
 def best_fit_decreasing(lengths, capacity):
     gaps = []
     for n in sorted(lengths, reverse=True):
