@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -41,6 +42,13 @@ def held(frame: DataFrame) -> DataFrame:
     return frame.checkpoint()
 
 
+def release(spark: SparkSession) -> None:
+    """After a cut: asks the driver for a garbage collection, by which Spark's cleaner finds the shuffles that no frame
+    refers to any more and removes their files, rather than at the next chance (spark.cleaner.periodicGC.interval)."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def fine_buckets(rows: int, size: int = 4096) -> int:
     """A power of two: buckets of about so many rows each."""
     n = 1

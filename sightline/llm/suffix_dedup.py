@@ -1,19 +1,27 @@
 """Removes repeated passages: every byte covered by a string of LENGTH bytes that also starts in a document with a
 smaller id.
 
-Ranking all suffixes at every byte would sort some fourteen times the corpus, so positions are thinned first, exactly:
-
-1. Anchors. Every window of LENGTH bytes has an anchor, the first of its GRAM-byte strings with the least hash, and
-   equal windows have equal anchors at equal offsets. The windows of one anchor form a run. Tasks keep, of equal
-   stretches (anchor and all bytes of its run), those of the least id, and mark the rest as repeated; what is left
-   meets by anchor hash, packed in blocks, and the same is done across tasks.
-2. Growing ranks. Anchors that meet in different stretches leave windows in doubt. Spark deals and sorts these by the
-   bytes that a third of an anchor's windows share (its rank at some 40 bytes), drops those that are alone, and ranks
-   the rest again by pairs of that rank and the bytes by which each window is longer, at LENGTH. A window whose last
+Ranking all suffixes at every byte would sort some fourteen times the corpus. Positions are therefore thinned by
+content, and what is left is ranked at growing lengths, each rank made by Spark from the pair of the rank before and
+the bytes around it, until it is unique to one document or past the threshold:
+
+1. GRAM bytes. Every window of LENGTH bytes has an anchor, the first of its GRAM-byte strings with the least hash, and
+   equal windows have equal anchors at equal offsets. The windows of one anchor form a run. Anchors are dealt and
+   sorted by Spark by (gram, stretch, id), a stretch being all bytes of a run, LENGTH at least: of equal stretches
+   those of a larger id are repeated. A gram that one document holds alone is dropped here, with its run.
+2. About 40 bytes. What else meets by a gram is in doubt and is ranked by the bytes that a third of the run's windows
+   share; what has no rival in another document is dropped.
+3. LENGTH bytes. The rest is ranked by pairs of that rank and the bytes by which each window is longer. A window whose
    rank also has a smaller id is repeated.
 
+No task holds a group: rows of one gram come sorted and are read as a stream, and a chunk of text hands on two entries
+of a gram at most when documents within the chunk already meet in it. Later ranks are sums before the shuffle and joins
+that Spark may split. Stretches are told apart by 64 bits of their own next to 48 of their gram, the 40 bytes by 128
+bits, and the last ranks by the bytes themselves.
+
 Defined cases: a null text is empty; a null id counts as the largest; rows of one id never remove each other's bytes;
-rows that repeat get equal results; an empty table gives an empty result; other columns are ignored.
+rows that repeat get equal results; very long texts are read in sections, with the same result; an empty table gives an
+empty result; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -21,18 +29,16 @@ from __future__ import annotations
 import hashlib
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, in_groups
+from .common import cut, release
 
 LENGTH, GRAM, SEED = 50, 20, 5
 LAST = (1 << 63) - 1
-#: Bytes of text hashed at once, of text whose anchors a task brings together, and of text for each block of anchors.
-SECTION, CHUNK, BLOCK = 1 << 18, 1 << 22, 1 << 22
-_ENTRY = (("h", "<u8"), ("c", "<u8"), ("doc", "<u4"), ("lo", "<u4"), ("span", "<u1"), ("off", "<u1"), ("f0", "<u1"), ("f1", "<u1"), ("f2", "<u1"))
-#: Of the eight bytes of c, so many travel.
-_C_BYTES = 5
+#: Bytes of text hashed at once, and of text whose anchors a task brings together.
+SECTION, CHUNK = 1 << 18, 1 << 22
+_ENTRY = ("h", "c", "doc", "lo", "span", "off")
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -46,6 +52,8 @@ class Thinner:
     def __init__(self, length: int = LENGTH, gram: int = GRAM, seed: int = SEED):
         rng = np.random.default_rng(seed)
         self.length, self.gram, self.width = length, gram, length - gram + 1
+        if not 0 < gram <= length or self.width > 256:
+            raise ValueError("1 to length bytes for an anchor, at most 255 fewer than length")
         self.byte = rng.integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
         self.base = int(rng.integers(1 << 62, 1 << 63)) | 1
         self.powers = self.inverses = np.ones(1, np.uint64)
@@ -67,7 +75,7 @@ class Thinner:
     def anchors(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> dict[str, np.ndarray]:
         """data: all bytes; starts, ends of the texts. h: anchor hash, c: hash of the stretch, doc, lo: first window
         of the run in its text, span: last window - lo, off: anchor - lo."""
-        none = {k: np.zeros(0, t) for k, t in _ENTRY}
+        none = {k: np.zeros(0, np.uint64 if k in "hc" else np.int64) for k in _ENTRY}
         n, g, w = len(data), self.gram, self.width
         if n < self.length:
             return none
@@ -97,81 +105,85 @@ class Thinner:
         lo, hi, anchor, of = windows[heads], windows[tails], at[heads], doc[heads]
         stretch = (summed[hi + self.length] - summed[lo]) * self.powers[lo]
         shape = (hi - lo).astype(np.uint64) * np.uint64(256) + (anchor - lo).astype(np.uint64)
-        marks = {}
-        for k, (near, far) in enumerate(self.parts()):  # bytes that all windows with near <= offset <= far share
-            a, b = np.maximum(anchor - near, 0), np.minimum(anchor - far + self.length, n)
-            marks[f"f{k}"] = (_mix((summed[np.maximum(a, b)] - summed[a]) * self.powers[a]) >> np.uint64(40)).astype("<u1")
-        # least hashes are all small: mixed again, they spread evenly over blocks
-        return marks | {"h": _mix(hashes[anchor] + np.uint64(0x632BE59BD9B4E019)), "c": _mix(stretch ^ _mix(shape + np.uint64(1))), "doc": docs[of].astype("<u4"), "lo": (lo - starts[of]).astype("<u4"), "span": (hi - lo).astype("<u1"), "off": (anchor - lo).astype("<u1")}
-
-
-def least_of_equals(h: np.ndarray, c: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The order by (h, c, id), where in it the id is over the least of its (h, c), and where (h, c) begins."""
-    order = np.lexsort((ids, c, h))
-    h, c, ids = h[order], c[order], ids[order]
-    new = np.concatenate(([True], (h[1:] != h[:-1]) | (c[1:] != c[:-1]))) if len(h) else np.zeros(0, bool)
-    least = ids[np.maximum.accumulate(np.where(new, np.arange(len(ids)), 0))] if len(h) else ids
-    return order, ids > least, new
-
-
-def pack(entries: dict[str, np.ndarray], rid: np.ndarray, ids: np.ndarray) -> bytes:
-    """Entries and the documents that they name, compressed byte plane by byte plane."""
-    import zstandard
-
-    used, doc = np.unique(entries["doc"], return_inverse=True)
-    parts = [np.array([len(used), len(doc)], "<i8").tobytes(), rid[used].tobytes(), ids[used].tobytes()]
-    for k, kind in _ENTRY:
-        column = (doc if k == "doc" else entries[k]).astype(kind)
-        planes = column.view(np.uint8).reshape(len(column), -1).T
-        parts.append(np.ascontiguousarray(planes[:_C_BYTES] if k == "c" else planes).tobytes())
-    return zstandard.ZstdCompressor(level=1).compress(b"".join(parts))
-
-
-def unpack(block: bytes) -> tuple[dict[str, np.ndarray], np.ndarray, np.ndarray]:
-    import zstandard
-
-    raw = zstandard.ZstdDecompressor().decompress(block)
-    n_docs, n = np.frombuffer(raw, "<i8", 2)
-    rid, ids = np.frombuffer(raw, "<i8", n_docs, 16), np.frombuffer(raw, "<i8", n_docs, 16 + 8 * n_docs)
-    at, entries = 16 + 16 * n_docs, {}
-    for k, kind in _ENTRY:
-        size, full = _C_BYTES if k == "c" else np.dtype(kind).itemsize, np.dtype(kind).itemsize
-        planes = np.zeros((full, n), np.uint8)
-        planes[:size] = np.frombuffer(raw, np.uint8, n * size, at).reshape(size, n)
-        entries[k] = np.ascontiguousarray(planes.T).reshape(-1).view(kind)
-        at += n * size
-    return entries, rid, ids
+        # least hashes are all small: mixed again, they spread evenly
+        return {"h": _mix(hashes[anchor] + np.uint64(0x632BE59BD9B4E019)), "c": _mix(stretch ^ _mix(shape + np.uint64(1))), "doc": docs[of], "lo": lo - starts[of], "span": hi - lo, "off": anchor - lo}
 
 
+#: What a row says of its windows: met in the shuffle by its gram; repeated; in doubt; only stands for others.
+ENTRY, REPEATED, DOUBT, STANDS = 0, 1, 2, 3
+_KIND = 40  # bits below it hold the first window's place
+_ROWS = "gram long, stretch long, id long, rid long, place long"
 _THINNERS: dict[tuple, Thinner] = {}
-_SPANS = "block int, rid long, id long, lo long, hi long, anchor long, data binary"
 
 
-def _spans(kind: int, rid, ids, lo, hi, anchor=None):
+def _rows(gram, stretch, ids, rid, place):
     import pyarrow as pa
 
-    n = len(rid)
-    return pa.RecordBatch.from_arrays([pa.array(np.full(n, kind, np.int32)), pa.array(rid), pa.array(ids), pa.array(lo.astype(np.int64)), pa.array(hi.astype(np.int64)), pa.array((lo if anchor is None else anchor).astype(np.int64)), pa.nulls(n, pa.binary())], names=["block", "rid", "id", "lo", "hi", "anchor", "data"])
-
-
-#: Kinds of spans: repeated windows lo to hi; windows in doubt, of the first part of offsets, the second and so on.
-REPEATED, DOUBT = -1, -2
-
-
-def _thin(length: int, gram: int, blocks: int):
+    return pa.RecordBatch.from_arrays([pa.array(x) for x in (gram, stretch, ids, rid, place)], names=["gram", "stretch", "id", "rid", "place"])
+
+
+class Meeting:
+    """Entries sorted by (gram, stretch, id, rid, place), batch by batch: which repeat the stretch of a smaller id, and
+    which meet another document's in their gram. Between batches it keeps the last row and, of a gram that one id alone
+    holds so far, that id's rows."""
+
+    def __init__(self):
+        self.pending = [np.zeros(0, np.int64)] * 5
+        self.last = self.least = None
+        self.several = False
+
+    def meet(self, rows: list[np.ndarray]) -> tuple[list[np.ndarray], np.ndarray, np.ndarray, np.ndarray]:
+        """Rows (those pending come first) and three masks: repeated, in doubt, dropped as the same row again."""
+        rows = [np.concatenate(x) for x in zip(self.pending, rows, strict=True)]
+        gram, stretch, ids = rows[0], rows[1], rows[2]
+        n = len(gram)
+        new, same = np.ones(n, bool), np.zeros(n, bool)
+        new[1:] = (gram[1:] != gram[:-1]) | (stretch[1:] != stretch[:-1])
+        same[1:] = ~new[1:] & (ids[1:] == ids[:-1]) & (rows[3][1:] == rows[3][:-1]) & (rows[4][1:] == rows[4][:-1])
+        group = gram >> 16
+        goes_on = self.last is not None and self.last[0] >> 16 == group[0]
+        if not len(self.pending[0]) and self.last is not None:
+            new[0] = self.last[:2] != (gram[0], stretch[0])
+            same[0] = self.last == tuple(x[0] for x in rows)
+        head = np.maximum.accumulate(np.where(new, np.arange(n), 0))
+        least = ids[head]
+        if not new[0]:
+            least = np.where(head == 0, self.least, least)
+        over = ids > least
+        heads = np.flatnonzero(np.concatenate(([True], group[1:] != group[:-1])))
+        several = np.minimum.reduceat(least, heads) != np.maximum.reduceat(least, heads)
+        several[0] |= goes_on and self.several
+        sizes = np.diff(np.concatenate((heads, [n])))
+        doubt = np.repeat(several, sizes) & ~over & ~same
+        self.last, self.least, self.several = tuple(x[-1] for x in rows), least[-1], bool(several[-1])
+        open_end = slice(n, n) if self.several else slice(heads[-1], n)
+        stay = ~over[open_end] & ~same[open_end]
+        self.pending = [x[open_end][stay] for x in rows]
+        return rows, over & ~same, doubt, same
+
+
+def _thin(length: int, gram: int, section: int, chunk: int):
     def flush(found, rid, ids):
-        import pyarrow as pa
-
-        found = {k: np.concatenate([f[k] for f in found]) for k, _ in _ENTRY}
+        found = {k: np.concatenate([f[k] for f in found]) for k in _ENTRY}
+        if not len(found["h"]):
+            return
         rid, ids = np.array(rid, np.int64), np.array(ids, np.int64)
-        order, over, _ = least_of_equals(found["h"], found["c"], ids[found["doc"]])
-        gone, stay = order[over], order[~over]
-        doc, lo = found["doc"][gone], found["lo"][gone]
-        yield _spans(REPEATED, rid[doc], ids[doc], lo, lo + found["span"][gone].astype(np.int64))
-        block = (found["h"][stay] >> np.uint64(32)).astype(np.int64) * blocks >> 32  # stay is in the order of h
-        for b in np.unique(block):
-            part = stay[np.searchsorted(block, b) : np.searchsorted(block, b, "right")]
-            yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), *(pa.array([0], pa.int64()) for _ in range(5)), pa.array([pack({k: v[part] for k, v in found.items()}, rid, ids)], pa.binary())], names=["block", "rid", "id", "lo", "hi", "anchor", "data"])
+        key = (found["h"] >> np.uint64(16) << np.uint64(16) | found["span"].astype(np.uint64) << np.uint64(8) | found["off"].astype(np.uint64)).view(np.int64)
+        rows = [key, found["c"].view(np.int64), ids[found["doc"]], rid[found["doc"]], found["lo"]]
+        order = np.lexsort(rows[::-1])
+        met = Meeting()
+        rows, over, doubt, same = met.meet([x[order] for x in rows])
+        kind = np.where(over, REPEATED, np.where(doubt, DOUBT, ENTRY))
+        out = [x[~same] for x in (*rows[:4], rows[4] + (kind << _KIND))]
+        yield _rows(*out)
+        at = np.flatnonzero(doubt)  # of each gram in doubt, two entries of different ids stand for the rest
+        if len(at):
+            group, who = rows[0][at] >> 16, rows[2][at]
+            heads = np.flatnonzero(np.concatenate(([True], group[1:] != group[:-1])))
+            sizes = np.diff(np.concatenate((heads, [len(at)])))
+            other = np.where(who != np.repeat(who[heads], sizes), np.arange(len(at)), len(at))
+            two = np.concatenate((at[heads], at[np.minimum.reduceat(other, heads)]))
+            yield _rows(*(x[two] for x in rows[:4]), rows[4][two] + (STANDS << _KIND))
 
     def run(batches):
         thinner = _THINNERS.setdefault((length, gram), Thinner(length, gram))
@@ -182,26 +194,26 @@ def _thin(length: int, gram: int, blocks: int):
             lengths = np.array([len(x[2]) for x in parts], np.int64)
             ends = lengths.cumsum()
             new = thinner.anchors(np.frombuffer(b"".join(x[2] for x in parts), np.uint8), ends - lengths, ends)
-            new["lo"] = new["lo"] + np.array([x[1] for x in parts], "<u4")[new["doc"]]
-            new["doc"] = np.array([x[0] for x in parts], "<u4")[new["doc"]]
+            new["lo"] = new["lo"] + np.array([x[1] for x in parts], np.int64)[new["doc"]]
+            new["doc"] = np.array([x[0] for x in parts], np.int64)[new["doc"]]
             found.append(new)
 
         for batch in batches:
             for r, i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
-                text = t.as_buffer().to_pybytes()
+                text = memoryview(t.as_buffer())
                 rid.append(r), ids.append(i)
-                for at in range(0, max(1, len(text) - length + 1), SECTION):
-                    parts.append((len(rid) - 1, at, text[at : at + SECTION + length - 1]))
+                for at in range(0, max(1, len(text) - length + 1), section):
+                    parts.append((len(rid) - 1, at, bytes(text[at : at + section + length - 1])))
                     waiting += len(parts[-1][2])
-                    if waiting >= SECTION:
+                    size += len(parts[-1][2])
+                    if waiting >= section:
                         hashed()
                         parts, waiting = [], 0
-                size += len(text)
-                if size >= CHUNK:
-                    if parts:
-                        hashed()
-                    yield from flush(found, rid, ids)
-                    rid, ids, found, size, parts, waiting = [], [], [], 0, [], 0
+                    if size >= chunk:
+                        if parts:
+                            hashed()
+                        yield from flush(found, rid, ids)
+                        rid, ids, found, size, parts, waiting = [r], [i], [], 0, [], 0
         if parts:
             hashed()
         if found:
@@ -210,52 +222,32 @@ def _thin(length: int, gram: int, blocks: int):
     return run
 
 
-def _meet(parts: list[tuple[int, int]]):
-    def run(batches):
-        yield from _met(batches, parts)
+_SPANS = "kind int, id long, rid long, lo long, hi long, anchor long"
 
-    return run
 
+def _met(batches):
+    """Rows sorted by gram, to repeated and doubtful runs of windows lo to hi. What chunks have settled passes through."""
+    import pyarrow as pa
+
+    meeting = Meeting()
 
-def _met(batches, parts):
-    """All of one block: what repeats a smaller id's stretch, and what stays in doubt. Spans pass through."""
-    def blocks():
-        for batch in batches:  # sorted by block, spans first
-            n = int(np.searchsorted(batch.column(0).to_numpy(), 0))
-            if n:
-                passed.append(batch.slice(0, n))
-            yield batch.slice(n)
-
-    passed: list = []
-    for table in in_groups(blocks()):
-        yield from passed
-        passed.clear()
-        unpacked = [unpack(x) for x in table.column(6).to_pylist()]
-        h, c = (np.concatenate([u[0][k] for u in unpacked]) for k in ("h", "c"))
-        rid = np.concatenate([u[1][u[0]["doc"]] for u in unpacked])
-        ids = np.concatenate([u[2][u[0]["doc"]] for u in unpacked])
-        lo = np.concatenate([u[0]["lo"] for u in unpacked]).astype(np.int64)
-        span = np.concatenate([u[0]["span"] for u in unpacked]).astype(np.int64)
-        order, over, new = least_of_equals(h, c, ids)
-        gone = order[over]
-        yield _spans(REPEATED, rid[gone], ids[gone], lo[gone], lo[gone] + span[gone])
-        off = np.concatenate([u[0]["off"] for u in unpacked]).astype(np.int64)
-        stay = order[~over]  # one id for each stretch
-        for k, (near, far) in enumerate(parts):
-            first, last = np.maximum(near, off[stay] - span[stay]), np.minimum(far, off[stay])  # offsets within the run
-            mine = stay[first <= last]
-            mark = np.concatenate([u[0][f"f{k}"] for u in unpacked])
-            again = mine[np.lexsort((c[mine], mark[mine], h[mine]))]
-            if not len(again):
-                continue
-            fresh = np.concatenate(([True], (h[again][1:] != h[again][:-1]) | (mark[again][1:] != mark[again][:-1])))
-            heads, group = np.flatnonzero(fresh), np.cumsum(fresh) - 1
-            kinds = np.add.reduceat(np.concatenate(([1], ((c[again][1:] != c[again][:-1]) | fresh[1:]).astype(np.int64))), heads)
-            several = np.minimum.reduceat(ids[again], heads) != np.maximum.reduceat(ids[again], heads)
-            doubt = again[((kinds > 1) & several)[group]]
-            anchor = lo[doubt] + off[doubt]
-            yield _spans(DOUBT - k, rid[doubt], ids[doubt], np.maximum(lo[doubt], anchor - far), np.minimum(lo[doubt] + span[doubt], anchor - near), anchor)
-    yield from passed
+    def spans(kind, rows):
+        gram, _, ids, rid, place = rows
+        lo = place & (1 << _KIND) - 1
+        return pa.RecordBatch.from_arrays([pa.array(np.broadcast_to(np.int32(kind), len(lo)) if np.isscalar(kind) else kind.astype(np.int32)), pa.array(ids), pa.array(rid), pa.array(lo), pa.array(lo + (gram >> 8 & 255)), pa.array(lo + (gram & 255))], names=["kind", "id", "rid", "lo", "hi", "anchor"])
+
+    for batch in batches:
+        rows = [c.to_numpy() for c in batch.columns]
+        kind = rows[4] >> _KIND
+        settled = (kind == REPEATED) | (kind == DOUBT)
+        if settled.any():
+            yield spans(kind[settled], [x[settled] for x in rows])
+        if settled.all():
+            continue
+        rows, over, doubt, _ = meeting.meet([x[~settled] for x in rows])
+        own = rows[4] >> _KIND == ENTRY
+        yield spans(REPEATED, [x[over & own] for x in rows])
+        yield spans(DOUBT, [x[doubt & own] for x in rows])
 
 
 def _squeezed(batches):
@@ -265,52 +257,59 @@ def _squeezed(batches):
     squeeze = zstandard.ZstdCompressor(level=1).compress
     for batch in batches:
         texts = [squeeze(t.as_buffer().to_pybytes()) for t in batch.column(2)]
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.binary())], names=["rid", "id", "data"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.binary())], names=["id", "rid", "data"])
 
 
-_CORES = "rid long, id long, anchor long, lo long, hi long, part int, core binary, before binary, after binary"
+_CORES = "id long, rid long, anchor long, lo long, hi long, part int, core binary, before binary, after binary"
 
 
 def _cores(length: int, parts: list[tuple[int, int]]):
-    """For each span in doubt: a digest of the bytes that all its windows share, and the few bytes around them."""
+    """For each part of a run in doubt: a digest of the bytes that all its windows share, and the few bytes around."""
 
     def run(batches):
         import pyarrow as pa
         import zstandard
         from xxhash import xxh3_128_digest
 
-        open_up = zstandard.ZstdDecompressor().decompress
+        kinds = [*[pa.int64()] * 5, pa.int32(), *[pa.binary()] * 3]
+        names = [f.split()[0] for f in _CORES.split(", ")]
+        open_up, out, last = zstandard.ZstdDecompressor().decompress, [[] for _ in kinds], None
+        flush = lambda: pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], names=names)
         for batch in batches:
-            out: list[list] = [[] for _ in range(9)]
-            for rid, i, data, spans in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                text = open_up(data) if data else b""
-                for s in spans:
-                    near, far = parts[s["part"]]
-                    a, b = s["anchor"] - near, s["anchor"] - far + length
-                    row = (rid, i, s["anchor"], s["lo"], s["hi"], s["part"], xxh3_128_digest(text[a:b]), text[max(0, a - far + near) : a], text[b : b + far - near])
-                    for column, x in zip(out, row, strict=True):
-                        column.append(x)
-            kinds = [pa.int64()] * 5 + [pa.int32()] + [pa.binary()] * 3
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], names=[f.split()[0] for f in _CORES.split(", ")])
+            for i, rid, data, runs in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3), strict=True):
+                if last == (i, rid):  # the same row again
+                    continue
+                last, text = (i, rid), open_up(data.as_buffer())
+                for lo, hi, anchor in zip(*(runs.values.field(k).to_pylist() for k in ("lo", "hi", "anchor")), strict=True):
+                    for part, (near, far) in enumerate(parts):
+                        first, end = max(lo, anchor - far), min(hi, anchor - near)
+                        if first <= end:
+                            a, b = anchor - near, anchor - far + length
+                            row = (i, rid, anchor, first, end, part, xxh3_128_digest(text[a:b]), text[max(0, a - far + near) : a], text[b : b + far - near])
+                            for column, x in zip(out, row, strict=True):
+                                column.append(x)
+                if len(out[0]) >= 20_000:
+                    yield flush()
+                    out = [[] for _ in kinds]
+        yield flush()
 
     return run
 
 
-def repeated_positions(cores: DataFrame, parts: list[tuple[int, int]]) -> DataFrame:
-    """Of spans in doubt, the windows (rid, id, lo, hi) that also start in a document of a smaller id. Spans meet by the
-    shared bytes first, which drops those without a rival; what is left is ranked again by the bytes by which each
-    window is longer, in the same partitions."""
+def with_rivals(rows: DataFrame, rank: list[str]) -> DataFrame:
+    """Adds first, the smallest id of a rank; rows whose rank one id alone holds are dropped."""
+    met = rows.groupBy(*rank).agg(F.min("id").alias("first"), F.max("id").alias("final")).filter("first < final").drop("final")
+    return rows.join(met, rank)
+
+
+def longer(met: DataFrame, parts: list[tuple[int, int]]) -> DataFrame:
+    """The windows of runs that still have rivals, each with its rank so far and the bytes by which it is longer."""
     wide = F.element_at(F.array(*(F.lit(b - a) for a, b in parts)), F.col("part") + 1)
     near = F.element_at(F.array(*(F.lit(a) for a, _ in parts)), F.col("part") + 1)
-    rivals = Window.partitionBy("core", "part")
-    met = cores.withColumns({"least": F.min("id").over(rivals), "most": F.max("id").over(rivals)}).filter("least < most")
-    each = met.withColumn("p", F.explode(F.sequence("lo", "hi"))).withColumn("extra", (F.col("anchor") - F.col("p") - near).cast("int"))
-    size = F.octet_length("before")
-    left = F.substring("before", size - F.col("extra") + 1, F.col("extra"))
+    each = met.drop("first").withColumn("p", F.explode(F.sequence("lo", "hi"))).withColumn("extra", (F.col("anchor") - F.col("p") - near).cast("int"))
+    left = F.substring("before", F.octet_length("before") - F.col("extra") + 1, F.col("extra"))
     right = F.substring("after", F.lit(1), (wide - F.col("extra")).cast("int"))
-    ranked = each.select("rid", "id", "p", "core", "part", "extra", left.alias("left"), right.alias("right"))
-    first = F.min("id").over(Window.partitionBy("core", "part", "extra", "left", "right"))
-    return ranked.withColumn("first", first).filter("id > first").select("rid", "id", F.col("p").alias("lo"), F.col("p").alias("hi"))
+    return each.select("id", "rid", "p", "core", "part", "extra", left.alias("left"), right.alias("right"))
 
 
 def _removed(length: int):
@@ -341,27 +340,34 @@ def _removed(length: int):
     return run
 
 
-def repeated_spans(texts: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
-    """texts: rid, id, text (binary). rid, id, lo, hi: windows of length bytes that start at lo to hi are repeated."""
-    size = texts.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    blocks = 1 + size // BLOCK
-    thinned = texts.select("rid", "id", "text").mapInArrow(_thin(length, gram, blocks), _SPANS)
-    dealt = thinned.repartition(blocks, F.when(F.col("block") >= 0, F.col("block").cast("long")).otherwise(F.col("rid"))).sortWithinPartitions("block")
-    met = cut(dealt.mapInArrow(_meet(Thinner(length, gram).parts()), _SPANS).drop("data"))
-    repeated = met.filter(F.col("block") == REPEATED).select("rid", "id", "lo", "hi")
-    spans = F.struct("lo", "hi", "anchor", (DOUBT - F.col("block")).alias("part"))
-    doubt = met.filter(F.col("block") <= DOUBT).groupBy("rid", "id").agg(F.collect_list(spans).alias("spans"))
-    squeezed = texts.select("rid", "id", "text").mapInArrow(_squeezed, "rid long, id long, data binary")
-    parts = Thinner(length, gram).parts()
-    cores = squeezed.join(doubt, ["rid", "id"]).mapInArrow(_cores(length, parts), _CORES)
-    return repeated.unionByName(repeated_positions(cores.repartition("core"), parts))
+def _squeezed_texts(texts: DataFrame) -> DataFrame:
+    return texts.select("id", "rid", "text").mapInArrow(_squeezed, "id long, rid long, data binary")
 
 
-def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM) -> DataFrame:
-    """One row for each row of docs: doc_id, n_bytes, n_removed, n_spans, kept_sha256."""
+def repeated_spans(texts: DataFrame, length: int = LENGTH, gram: int = GRAM, section: int = SECTION, chunk: int = CHUNK) -> list[DataFrame]:
+    """texts: id, rid, text (binary). Frames of id, rid, lo, hi: windows of length bytes that start at lo to hi are
+    repeated."""
+    parts = Thinner(length, gram).parts()
+    settled = F.shiftright("place", _KIND).isin(REPEATED, DOUBT)
+    dealt = lambda rows: rows.repartition(F.when(settled, F.xxhash64("id", "rid", "place")).otherwise(F.shiftright("gram", 16)))
+    thinned = lambda: dealt(texts.select("rid", "id", "text").mapInArrow(_thin(length, gram, section, chunk), _ROWS)).sortWithinPartitions("gram", "stretch", "id", "rid", "place")
+    runs = cut(thinned().mapInArrow(_met, _SPANS))
+    release(texts.sparkSession)
+    doubt = lambda: runs.filter(F.col("kind") == DOUBT).groupBy("id", "rid").agg(F.collect_list(F.struct("lo", "hi", "anchor")).alias("runs"))
+    cores = cut(_squeezed_texts(texts).join(doubt(), ["id", "rid"]).select("id", "rid", "data", "runs").mapInArrow(_cores(length, parts), _CORES))
+    release(texts.sparkSession)
+    windows = cut(longer(with_rivals(cores, ["core", "part"]), parts))
+    release(texts.sparkSession)
+    last = with_rivals(windows, ["core", "part", "extra", "left", "right"]).filter("id > first")
+    return [runs.filter(F.col("kind") == REPEATED).select("id", "rid", "lo", "hi"), last.select("id", "rid", F.col("p").alias("lo"), F.col("p").alias("hi"))]
+
+
+def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM, **how: int) -> DataFrame:
+    """One row for each row of docs: doc_id, n_bytes, n_removed, n_spans, kept_sha256. A row is told by its id and a
+    hash of its text, whose last bit says that the id is null; its spans are collected beside it, at most as many as it has windows."""
     text = F.encode(F.coalesce(F.col(text_col), F.lit("")), "UTF-8")
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text")).withColumn("id", F.coalesce("doc_id", F.lit(LAST))).withColumn("rid", F.xxhash64("id", "text"))
-    spans = repeated_spans(rows, length, gram).groupBy("rid").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
-    whole = rows.select("rid", "doc_id", "text").mapInArrow(_squeezed, "rid long, id long, data binary").withColumnRenamed("id", "doc_id")
-    joined = whole.join(spans, "rid", "left").select("rid", "doc_id", "data", "spans")
+    rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)).alias("id"), F.xxhash64(text).bitwiseAND(-2).bitwiseOR(F.col(id_col).isNull().cast("long")).alias("rid"), text.alias("text"))
+    first, last = repeated_spans(rows, length, gram, **how)
+    spans = first.unionByName(last).groupBy("id", "rid").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
+    joined = _squeezed_texts(rows).join(spans, ["id", "rid"], "left").select("rid", F.when(F.col("rid").bitwiseAND(1) == 0, F.col("id")).alias("doc_id"), "data", "spans")
     return joined.mapInArrow(_removed(length), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")

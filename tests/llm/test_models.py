@@ -248,8 +248,8 @@ def brute_removed(rows, length=50):
         yield len(b), sum(mark), runs, hashlib.sha256(bytes(x for x, m in zip(b, mark, strict=True) if not m)).hexdigest()
 
 
-@pytest.mark.parametrize("section", [None, 64])
-def test_suffix_dedup(spark, section, monkeypatch):
+@pytest.mark.parametrize("how", [{}, {"section": 64, "chunk": 700}, {"section": 128, "chunk": 1}])
+def test_suffix_dedup(spark, how):
     rng = np.random.default_rng(9)
     word = lambda: "".join(rng.choice(list("abcé"), int(rng.integers(1, 6))))
     shared = [" ".join(word() for _ in range(int(rng.integers(8, 40)))) for _ in range(6)]
@@ -263,23 +263,42 @@ def test_suffix_dedup(spark, section, monkeypatch):
                 t = t[:at] + "#" + t[at + 1 :]
             parts.append(t)
         rows.append((int(rng.integers(0, 60)), " ".join(parts), None))
-    rows += [(100, "la " * 100, None), (101, "la " * 60, None), (102, "x" * 49, None), (103, "x" * 50, None), (104, "x" * 120, None), (105, None, None), (106, "", None), (None, shared[0], None), (None, shared[0], None), rows[5], (107, rows[3][1], None)]
-    if section:
-        thinner = suffix_dedup._thin
-        monkeypatch.setattr(suffix_dedup, "SECTION", section)
-        out = {}
-        for r, (i, t, _) in enumerate(rows):
-            out[r] = (suffix_dedup.LAST if i is None else i, (t or "").encode())
-        import pyarrow as pa
-
-        batch = pa.RecordBatch.from_arrays([pa.array(list(out)), pa.array([x[0] for x in out.values()]), pa.array([x[1] for x in out.values()], pa.binary())], names=["rid", "id", "text"])
-        spans = [s for b in thinner(50, 20, 3)(iter([batch])) if b.column(0)[0].as_py() < 0 for s in b.to_pylist()]
-        for s in spans:  # what one task finds is repeated indeed
-            for p in range(s["lo"], s["hi"] + 1):
-                window = out[s["rid"]][1][p : p + 50]
-                assert any(window in b for i, b in out.values() if i < s["id"])
-        return
-    got = suffix_dedup.suffix_dedup(frame(spark, rows).repartition(5))
+    rows += [(100, "la " * 100, None), (101, "la " * 60, None), (102, "x" * 49, None), (103, "x" * 50, None), (104, "x" * 120, None), (105, None, None), (106, "", None), (None, shared[0], None), (None, shared[0], None), rows[5], (107, rows[3][1], None), (suffix_dedup.LAST, shared[1], None), *[(200, shared[2], None)] * 9]
+    got = suffix_dedup.suffix_dedup(frame(spark, rows).repartition(5), **how)
     want = sorted((-1 if i is None else i, *w) for (i, _, _), w in zip(rows, brute_removed(rows), strict=True))
     assert sorted((-1 if r.doc_id is None else r.doc_id, *tuple(r)[1:]) for r in got.collect()) == want
     assert suffix_dedup.suffix_dedup(frame(spark, [])).count() == 0
+
+
+def test_suffix_dedup_of_texts_over_a_section(spark):
+    rng = np.random.default_rng(10)
+    long = "".join(rng.choice(list("abcdefgh "), 600_000))
+    rows = [(1, long, None), (2, long[250_000:530_000] + "other words", None), (3, "x" * 40 + long[262_100:262_190], None)]
+    got = {r.doc_id: r for r in suffix_dedup.suffix_dedup(frame(spark, rows)).collect()}
+    assert (got[1].n_removed, got[2].n_removed, got[3].n_removed) == (0, 280_000, 90) and got[2].n_spans == got[3].n_spans == 1
+
+
+def test_meeting_does_not_depend_on_batches():
+    rng = np.random.default_rng(11)
+    for _ in range(60):
+        n = int(rng.integers(1, 60))
+        rows = [rng.integers(0, 4, n) << 16 | rng.integers(0, 2, n), rng.integers(0, 3, n), rng.integers(0, 4, n), rng.integers(0, 2, n), rng.integers(0, 3, n)]
+        rows = [x[np.lexsort(rows[::-1])] for x in rows]
+        seen = []
+        for size in (n, 1, 3, 7):
+            meeting, over, doubt = suffix_dedup.Meeting(), set(), set()
+            for at in range(0, n, size):
+                met, o, d, _ = meeting.meet([x[at : at + size] for x in rows])
+                over |= set(zip(*(x[o].tolist() for x in met), strict=True))
+                doubt |= set(zip(*(x[d].tolist() for x in met), strict=True))
+            seen.append((over, doubt))
+        every = set(zip(*(x.tolist() for x in rows), strict=True))
+        least = {}
+        for g, s, i, *_ in every:
+            least[g, s] = min(i, least.get((g, s), i))
+        want_over = {r for r in every if r[2] > least[r[:2]]}
+        holders = {}
+        for g, s, i, *_ in every - want_over:
+            holders.setdefault(g >> 16, set()).add(i)
+        want_doubt = {r for r in every - want_over if len(holders[r[0] >> 16]) > 1}
+        assert all(x == (want_over, want_doubt) for x in seen)
