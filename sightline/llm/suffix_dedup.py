@@ -27,6 +27,7 @@ empty result; other columns are ignored, whatever their names.
 from __future__ import annotations
 
 import hashlib
+from functools import reduce
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -38,6 +39,8 @@ LENGTH, GRAM, SEED = 50, 20, 5
 LAST = (1 << 63) - 1
 #: Bytes of text hashed at once, and of text whose anchors a task brings together.
 SECTION, CHUNK = 1 << 18, 1 << 22
+#: Grams are dealt in so many slices, one after another, each with a shuffle of its own: less disk, for hashing texts again.
+SLICES = 2
 _ENTRY = ("h", "c", "doc", "lo", "span", "off")
 
 
@@ -162,7 +165,7 @@ class Meeting:
         return rows, over & ~same, doubt, same
 
 
-def _thin(length: int, gram: int, section: int, chunk: int):
+def _thin(length: int, gram: int, section: int, chunk: int, slices: int = 1, mine: int = 0):
     def flush(found, rid, ids):
         found = {k: np.concatenate([f[k] for f in found]) for k in _ENTRY}
         if not len(found["h"]):
@@ -194,6 +197,9 @@ def _thin(length: int, gram: int, section: int, chunk: int):
             lengths = np.array([len(x[2]) for x in parts], np.int64)
             ends = lengths.cumsum()
             new = thinner.anchors(np.frombuffer(b"".join(x[2] for x in parts), np.uint8), ends - lengths, ends)
+            if slices > 1:
+                own = new["h"] >> np.uint64(32) & np.uint64(0xFFFF)
+                new = {k: v[own % np.uint64(slices) == mine] for k, v in new.items()}
             new["lo"] = new["lo"] + np.array([x[1] for x in parts], np.int64)[new["doc"]]
             new["doc"] = np.array([x[0] for x in parts], np.int64)[new["doc"]]
             found.append(new)
@@ -260,11 +266,11 @@ def _squeezed(batches):
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.binary())], names=["id", "rid", "data"])
 
 
-_CORES = "id long, rid long, anchor long, lo long, hi long, part int, core binary, before binary, after binary"
+_CORES = "id long, rid long, anchor long, lo long, hi long, part int, rank binary, before binary, after binary"
 
 
 def _cores(length: int, parts: list[tuple[int, int]]):
-    """For each part of a run in doubt: a digest of the bytes that all its windows share, and the few bytes around."""
+    """For each part of a run in doubt: its rank, a digest of the bytes that all its windows share, and the bytes around."""
 
     def run(batches):
         import pyarrow as pa
@@ -285,7 +291,7 @@ def _cores(length: int, parts: list[tuple[int, int]]):
                         first, end = max(lo, anchor - far), min(hi, anchor - near)
                         if first <= end:
                             a, b = anchor - near, anchor - far + length
-                            row = (i, rid, anchor, first, end, part, xxh3_128_digest(text[a:b]), text[max(0, a - far + near) : a], text[b : b + far - near])
+                            row = (i, rid, anchor, first, end, part, xxh3_128_digest(text[a:b]) + bytes([part]), text[max(0, a - far + near) : a], text[b : b + far - near])
                             for column, x in zip(out, row, strict=True):
                                 column.append(x)
                 if len(out[0]) >= 20_000:
@@ -296,20 +302,19 @@ def _cores(length: int, parts: list[tuple[int, int]]):
     return run
 
 
-def with_rivals(rows: DataFrame, rank: list[str]) -> DataFrame:
+def with_rivals(rows: DataFrame) -> DataFrame:
     """Adds first, the smallest id of a rank; rows whose rank one id alone holds are dropped."""
-    met = rows.groupBy(*rank).agg(F.min("id").alias("first"), F.max("id").alias("final")).filter("first < final").drop("final")
-    return rows.join(met, rank)
+    met = rows.groupBy("rank").agg(F.min("id").alias("first"), F.max("id").alias("final")).filter("first < final").drop("final")
+    return rows.join(met, "rank")
 
 
-def longer(met: DataFrame, parts: list[tuple[int, int]]) -> DataFrame:
-    """The windows of runs that still have rivals, each with its rank so far and the bytes by which it is longer."""
-    wide = F.element_at(F.array(*(F.lit(b - a) for a, b in parts)), F.col("part") + 1)
-    near = F.element_at(F.array(*(F.lit(a) for a, _ in parts)), F.col("part") + 1)
-    each = met.drop("first").withColumn("p", F.explode(F.sequence("lo", "hi"))).withColumn("extra", (F.col("anchor") - F.col("p") - near).cast("int"))
+def longer(met: DataFrame, near: int, far: int) -> DataFrame:
+    """The windows of one part's runs, ranked by pairs of their rank so far and the bytes by which each is longer."""
+    each = met.withColumn("p", F.explode(F.sequence("lo", "hi"))).withColumn("extra", (F.col("anchor") - F.col("p") - near).cast("int"))
     left = F.substring("before", F.octet_length("before") - F.col("extra") + 1, F.col("extra"))
-    right = F.substring("after", F.lit(1), (wide - F.col("extra")).cast("int"))
-    return each.select("id", "rid", "p", "core", "part", "extra", left.alias("left"), right.alias("right"))
+    right = F.substring("after", F.lit(1), (far - near - F.col("extra")).cast("int"))
+    place = F.unhex(F.lpad(F.hex("extra"), 2, "0"))
+    return each.select("id", "rid", "p", F.concat("rank", place, left, right).alias("rank"))
 
 
 def _removed(length: int):
@@ -344,22 +349,29 @@ def _squeezed_texts(texts: DataFrame) -> DataFrame:
     return texts.select("id", "rid", "text").mapInArrow(_squeezed, "id long, rid long, data binary")
 
 
-def repeated_spans(texts: DataFrame, length: int = LENGTH, gram: int = GRAM, section: int = SECTION, chunk: int = CHUNK) -> list[DataFrame]:
-    """texts: id, rid, text (binary). Frames of id, rid, lo, hi: windows of length bytes that start at lo to hi are
+def repeated_spans(texts: DataFrame, length: int = LENGTH, gram: int = GRAM, section: int = SECTION, chunk: int = CHUNK, slices: int = SLICES) -> DataFrame:
+    """texts: id, rid, text (binary). id, rid, lo, hi: windows of length bytes that start at lo to hi are
     repeated."""
     parts = Thinner(length, gram).parts()
     settled = F.shiftright("place", _KIND).isin(REPEATED, DOUBT)
     dealt = lambda rows: rows.repartition(F.when(settled, F.xxhash64("id", "rid", "place")).otherwise(F.shiftright("gram", 16)))
-    thinned = lambda: dealt(texts.select("rid", "id", "text").mapInArrow(_thin(length, gram, section, chunk), _ROWS)).sortWithinPartitions("gram", "stretch", "id", "rid", "place")
-    runs = cut(thinned().mapInArrow(_met, _SPANS))
-    release(texts.sparkSession)
+    thinned = lambda mine: dealt(texts.select("rid", "id", "text").mapInArrow(_thin(length, gram, section, chunk, slices, mine), _ROWS)).sortWithinPartitions("gram", "stretch", "id", "rid", "place")
+    runs = []
+    for mine in range(slices):
+        runs.append(cut(thinned(mine).mapInArrow(_met, _SPANS)))
+        release(texts.sparkSession)
+    runs = reduce(DataFrame.unionByName, runs)
     doubt = lambda: runs.filter(F.col("kind") == DOUBT).groupBy("id", "rid").agg(F.collect_list(F.struct("lo", "hi", "anchor")).alias("runs"))
     cores = cut(_squeezed_texts(texts).join(doubt(), ["id", "rid"]).select("id", "rid", "data", "runs").mapInArrow(_cores(length, parts), _CORES))
     release(texts.sparkSession)
-    windows = cut(longer(with_rivals(cores, ["core", "part"]), parts))
-    release(texts.sparkSession)
-    last = with_rivals(windows, ["core", "part", "extra", "left", "right"]).filter("id > first")
-    return [runs.filter(F.col("kind") == REPEATED).select("id", "rid", "lo", "hi"), last.select("id", "rid", F.col("p").alias("lo"), F.col("p").alias("hi"))]
+    found = [runs.filter(F.col("kind") == REPEATED).select("id", "rid", "lo", "hi")]
+    for part, (near, far) in enumerate(parts):
+        windows = cut(longer(with_rivals(cores.filter(F.col("part") == part)), near, far))
+        last = with_rivals(windows).filter("id > first")
+        found.append(cut(last.select("id", "rid", F.col("p").alias("lo"), F.col("p").alias("hi"))))
+        del last
+        release(texts.sparkSession)
+    return reduce(DataFrame.unionByName, found)
 
 
 def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM, **how: int) -> DataFrame:
@@ -367,7 +379,6 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     hash of its text, whose last bit says that the id is null; its spans are collected beside it, at most as many as it has windows."""
     text = F.encode(F.coalesce(F.col(text_col), F.lit("")), "UTF-8")
     rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)).alias("id"), F.xxhash64(text).bitwiseAND(-2).bitwiseOR(F.col(id_col).isNull().cast("long")).alias("rid"), text.alias("text"))
-    first, last = repeated_spans(rows, length, gram, **how)
-    spans = first.unionByName(last).groupBy("id", "rid").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
+    spans = repeated_spans(rows, length, gram, **how).groupBy("id", "rid").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
     joined = _squeezed_texts(rows).join(spans, ["id", "rid"], "left").select("rid", F.when(F.col("rid").bitwiseAND(1) == 0, F.col("id")).alias("doc_id"), "data", "spans")
     return joined.mapInArrow(_removed(length), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
