@@ -6,10 +6,14 @@ each band is one or more of these. Where at least 0.8 of a template's shingles a
 quarter of all their shingles or more, so 32 bands of one row meet with a chance over 0.999. A window that meets a
 template is compared by its words: the share of the template's distinct shingles that it holds must reach 0.8.
 
+Windows are placed from the start of each text, so a result depends on nothing but the text and the templates; texts
+are signed together only for speed, in sections of bounded size.
+
 Words are runs of letters, digits and underscores of the lower-cased text. A template needs five words at least.
 
 Defined cases: null and empty texts match nothing and still get a row; ties go to the first template by name; rows
-that repeat are scanned one by one; an empty table gives an empty result; other columns are ignored.
+that repeat are scanned one by one; very long texts are read whole, a section at a time; an empty table gives an empty
+result; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -84,28 +88,46 @@ class Scanner:
     def signature(self, hashes: np.ndarray) -> list[int]:
         return [int(self.permuted(hashes, k).min()) for k in range(self.bands * self.rows)]
 
-    def candidates(self, hashes: np.ndarray) -> Iterator[tuple[str, int, int]]:
-        """(template, first word, past the last word) of windows that share a band with a template."""
+    def windows(self, pieces: list[tuple[int, int, int, int]]) -> dict[tuple[int, int], tuple[np.ndarray, ...]]:
+        """For each class, the windows that begin in pieces, as shingles of the section: (piece, first, past the last),
+        whole windows first, and how many these are. A piece is (place in the section, place in its text, shingles that
+        windows may begin at, shingles from its place to the text's end). Windows begin at multiples of the class's
+        step from the start of their own text; the last one ends with the text."""
+        at, base, room, left = (np.array(x, np.int64) for x in zip(*pieces, strict=True))
+        out = {}
+        for span, step in self.classes:
+            n = span - SHINGLE + 1
+            last = -(-np.maximum(base + left - n, 0) // step)  # number of the text's last window
+            first = -(-base // step)
+            whole = np.maximum(np.minimum(last, -(-(base + room) // step)) - first, 0)
+            piece = np.repeat(np.arange(len(at)), whole)
+            number = np.arange(len(piece)) - np.repeat(whole.cumsum() - whole, whole) + first[piece]
+            starts = at[piece] + number * step - base[piece]
+            ends = np.flatnonzero((last >= first) & (last * step < base + room))
+            tail = at[ends] + last[ends] * step - base[ends]
+            out[span, step] = np.concatenate((piece, ends)), np.concatenate((starts, tail)), np.concatenate((starts + n, at[ends] + left[ends])), len(piece)
+        return out
+
+    def candidates(self, hashes: np.ndarray, windows: dict[tuple[int, int], tuple[np.ndarray, ...]]) -> Iterator[tuple[str, int, int, int]]:
+        """(template, piece, first shingle, past the last) of windows that share a band with a template."""
         met: dict[tuple[int, int], dict[str, np.ndarray]] = {c: {} for c in self.classes}
-        places = {}
-        for c in self.classes:
-            n = c[0] - SHINGLE + 1  # shingles of a window; the last window may be shorter
-            places[c] = np.arange(0, max(1, len(hashes) - n + c[1]), c[1])
         for band in range(self.bands):
             same = {c: {name: True for name in names} for c, names in self.classes.items()}
             for k in range(band * self.rows, (band + 1) * self.rows):
                 levels = [self.permuted(hashes, k)]
                 for c, names in self.classes.items():
-                    n, at = c[0] - SHINGLE + 1, places[c]
+                    _, first, past, whole = windows[c]
+                    n = c[0] - SHINGLE + 1
                     lv = n.bit_length() - 1
-                    while len(levels) <= lv:
+                    while whole and len(levels) <= lv:
                         half = 1 << len(levels) - 1
-                        last = levels[-1]
-                        levels.append(np.minimum(last, np.concatenate((last[half:], np.full(min(half, len(last)), 0xFFFFFFFF, np.uint32)))))
-                    low = levels[lv][at]
-                    second = at + n - (1 << lv)
-                    inside = second < len(hashes)
-                    low[inside] = np.minimum(low[inside], levels[lv][second[inside]])
+                        shorter = levels[-1]
+                        levels.append(np.minimum(shorter, np.concatenate((shorter[half:], np.full(min(half, len(shorter)), 0xFFFFFFFF, np.uint32)))))
+                    at = first[:whole]
+                    low = np.minimum(levels[lv][at], levels[lv][at + n - (1 << lv)]) if whole else np.zeros(0, np.uint32)
+                    if whole < len(first):  # of one text one window at most: they lie apart
+                        bounds = np.stack((first[whole:], past[whole:]), axis=1).ravel()
+                        low = np.concatenate((low, np.minimum.reduceat(np.append(levels[0], np.uint32(0xFFFFFFFF)), bounds)[::2]))
                     for name in names:
                         same[c][name] = same[c][name] & (low == self.signatures[name][k])
             for c, names in self.classes.items():
@@ -114,76 +136,51 @@ class Scanner:
                     if len(hit):
                         met[c][name] = np.union1d(met[c][name], hit) if name in met[c] else hit
         for c, found in met.items():
+            piece, first, past, _ = windows[c]
             for name, hits in found.items():
-                for h in hits:
-                    yield name, int(places[c][h]), int(places[c][h]) + c[0]
+                yield from zip([name] * len(hits), piece[hits].tolist(), first[hits].tolist(), past[hits].tolist(), strict=True)
+
+    def sections(self, tokens: list[list[str]]) -> Iterator[tuple[list[str], list[tuple[int, int]], list[tuple[int, int, int, int]]]]:
+        """Words to be signed together, and their pieces: (text, its word at the section's start) and what windows() takes.
+        Texts follow one another; of a long one each section takes what begins in it, with the words that windows need."""
+        reach = max(c[0] for c in self.classes)
+        words, of, pieces = [], [], []
+        for d, found in enumerate(tokens):
+            n = len(found) - SHINGLE + 1
+            for base in range(0, max(0, n), SECTION):
+                part = found[base : base + SECTION + reach + SHINGLE] if n > SECTION else found
+                of.append((d, base - len(words)))
+                pieces.append((len(words), base, min(SECTION, n - base), n - base))
+                words += part
+                if len(words) >= SECTION:
+                    yield words, of, pieces
+                    words, of, pieces = [], [], []
+        if pieces:
+            yield words, of, pieces
 
     def scan(self, texts: list[str | None]) -> list[tuple[str | None, float, int, str]]:
         """For each text: the template held best, its containment, the windows that hold it, all templates held."""
         tokens = [words(t) for t in texts]
         best: list[dict[str, float]] = [{} for _ in texts]
         windows: list[dict[str, int]] = [{} for _ in texts]
-        start, gap = 0, max(c[0] for c in self.classes)
-        while start < len(tokens):  # texts are signed together, in sections of bounded size
-            stop, size = start, 0
-            while stop < len(tokens) and (stop == start or size + len(tokens[stop]) <= SECTION):
-                size += len(tokens[stop])
-                stop += 1
-            for i, first, part in self.sections(tokens, start, stop, gap):
-                hashes = shingle_hashes(part)
-                if not len(hashes):
-                    continue
-                for name, a, b in self.candidates(hashes):
-                    of = self.templates[name]
-                    if i is not None:
-                        a_doc, lo, hi = i, a, b
-                        held = shingles(part[lo:hi])
-                        self.note(best[a_doc], windows[a_doc], name, len(of & held) / len(of))
-                    else:
-                        for d, lo, hi in self.inside(first, a, min(b, len(part))):
-                            self.note(best[d], windows[d], name, len(of & shingles(part[lo:hi])) / len(of))
-            start = stop
+        for part, of, pieces in self.sections(tokens):
+            for name, piece, a, b in self.candidates(shingle_hashes(part), self.windows(pieces)):
+                d, shift = of[piece]
+                template = self.templates[name]
+                share = len(template & shingles(tokens[d][a + shift : b + shift + SHINGLE - 1])) / len(template)
+                if share >= self.similarity:
+                    best[d][name] = max(share, best[d].get(name, 0.0))
+                    windows[d][name] = windows[d].get(name, 0) + 1
         out: list[tuple[str | None, float, int, str]] = []
         for b, w in zip(best, windows, strict=True):
             top = min(b, key=lambda name: (-b[name], name), default=None)
             out.append((top, b.get(top, 0.0), w.get(top, 0), ",".join(sorted(b))))
         return out
 
-    def note(self, best: dict[str, float], windows: dict[str, int], name: str, share: float) -> None:
-        if share >= self.similarity:
-            best[name] = max(share, best.get(name, 0.0))
-            windows[name] = windows.get(name, 0) + 1
-
-    @staticmethod
-    def sections(tokens, start, stop, gap):
-        """Either several whole texts, one after another (None, [(text, first word, past the last)], words), or
-        overlapping sections of one long text (text, None, words)."""
-        if stop == start + 1 and len(tokens[start]) > SECTION:
-            step = SECTION - gap
-            for at in range(0, len(tokens[start]), step):
-                yield start, None, tokens[start][at : at + SECTION]
-            return
-        bounds, part = [], []
-        for d in range(start, stop):
-            bounds.append((d, len(part), len(part) + len(tokens[d])))
-            part += tokens[d]
-        yield None, bounds, part
-
-    @staticmethod
-    def inside(bounds, a, b):
-        """The stretches of single texts within words a to b."""
-        import bisect
-
-        at = bisect.bisect_right(bounds, a, key=lambda x: x[1]) - 1
-        while at < len(bounds) and bounds[at][1] < b:
-            d, lo, hi = bounds[at]
-            if max(lo, a) < min(hi, b):
-                yield d, max(lo, a), min(hi, b)
-            at += 1
-
 
 def license_scan(docs: DataFrame, templates: dict[str, str] | None = None, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
-    """One row for each row of docs: doc_id, license (held best), containment, n_windows, licenses (all, by commas)."""
+    """One row for each row of docs: doc_id, license (held best), containment, n_windows, licenses (all, by commas).
+    templates: name to text, whole licence texts or notices of five words at least."""
     looked_for = templates or TEMPLATES
 
     def run(batches):

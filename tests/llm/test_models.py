@@ -152,6 +152,36 @@ def test_license_in_a_very_long_text():
         assert found[0] == "GPL-3.0 header" and found[1] == 1
 
 
+def test_license_scan_does_not_depend_on_neighbours(spark):
+    rng = np.random.default_rng(14)
+    names = list(license_scan.TEMPLATES)
+    texts = []
+    for i in range(250):
+        filler = [f"w{x}" for x in rng.integers(0, 500, int(rng.integers(0, 200)))]
+        text = license_scan.TEMPLATES[names[i % len(names)]].split()
+        for _ in range(int(rng.integers(0, 4))):
+            text[int(rng.integers(len(text)))] = "changed"
+        at = int(rng.integers(0, len(filler) + 1))
+        texts.append(" ".join(filler[:at] + text + filler[at:]) if i % 9 else None)
+    scanner = license_scan.Scanner(license_scan.TEMPLATES)
+    alone = [scanner.scan([t])[0] for t in texts]
+    assert scanner.scan(texts) == alone and any(x[0] for x in alone)
+    docs = frame(spark, [(i, t, None) for i, t in enumerate(texts)])
+    for parts in (1, 5):
+        assert sorted(map(tuple, license_scan.license_scan(docs.repartition(parts, "doc_id")).collect())) == [(i, *x) for i, x in enumerate(alone)]
+
+
+def test_license_windows_of_sections_are_those_of_the_whole_text(monkeypatch):
+    rng = np.random.default_rng(15)
+    scanner = license_scan.Scanner(license_scan.TEMPLATES)
+    filler = lambda n: [f"w{x}" for x in rng.integers(0, 50, n)]
+    texts = [" ".join(sum((filler(int(rng.integers(0, 90))) + license_scan.TEMPLATES[n].split() for n in rng.permutation(list(license_scan.TEMPLATES))), [])) for _ in range(4)] + ["a b c", "", None]
+    whole = scanner.scan(texts)
+    for section in (150, 211, 400):
+        monkeypatch.setattr(license_scan, "SECTION", section)
+        assert scanner.scan(texts) == whole
+
+
 # --- URLs
 
 
