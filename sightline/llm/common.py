@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -44,9 +45,12 @@ def held(frame: DataFrame) -> DataFrame:
 
 def release(spark: SparkSession) -> None:
     """After a cut: asks the driver for a garbage collection, by which Spark's cleaner finds the shuffles that no frame
-    refers to any more and removes their files, rather than at the next chance (spark.cleaner.periodicGC.interval)."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    refers to any more and removes their files, rather than at the next chance (spark.cleaner.periodicGC.interval).
+    Twice: the events of the query that has just ended still hold it for a moment."""
+    for _ in range(2):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.2)
 
 
 def fine_buckets(rows: int, size: int = 4096) -> int:
@@ -156,5 +160,5 @@ def in_groups(batches, gid: int = 0):
 def keep_rows(docs: DataFrame, decide) -> DataFrame:
     """The rows of docs, with all their columns, whose row ids decide(docs with sightline_row) returns as row_id."""
     kept = held(docs.withColumn("sightline_row", F.monotonically_increasing_id()))
-    stay = decide(kept).select(F.col("row_id").alias("stay_"))
-    return kept.join(stay, kept["sightline_row"] == F.col("stay_"), "left_semi").select(*docs.columns)
+    stay = decide(kept).select(F.col("row_id").alias("sightline_row"))
+    return kept.join(stay, "sightline_row", "left_semi").select(*docs.columns)
