@@ -4,10 +4,15 @@ Each source's documents are shuffled by a hash of their id and read as one endle
 equal length. Slots are numbered from 0; the golden-ratio point of a slot falls into the cumulative target shares and
 names the slot's source; the slot's rank among its source's slots names the block. Slots past a source's target are
 empty, and what the points leave of a target (a few blocks) is added as slots at the end, so each source gives
-floor(target) words.
+floor(target) words. The schedule is thus an order of all words of the mix in which any stretch holds the sources near
+their shares: taken_words returns each document's first slot, and mixed writes its rows sorted by it.
+
+Blocks hold BLOCK_WORDS words, fewer where the corpus would then have fewer than SLOTS blocks (a smaller corpus needs
+shorter blocks to interleave as finely); nothing else depends on the corpus's size.
 
 Defined cases: a null text has no words and is never taken; a null source is a source, the last in order; an empty
-table, or one without words, gives targets of zero; rows that repeat count one by one; other columns are ignored.
+table, or one without words, gives targets of zero; rows that repeat count one by one; of a very long document each
+block is a slot of its own; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -100,23 +105,26 @@ def with_row_id(docs: DataFrame) -> DataFrame:
 
 
 def taken_words(docs: DataFrame, **how) -> DataFrame:
-    """One row for each row of docs: doc_id, size, source_size, target, taken."""
+    """One row for each row of docs: doc_id, size, source_size, target, taken, first_slot (null if nothing is taken) and
+    n_slots: of the schedule's slots, the first that takes words of it, and how many do."""
     m = mix(with_row_id(docs.select("doc_id", "source", "text")), **how)
-    taken = m.pieces.groupBy("row_id").agg(F.sum("words").alias("taken"))
+    taken = m.pieces.groupBy("row_id").agg(F.sum("words").alias("taken"), F.min("slot").alias("first_slot"), F.count("*").alias("n_slots"))
     rows = heavy_join(m.rows.drop("source"), m.sources.select("skey", "n_docs", "source_size", "target"), "skey", F.col("n_docs"), m.n_rows)
     rows = rows.join(taken, "row_id", "left")
-    return rows.select("doc_id", "size", "source_size", F.round("target", 6).alias("target"), F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
+    return rows.select("doc_id", "size", "source_size", F.round("target", 6).alias("target"), F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), "first_slot", F.coalesce("n_slots", F.lit(0)).cast("long").alias("n_slots"))
 
 
 def mixed(docs: DataFrame, **how) -> DataFrame:
     """The documents of the mix with the columns of docs: a row for each time a document is taken, the text cut after
-    the words taken where a source ends."""
+    the words taken where a source ends. Rows are dealt evenly, and each partition is in the order of the schedule, so a
+    reader of any of them meets the sources near their shares all along."""
     kept = held(docs.withColumn("mix_row_", F.monotonically_increasing_id()))
     m = mix(kept.select(F.col("mix_row_").alias("row_id"), "doc_id", "source", "text"), **how)
-    times = m.pieces.groupBy("row_id", "epoch").agg(F.sum("words").alias("mix_words_")).join(m.rows.select("row_id", F.col("size").alias("mix_size_")), "row_id")
+    times = m.pieces.groupBy("row_id", "epoch").agg(F.sum("words").alias("mix_words_"), F.min("slot").alias("mix_slot_")).join(m.rows.select("row_id", F.col("size").alias("mix_size_")), "row_id")
+    times = times.select(F.col("row_id").alias("mix_row_"), "mix_words_", "mix_slot_", "mix_size_")
     whole = F.col("mix_words_") >= F.col("mix_size_")
     head = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(WORD), F.lit(0)), 1, F.col("mix_words_").cast("int")), " ")
-    out = kept.join(times.withColumnRenamed("row_id", "mix_row_"), "mix_row_").withColumn("text", F.when(whole, F.col("text")).otherwise(head))
+    out = kept.join(times, "mix_row_").withColumn("text", F.when(whole, F.col("text")).otherwise(head))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(whole, F.col("n_chars")).otherwise(F.length("text")).cast(docs.schema["n_chars"].dataType))
-    return out.select(*docs.columns)
+    return out.sortWithinPartitions("mix_slot_").select(*docs.columns)

@@ -54,13 +54,31 @@ v as (select *, (total - coalesce(sum(cap) over (order by ratio, rn rows between
              / sum(w) over (order by ratio, rn rows between current row and unbounded following) as level from f),
 l as (select level from v where level <= ratio order by ratio, rn limit 1),
 t as (select source, source_size, least(w * l.level, cap::double) as target, floor(least(w * l.level, cap::double))::bigint as goal from v, l),
-o as (select doc_id, size, source_size, target, goal, coalesce(sum(size) over (partition by d.source
+o as (select d.source, doc_id, size, source_size, target, goal, row_number() over () as row_id, coalesce(sum(size) over (partition by d.source
              order by spread, doc_id nulls last, size rows between unbounded preceding and 1 preceding), 0)::bigint as before
-      from d join t on d.source is not distinct from t.source)
+      from d join t on d.source is not distinct from t.source),
+e as (select t.source, goal, row_number() over (order by t.source nulls last) as rn,
+             sum(goal) over (order by t.source nulls last) as high, sum(goal) over () as shares, sum(source_size) over () as words from t),
+b as (select *, greatest(1, least(4096, words // 131072))::bigint as block from e),
+c as (select *, ceil(goal / block)::bigint as need, ceil(words / block)::bigint as n_slots from b),
+p as (select i as slot, floor((i % 1073741824 * 663608941 % 1073741824)::double / 1073741824 * shares)::bigint as pos
+      from (select unnest(range(n_slots)) as i, greatest(shares, 1) as shares from (select distinct n_slots, shares from c))),
+g as (select source, need, slot, row_number() over (partition by source order by slot) - 1 as rank
+      from p join c on pos >= high - goal and pos < high),
+h as (select source, count(*) as have from g group by source),
+m as (select c.source, rn, n_slots, unnest(range(coalesce(have, 0), need)) as rank from c left join h on c.source is not distinct from h.source),
+q as (select source, rank, slot from g where rank < need
+      union all select source, rank, n_slots + row_number() over (order by rank, rn) - 1 as slot from m),
+y as (select x.source, row_id, unnest(range(x.low // b.block, (x.top - 1) // b.block + 1)) as rank
+      from (select source, row_id, k * source_size + before as low, least(k * source_size + before + size, goal) as top
+            from o, (select unnest(range(3)) as k) where size > 0) x join b on x.source is not distinct from b.source where x.low < x.top),
+z as (select row_id, min(slot)::bigint as first_slot, count(*)::bigint as n_slots
+      from y join q on y.source is not distinct from q.source and y.rank = q.rank group by row_id)
 select doc_id, size::bigint as size, source_size, round(target, 6) as target,
        (greatest(0, least(before + size, goal) - before)
         + greatest(0, least(source_size + before + size, goal) - source_size - before)
-        + greatest(0, least(2 * source_size + before + size, goal) - 2 * source_size - before))::bigint as taken from o
+        + greatest(0, least(2 * source_size + before + size, goal) - 2 * source_size - before))::bigint as taken,
+       first_slot, coalesce(n_slots, 0)::bigint as n_slots from o left join z using (row_id)
 """
 
 

@@ -44,6 +44,23 @@ def test_exact_dedup_verifies_bytes(spark):
     assert exact_dedup.unequal(both, clash).count() == 0
 
 
+def test_exact_dedup_where_digests_clash(spark, monkeypatch):
+    """A digest of four bits: many texts share one, and only their bytes tell them apart."""
+    from pyspark.sql import functions as F
+
+    rng = np.random.default_rng(16)
+    rows = [(i, f"text {int(rng.integers(60))}" + " " * int(rng.integers(3)), "x") for i in range(400)] + ODD
+    monkeypatch.setattr(exact_dedup, "digest", lambda norm: F.unhex(F.substring(F.sha2(F.encode(norm, "UTF-8"), 256), 1, 1)))
+    monkeypatch.setattr(exact_dedup, "SALT_ROWS", 7)
+    groups = defaultdict(list)
+    for i, t, _ in rows:
+        groups[re.sub(r"[\x20\x09-\x0D]", "", t or "")].append((-len(t or ""), i is None, i or 0, i))
+    want = sorted((str(i), str(min(g)[3]), len(g)) for g in groups.values() for *_, i in g)
+    got = exact_dedup.exact_dedup(frame(spark, rows)).collect()
+    assert sorted((str(r.doc_id), str(r.keep_id), r.group_size) for r in got) == want
+    assert sum(r.kept for r in got) == len(groups)
+
+
 @pytest.mark.parametrize("operator", [exact_dedup.exact_dedup, simhash.simhash, mixing.taken_words, packing.pack])
 def test_empty_table(spark, operator):
     assert operator(frame(spark, [])).count() == 0
@@ -98,6 +115,35 @@ def test_schedule_interleaves_sources(spark):
     assert longest <= 6  # never long stretches of one source
 
 
+def test_slots_come_from_the_sequence(spark, monkeypatch):
+    docs = frame(spark, [(i, "w " * (i % 50), "ab"[i % 2] if i % 7 else None) for i in range(200)])
+    golden = {r.doc_id: r for r in mixing.taken_words(docs).collect()}
+    monkeypatch.setattr(mixing, "GOLDEN", 1)  # points in order: one source after another
+    plain = {r.doc_id: r for r in mixing.taken_words(docs).collect()}
+    assert all(r.taken == plain[i].taken and (r.first_slot is None) == (r.taken == 0) and r.n_slots >= (r.taken > 0) for i, r in golden.items())
+    assert sum(r.first_slot != plain[i].first_slot for i, r in golden.items()) > 100
+    monkeypatch.undo()
+    m = mixing.mix(mixing.with_row_id(docs))
+    slots = m.pieces.join(m.rows, "row_id").groupBy("skey").agg({"slot": "count"}).collect()
+    for r in slots:  # any prefix of the schedule holds the sources near their shares
+        mine = [x.slot for x in m.pieces.join(m.rows, "row_id").filter(f"skey = '{r.skey}'").select("slot").distinct().orderBy("slot").collect()]
+        last = mine[-1]
+        for k in (len(mine) // 4, len(mine) // 2):
+            assert abs(mine[k] / last - k / len(mine)) < 0.1
+
+
+def test_clashing_names_and_long_texts_in_stages(spark):
+    rows = [(1, "long words here " * 60_000, "a"), (2, "b " * 5, "a"), (3, "b  " * 5, None), (4, None, "b")] + [(10 + i, f"w{i} x y z " * 20, "ab"[i % 2]) for i in range(20)]
+    docs = frame(spark, rows)
+    for name in ("epoch", "slot", "row_id", "rank", "length", "piece", "fp", "words", "start", "digest_", "norm", "points", "size", "skey", "bucket_", "n_", "stay_", "id", "component", "mix_words"):
+        docs = docs.selectExpr("*", f"'clash' as {name}")
+    for stage in (exact_dedup.keep_one, simhash.keep_one, mixing.mixed):
+        out = stage(docs)
+        assert out.columns == docs.columns and out.count() and stage(docs.limit(0)).count() == 0
+        assert {r.doc_id: r.text for r in out.select("doc_id", "text").collect()}.get(2, "b " * 5).startswith("b")
+    assert packing.pack(docs).filter("doc_id = 1").count() > 100 and simhash.simhash(docs).count() == mixing.taken_words(docs).count() == len(rows)
+
+
 def fp(text):
     words = [re.sub("[A-Z]", lambda m: m[0].lower(), w) for w in WORD.findall(text or "")]
     if not words:
@@ -174,6 +220,18 @@ def test_tokens_equal_the_tokenizers_library(spark):
         assert [np.frombuffer(x, "<u4").tolist() for x in encoder.encode(odd)] == plain(odd)
 
 
+def test_tokens_of_all_documents_equal_the_library(spark):
+    import pyarrow.parquet as pq
+    from tokenizers import Tokenizer
+
+    import public_tokenizers
+
+    plain = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    texts = [t or "" for t in pq.read_table("/root/testdata/sf0.01/documents.parquet", columns=["text"])["text"].to_pylist()]
+    for t, ids in zip(texts, packing.Encoder(packing.default_tokenizer()).encode(texts), strict=True):
+        assert np.frombuffer(ids, "<u4").tolist() == plain.encode(t, add_special_tokens=False).ids
+
+
 def test_added_tokens_are_those_of_the_library_by_default(spark):
     import public_tokenizers
     from tokenizers import Tokenizer
