@@ -16,12 +16,16 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a local one where it is unset (tests, one machine)."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset, a local folder on one machine
+    (tests); on a cluster that is an error."""
     context = spark.sparkContext
-    known = spark.conf.get("spark.checkpoint.dir", None)
-    if known is None and context.getCheckpointDir() is None:
+    known = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if known is None:
+        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="sightline-"))
-    return (known or context.getCheckpointDir()).rstrip("/")
+        known = context.getCheckpointDir()
+    return known.rstrip("/")
 
 
 def cut(frame: DataFrame, sort_by: str | None = None, **options: str) -> DataFrame:

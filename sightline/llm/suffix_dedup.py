@@ -33,7 +33,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, heavy_join, release
+from .common import cut, release
 
 LENGTH, GRAM, SEED = 50, 20, 5
 LAST = (1 << 63) - 1
@@ -303,9 +303,10 @@ def _cores(length: int, parts: list[tuple[int, int]]):
 
 
 def with_rivals(rows: DataFrame) -> DataFrame:
-    """Adds first, the smallest id of a rank; rows whose rank one id alone holds are dropped. rows: a table."""
-    met = rows.groupBy("rank").agg(F.min("id").alias("first"), F.max("id").alias("final"), F.count("*").alias("n_")).filter("first < final").drop("final")
-    return heavy_join(rows, met, "rank", F.col("n_"), rows.count()).drop("n_")
+    """Adds first, the smallest id of a rank; rows whose rank one id alone holds are dropped. Sums before the shuffle,
+    then a join of two tables, of which Spark may split a frequent rank."""
+    met = cut(rows.groupBy("rank").agg(F.min("id").alias("first"), F.max("id").alias("final")).filter("first < final").drop("final"))
+    return rows.join(met, "rank")
 
 
 def longer(met: DataFrame, near: int, far: int) -> DataFrame:
