@@ -4,22 +4,25 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """Where tables that executors and driver share may be written: the checkpoint folder. Where it is unset, a local
+    folder on one machine; on a cluster that is an error."""
+    context = spark.sparkContext
+    known = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if known is None:
+        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="sightline-"))
+        known = context.getCheckpointDir()
+    return known.rstrip("/")
 
 
 def settled(frame: DataFrame) -> DataFrame:
-    """frame, computed once and kept in the checkpoint folder (spark.checkpoint.dir; a local one only where that is
-    unset, as on one machine)."""
+    """frame, computed once and kept in the checkpoint folder."""
     context = frame.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(frame.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="sightline-"))
+        context.setCheckpointDir(shared_folder(frame.sparkSession))
     return frame.checkpoint()
-
-
-def shared_folder(spark) -> str:
-    """Where tables that executors and driver share may be written: the checkpoint folder."""
-    context = spark.sparkContext
-    known = spark.conf.get("spark.checkpoint.dir", None)
-    if known is None and context.getCheckpointDir() is None:
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="sightline-"))
-    return (known or context.getCheckpointDir()).rstrip("/")

@@ -3,6 +3,9 @@ wrong kind is null, a file that is no object is left out."""
 
 from __future__ import annotations
 
+import hashlib
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -27,13 +30,14 @@ PACKETS = "packets array<struct<pts_time:string,dts_time:string,size:string,flag
 VIDEO_SUFFIXES = (".mp4", ".mov", ".mkv", ".avi", ".m4v")  # fixed values
 
 
-def read_json(spark: SparkSession, path: str, schema: str, recursive: bool = False) -> DataFrame:
-    """One row for each file that holds an object, with file_path and bad (what could not be read, else null)."""
+def read_json(spark: SparkSession, path: str, schema: str, name: str | None = None) -> DataFrame:
+    """One row for each file that holds an object, with file_path and bad (what could not be read, else null). name: of
+    the files, at any depth below path; no other is opened."""
     fields = T.StructType.fromDDL(schema) if hasattr(T.StructType, "fromDDL") else spark.createDataFrame([], schema).schema
     full = T.StructType([*fields.fields, T.StructField("bad", T.StringType())])
     reader = spark.read.schema(full).option("multiLine", True).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "bad")
-    if recursive:
-        reader = reader.option("recursiveFileLookup", True).option("pathGlobFilter", "*.json")
+    if name:
+        reader = reader.option("recursiveFileLookup", True).option("pathGlobFilter", name)
     rows = reader.json(path).withColumn("file_path", F.col("_metadata.file_path"))
     # a field of the wrong kind also marks a row as bad; only what is no object, and so has no field at all, is
     none = F.from_json("bad", "map<string,string>").isNull() & F.coalesce(*(F.col(f.name).cast("string") for f in fields.fields if isinstance(f.dataType, T.AtomicType))).isNull()
@@ -60,14 +64,14 @@ def files(spark: SparkSession, root: str, pattern: str = "*") -> DataFrame:
 def read_clips(spark: SparkSession, root: str) -> DataFrame:
     """Clips that have both metadata and a video."""
     folder = lambda c: F.regexp_replace(c, "/[^/]+$", "")
-    rows = read_json(spark, root, CLIPS, recursive=True).filter("bad is null and file_path like '%/metadata.json'").withColumn("clip_dir", folder(F.col("file_path")))
+    rows = read_json(spark, root, CLIPS, "metadata.json").filter("bad is null").withColumn("clip_dir", folder(F.col("file_path")))
     return rows.join(files(spark, root, "clip.mp4").select(folder(F.col("path")).alias("clip_dir")), "clip_dir", "left_semi").drop("bad")
 
 
 def read_label_ranges(spark: SparkSession, root: str) -> DataFrame:
     """One row for each range of labels.json files whose clip has a video."""
     folder = lambda c: F.regexp_replace(c, "/[^/]+$", "")
-    rows = read_json(spark, root, LABELS, recursive=True).filter("bad is null and file_path like '%/labels.json'").withColumn("clip_dir", folder(F.col("file_path")))
+    rows = read_json(spark, root, LABELS, "labels.json").filter("bad is null").withColumn("clip_dir", folder(F.col("file_path")))
     rows = rows.join(files(spark, root, "clip.mp4").select(folder(F.col("path")).alias("clip_dir")), "clip_dir", "left_semi")
     return rows.select("clip_dir", F.coalesce("clip", F.element_at(F.split("clip_dir", "/"), -1)).alias("clip"), F.inline("ranges")).distinct()
 
@@ -77,9 +81,52 @@ def recordings(spark: SparkSession, root: str) -> DataFrame:
     return files(spark, root).filter(suffix.isin(*VIDEO_SUFFIXES)).orderBy("path")
 
 
+def opened(path: str):
+    """A file system and a path in it, of a path as Spark names it."""
+    from pyarrow.fs import FileSystem
+
+    return FileSystem.from_uri(re.sub("^(file:)?/+", "file:///", path) if path.startswith(("/", "file:")) else path)
+
+
 def checksums(spark: SparkSession, root: str, pattern: str = "*") -> DataFrame:
-    rows = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(root)
-    return rows.select("path", F.sha2("content", 256).alias("checksum"))
+    """path and checksum (null if it can't be read) of files, read in blocks of a megabyte, never whole."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            found = []
+            for path in batch.column(0).to_pylist():
+                digest = hashlib.sha256()
+                try:
+                    system, place = opened(path)
+                    with system.open_input_stream(place) as stream:
+                        while block := stream.read(1 << 20):
+                            digest.update(block)
+                    found.append(digest.hexdigest())
+                except OSError:
+                    found.append(None)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.string())], names=["path", "checksum"])
+
+    return files(spark, root, pattern).select("path").mapInArrow(run, "path string, checksum string")
+
+
+def write_files(rows: DataFrame, root: str) -> int:
+    """One file for each row (path below root, text), in folders as needed; how many were written. A row that is written
+    again replaces its former self, so tasks may be tried again."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        system, top = opened(root)
+        for batch in batches:
+            for path, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                system.create_dir(f"{top}/{path.rpartition('/')[0]}", recursive=True)
+                with system.open_output_stream(f"{top}/{path}") as stream:
+                    stream.write(text.encode())
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows], pa.int64())], names=["n"])
+
+    return rows.select("path", "text").mapInArrow(run, "n long").agg({"n": "sum"}).first()[0] or 0
 
 
 def camera_names(texts: DataFrame, column: str = "value") -> DataFrame:
@@ -121,5 +168,16 @@ def write_events(events: DataFrame, path: str) -> None:
     events.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("camera_dir", "date_dir").parquet(path)
 
 
+#: The columns of a manifest file.
+MANIFEST = ("crop_path", "dog_crop_path", "behavior", "dog", "track_id", "clip_id", "source_id", "date", "split", "matched")
+
+
+def manifest_columns(rows: DataFrame) -> DataFrame:
+    """What labels.manifest returns under the manifest file's names."""
+    of = {"crop_path": "behavior_path", "dog_crop_path": "name_path", "dog": "name", "clip_id": "clip", "date": "day"}
+    return rows.select(*(F.col(of.get(c, c)).cast("string").alias(c) for c in MANIFEST))
+
+
 def write_manifest(rows: DataFrame, path: str) -> None:
-    rows.write.mode("overwrite").option("header", True).csv(path)
+    """CSV files with a header, of what labels.manifest returns."""
+    manifest_columns(rows).write.mode("overwrite").option("header", True).option("emptyValue", "").csv(path)
