@@ -140,7 +140,7 @@ class Dwelling:
         self.machine = Machine(settings)
 
     def frame(self, number: int, rows: dict[str, np.ndarray]) -> list[tuple]:
-        boxes = np.stack([rows[c].astype(float) for c in ("x1", "y1", "x2", "y2")], axis=1)
+        boxes = rows["boxes"]
         here = np.flatnonzero(~np.isnan(boxes[:, 0]))
         postures = [Posture(rows["track_id"][i], *(float(rows[c][i]) for c in ("span_s", "motion_px", "window_start")), bool(rows["stationary"][i])) for i in here if rows["track_id"][i] is not None]
         return self.rows(self.machine.frame(float(rows["mono_ts"][0]), number, boxes[here], sorted(postures, key=lambda p: track_order(p.track)), int(rows["n_active"][0])))

@@ -2,6 +2,7 @@
 
 A tracker forgets everything once no track is alive, so a stretch of max_age + 1 sampled frames without a box is an
 exact cut: each burst between cuts is tracked by itself, and its track numbers are shifted by the births before it.
+What the trackers say is kept as a checkpoint, so that they run once for all that is read from it.
 """
 
 from __future__ import annotations
@@ -13,6 +14,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from ..lineage import settled
+
 TRACKED = "source string, segment long, frame_idx long, det_rank int, track_no int, births int, n_active int"
 #: Results are handed on in batches of about so many rows.
 OUT_ROWS = 10_000
@@ -27,16 +30,20 @@ class Tracker:
     min_confidence: float = 0.0
     center_gate: float = 0.0
     numbers: list[int] = field(default_factory=list)
-    last: list[np.ndarray] = field(default_factory=list)
+    last: list[list[float]] = field(default_factory=list)
     missed: list[int] = field(default_factory=list)
     born: int = 0
 
     def update(self, boxes: np.ndarray, confidence: np.ndarray) -> np.ndarray:
         """Takes one frame's boxes, empty or not; each box's track number, -1 if it is too unsure."""
         out = np.full(len(boxes), -1)
-        order = [i for i in np.argsort(-confidence, kind="stable") if confidence[i] >= self.min_confidence]
+        sure = confidence.tolist()
+        order = [i for i in sorted(range(len(sure)), key=lambda i: -sure[i]) if sure[i] >= self.min_confidence]
         pairs = []
-        if order and self.last:
+        if order and self.last and self.center_gate <= 0 and len(order) * len(self.last) <= 16:
+            new = boxes[order].tolist()
+            pairs = [(-s, 0.0, t, b) for t, old in enumerate(self.last) for b, box in enumerate(new) if (s := iou(old, box)) >= self.iou_threshold]
+        elif order and self.last:
             shared, apart = overlaps(np.array(self.last), boxes[order])
             near = (apart <= self.center_gate) if self.center_gate > 0 else np.zeros_like(shared, bool)
             far = apart if self.center_gate > 0 else np.zeros_like(apart)
@@ -49,7 +56,7 @@ class Tracker:
         alive = []
         for t in range(len(self.last)):
             if t in taken:
-                self.last[t], self.missed[t] = boxes[order[taken[t]]], 0
+                self.last[t], self.missed[t] = boxes[order[taken[t]]].tolist(), 0
                 out[order[taken[t]]] = self.numbers[t]
             else:
                 self.missed[t] += 1
@@ -59,11 +66,20 @@ class Tracker:
         for b, i in enumerate(order):
             if b not in used:
                 self.born += 1
-                self.numbers.append(self.born), self.last.append(boxes[i]), self.missed.append(0)
+                self.numbers.append(self.born), self.last.append(boxes[i].tolist()), self.missed.append(0)
                 out[i] = self.born
         return out
 
 
+def iou(a, b) -> float:
+    """Of two boxes, in the order of operations of overlaps: for a few boxes it is quicker."""
+    w, h = min(a[2], b[2]) - max(a[0], b[0]), min(a[3], b[3]) - max(a[1], b[1])
+    if w <= 0 or h <= 0:
+        return 0.0
+    whole = max(a[2] - a[0], 0) * max(a[3] - a[1], 0) + max(b[2] - b[0], 0) * max(b[3] - b[1], 0) - w * h
+    return w * h / whole if whole > 0 else 0.0
+
+
 def overlaps(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """IoU of all pairs, and centre distance in diagonals of a (infinite where a has none)."""
     w = np.minimum(a[:, None, 2], b[None, :, 2]) - np.maximum(a[:, None, 0], b[None, :, 0])
@@ -78,27 +94,45 @@ def overlaps(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return iou, np.divide(distance, diagonal, out=np.full_like(distance, np.inf), where=diagonal > 0)
 
 
-def segmented(frames: DataFrame, detections: DataFrame, max_age: int, min_confidence: float = 0.0) -> DataFrame:
-    """frames (source, frame_idx, ...) numbered by segment; each segment has its frames and up to max_age + 1 empty ones
-    after, and frames between segments are left out."""
+#: Frames of a source that one task numbers.
+STRETCH = 1 << 17
+
+
+def segmented(frames: DataFrame, detections: DataFrame, max_age: int, min_confidence: float = 0.0, stretch: int = STRETCH) -> DataFrame:
+    """frames (source, frame_idx, ...) with segment, the number of its first frame in the source; each segment has its
+    frames and up to max_age + 1 empty ones after, and frames between segments are left out.
+
+    A source's frames are dealt to stretches. What a stretch needs of those before it (how many frames they have, their
+    last frame with a box, where the last segment began) is one row for each, so a long history is never in one task."""
     sure = detections.filter(F.col("confidence") >= min_confidence).select("source", "frame_idx").distinct().withColumn("has_", F.lit(1))
-    order = Window.partitionBy("source").orderBy("frame_idx")
+    part = ["source", "stretch_"]
+    order = Window.partitionBy(*part).orderBy("frame_idx")
     past = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    numbered = frames.join(sure, ["source", "frame_idx"], "left").withColumn("n_", F.row_number().over(order))
+    earlier = Window.partitionBy("source").orderBy("stretch_").rowsBetween(Window.unboundedPreceding, -1)
+
+    def carried(rows: DataFrame, known, over, name: str) -> DataFrame:
+        """rows with name: what known sums up to over all stretches before."""
+        each = rows.groupBy(*part).agg(known.alias("k_")).select(*part, over(F.col("k_")).over(earlier).alias(name))
+        return rows.join(each, part)
+
+    rows = frames.join(sure, ["source", "frame_idx"], "left").withColumn("stretch_", F.floor(F.col("frame_idx") / stretch))
+    rows = carried(rows, F.count("*"), F.sum, "before_").withColumn("n_", F.row_number().over(order) + F.coalesce("before_", F.lit(0)))
     here = F.when(F.col("has_").isNotNull(), F.col("n_"))
-    numbered = numbered.withColumn("seen_", F.last(here, True).over(past))
-    earlier = F.lag("seen_").over(order)
-    new = F.col("has_").isNotNull() & (earlier.isNull() | (F.col("n_") - earlier >= max_age + 2))
-    numbered = numbered.withColumn("segment", F.sum(new.cast("int")).over(past).cast("long"))
-    return numbered.filter((F.col("segment") > 0) & (F.col("n_") - F.col("seen_") <= max_age + 1)).select(*frames.columns, "segment")
+    rows = carried(rows, F.max(here), F.max, "last_").withColumn("seen_", F.coalesce(F.last(here, True).over(past), "last_"))
+    before = F.coalesce(F.lag("seen_").over(order), "last_")
+    new = F.col("has_").isNotNull() & (before.isNull() | (F.col("n_") - before >= max_age + 2))
+    rows = rows.withColumn("begun_", F.when(new, F.col("n_")))
+    rows = carried(rows, F.max("begun_"), F.max, "open_").withColumn("segment", F.coalesce(F.last("begun_", True).over(past), "open_").cast("long"))
+    return rows.filter(F.col("segment").isNotNull() & (F.col("n_") - F.col("seen_") <= max_age + 1)).select(*frames.columns, "segment")
 
 
 def by_burst(rows: DataFrame, columns: list[str], state, schema: str) -> DataFrame:
     """Folds each burst's frames in their order, in one pass over sorted rows: neither a burst nor its results are ever
     held whole. rows: source, segment, frame_idx, det_rank and columns (numbers, or texts). state() makes a burst's
-    state with frame(frame_idx, rows as a dict of arrays) and end(), both giving tuples that follow source, segment."""
+    state with frame(frame_idx, rows as a dict of arrays, x1..y2 also together as boxes) and end(), both giving tuples that follow source, segment."""
     names = ["source", "segment", "frame_idx", "det_rank", *columns]
-    dealt = rows.select(*names).repartition("source", "segment").sortWithinPartitions("source", "segment", "frame_idx", "det_rank")
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # few bytes, but much to do: never coalesced
+    dealt = rows.select(*names).repartition(parts, "source", "segment").sortWithinPartitions("source", "segment", "frame_idx", "det_rank")
     return dealt.mapInArrow(_in_order(names, state, StructType.fromDDL(schema)), schema)
 
 
@@ -112,7 +146,7 @@ def _in_order(names: list[str], state, schema: StructType):
 
         def settle():
             """The frame whose rows are all read."""
-            held = {n: np.concatenate([p[n] for p in parts]) for n in names[3:]}
+            held = parts[0] if len(parts) == 1 else {n: np.concatenate([p[n] for p in parts]) for n in parts[0]}
             return [(*burst, *x) for x in now.frame(frame, held)]
 
         def pack(rows):
@@ -124,6 +158,8 @@ def _in_order(names: list[str], state, schema: StructType):
             sources, segments = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             frames = batch.column(2).to_pylist()
             arrays = {n: batch.column(i + 3).to_numpy(zero_copy_only=False) for i, n in enumerate(names[3:])}
+            if "x1" in arrays:
+                arrays["boxes"] = np.stack([arrays[c].astype(float) for c in ("x1", "y1", "x2", "y2")], axis=1)
             ids = list(zip(sources, segments, frames, strict=True))
             edges = [0, *(i for i in range(1, len(ids)) if ids[i] != ids[i - 1]), len(ids)]
             for a, b in zip(edges, edges[1:], strict=False):
@@ -158,8 +194,7 @@ class Tracking:
     def frame(self, number: int, rows: dict[str, np.ndarray]) -> list[tuple]:
         confidence = rows["confidence"].astype(float)
         real = ~np.isnan(confidence)
-        boxes = np.stack([rows[c].astype(float) for c in ("x1", "y1", "x2", "y2")], axis=1)[real]
-        numbers = self.tracker.update(boxes, confidence[real])
+        numbers = self.tracker.update(rows["boxes"][real], confidence[real])
         born, active = self.tracker.born, len(self.tracker.numbers)
         out = [(number, int(r), int(n), born, active) for r, n in zip(rows["det_rank"][real], numbers, strict=True) if n >= 0]
         return [*out, (number, -1, 0, born, active)]  # the frame itself
@@ -176,7 +211,7 @@ def tracked(frames: DataFrame, detections: DataFrame, iou_threshold: float = 0.3
     boxes = detections.select("source", "frame_idx", "det_rank", "x1", "y1", "x2", "y2", "confidence")
     joined = parts.join(boxes, ["source", "frame_idx"], "left")
     make = make or (lambda: Tracker(iou_threshold, max_age, min_confidence, center_gate))
-    raw = by_burst(joined, ["x1", "y1", "x2", "y2", "confidence"], lambda: Tracking(make), TRACKED)
+    raw = settled(by_burst(joined, ["x1", "y1", "x2", "y2", "confidence"], lambda: Tracking(make), TRACKED))
     births = raw.groupBy("source", "segment").agg(F.max("births").alias("b_"))
     before = Window.partitionBy("source").orderBy("segment").rowsBetween(Window.unboundedPreceding, -1)
     births = births.select("source", "segment", F.coalesce(F.sum("b_").over(before), F.lit(0)).alias("before_"))

@@ -57,7 +57,8 @@ def bad_events(spark: SparkSession, root: str) -> DataFrame:
 
 
 def files(spark: SparkSession, root: str, pattern: str = "*") -> DataFrame:
-    """path, modificationTime and length of files below root; contents are not read."""
+    """path, modificationTime and length of files below root; contents are not read. Spark's
+    listing leaves out files without a byte."""
     return spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(root).select("path", "modificationTime", "length")
 
 

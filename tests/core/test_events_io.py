@@ -159,3 +159,38 @@ def test_events_wait_for_their_post_roll(spark, tmp_path):
     stream = spark.readStream.schema("event_key string, end_ts timestamp").parquet(str(tmp_path / "in"))
     got = drained(sightings.released(stream, 30.0), "released_out", tmp_path / "ck").collect()
     assert sorted(r.event_key for r in got) == ["a", "b"]  # the last waits for time to pass
+
+
+def test_manifest_file(spark, tmp_path):
+    crop = "struct<x1:double,y1:double>"
+    rows = spark.createDataFrame([("behavior/train/pee/a.jpg", "", "pee", "unknown", "1", 3, "cam@x", "2024-02-03", "train", 1, 7, (1.0, 2.0)), ("behavior/val/poop/b.jpg", "dog/val/rex/b.jpg", "poop", "rex", "", 4, None, "2024-02-04", "val", 1, 8, None)], f"behavior_path string, name_path string, behavior string, name string, track_id string, clip int, source_id string, day string, split string, matched int, frame_idx int, crop {crop}")
+    metadata.write_manifest(rows.coalesce(1), str(tmp_path / "m"))
+    (file,) = (tmp_path / "m").glob("*.csv")
+    lines = file.read_text().splitlines()
+    assert lines[0] == "crop_path,dog_crop_path,behavior,dog,track_id,clip_id,source_id,date,split,matched"
+    assert lines[1] == "behavior/train/pee/a.jpg,,pee,unknown,1,3,cam@x,2024-02-03,train,1" and len(lines) == 3
+    metadata.write_manifest(rows.limit(0), str(tmp_path / "none"))
+
+
+def test_written_files_and_checksums(spark, tmp_path):
+    import hashlib
+
+    rows = spark.createDataFrame([("a/b/x.txt", "one"), ("a/y.txt", "é" * 700_000), ("z.txt", "")], "path string, text string")
+    for _ in range(2):  # the second replaces the first
+        assert metadata.write_files(rows, str(tmp_path)) == 3
+    assert (tmp_path / "a/b/x.txt").read_text() == "one"
+    got = {r.path.rsplit("/", 1)[1]: r.checksum for r in metadata.checksums(spark, str(tmp_path), "*.txt").collect()}
+    assert got == {"x.txt": hashlib.sha256(b"one").hexdigest(), "y.txt": hashlib.sha256(("é" * 700_000).encode()).hexdigest()}  # Spark lists no empty file
+    assert metadata.write_files(rows.limit(0), str(tmp_path)) == 0
+
+
+def test_streams_of_registered_queries(spark):
+    from sightline.plans import catalog
+
+    sf_dir = "/root/testdata/sf0.001"
+    events = catalog.queries()["k6_new_event_feed"](spark, sf_dir)
+    known = spark.read.parquet(f"{sf_dir}/events.parquet")
+    assert events.count() == events.distinct().count() == known.filter("event_id % 4 <> 0").count()
+    assert catalog.queries()["k5_released"](spark, sf_dir).count() == known.count() - 1  # the last waits for time to pass
+    cooled = catalog.queries()["k3_cooldown"](spark, sf_dir)
+    assert cooled.filter("until_s - since_s <> 2").count() == 0 and cooled.count()

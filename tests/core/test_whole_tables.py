@@ -169,3 +169,34 @@ def test_a_burst_is_never_held_whole():
     first = next(out)
     assert len(read) < 20 and set(first.column(4).to_pylist()) == {0, 1}
     assert first.num_rows + sum(b.num_rows for b in out) == 200_000
+
+
+def test_segments_do_not_depend_on_stretches(spark):
+    rng = np.random.default_rng(21)
+    frames, boxes = [], []
+    for source in "ab":
+        idx = np.sort(rng.choice(400, 250, replace=False))
+        frames += [(source, int(i)) for i in idx]
+        boxes += [(source, int(i), 0.9) for i in idx if (i // 37) % 3 == 0 and rng.random() < 0.6]
+    f, d = spark.createDataFrame(frames, "source string, frame_idx int"), spark.createDataFrame(boxes, "source string, frame_idx int, confidence double")
+    seen = [sorted(map(tuple, tracking.segmented(f, d, 4, stretch=s).collect())) for s in (1 << 17, 64, 7, 1)]
+    assert seen[0] and all(x == seen[0] for x in seen)
+    want, has = [], set((s, i) for s, i, _ in boxes)
+    for source in "ab":  # a plain loop
+        gap, segment, order = 99, None, [i for s, i in frames if s == source]
+        for n, i in enumerate(order, 1):
+            if (source, i) in has:
+                segment = n if gap > 4 + 1 - 1 and (segment is None or gap >= 5) else segment
+                gap = 0
+            else:
+                gap += 1
+            if segment is not None and gap <= 5:
+                want.append((source, i, segment))
+    assert seen[0] == sorted(want)
+
+
+def test_one_iou_is_that_of_all_pairs():
+    rng = np.random.default_rng(22)
+    boxes = rng.integers(0, 20, (40, 4)).astype(float)
+    every = tracking.overlaps(boxes, boxes)[0]
+    assert all(tracking.iou(a, b) == every[i, j] for i, a in enumerate(boxes.tolist()) for j, b in enumerate(boxes.tolist()))
