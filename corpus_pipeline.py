@@ -2,6 +2,10 @@
 
 Each stage takes what the stage before kept. All but the last return the columns of documents; the last returns the
 pieces of the packed sequences.
+
+Defined cases are those of the stages: null and empty texts have no language and go in the first; very long texts are
+taken whole; repeated rows become one in the second; a null doc_id is kept like any other; an empty table gives an empty
+result; other columns, whatever their names, come along to the end of the fourth stage.
 """
 
 from __future__ import annotations
