@@ -32,15 +32,15 @@ def matches(new: DataFrame, priors: DataFrame, tolerance_s: float, bucket_s: flo
     same = old.filter(known("p_provider_id")).withColumn("provider_", F.col("p_provider_id"))
     exact = own.filter(known("n_provider_id")).withColumn("provider_", F.col("n_provider_id")).join(same, [*KEYS, "provider_"])
     exact = exact.select(*own.columns, *(c for c in old.columns if c not in KEYS))
-    rest = own.join(exact.select(F.col("n_event_key")).distinct(), "n_event_key", "left_anti")
     fair = ~known("p_provider_id") | F.col("p_provider_id").eqNullSafe(F.col("n_provider_id"))
-    in_clip = interval_join(rest, old, KEYS, ("n_source_start_s", "n_source_end_s"), ("p_source_start_s", "p_source_end_s"), bucket_s)
-    wall = interval_join(rest, old, KEYS, ("n_start_s", "n_end_s"), ("p_start_s", "p_end_s"), bucket_s)
+    in_clip = interval_join(own, old, KEYS, ("n_source_start_s", "n_source_end_s"), ("p_source_start_s", "p_source_end_s"), bucket_s)
+    wall = interval_join(own, old, KEYS, ("n_start_s", "n_end_s"), ("p_start_s", "p_end_s"), bucket_s)
     low, high = F.col("n_start_s") - tolerance_s, F.col("n_start_s") + tolerance_s
-    near = interval_join(rest.withColumns({"lo_": low, "hi_": high}), old.withColumn("at_", F.col("p_start_s")), KEYS, ("lo_", "hi_"), ("p_start_s", "at_"), max(bucket_s, tolerance_s))
+    near = interval_join(own.withColumns({"lo_": low, "hi_": high}), old.withColumn("at_", F.col("p_start_s")), KEYS, ("lo_", "hi_"), ("p_start_s", "at_"), max(bucket_s, tolerance_s), 2 * tolerance_s)
     near = near.filter(F.abs(F.col("n_start_s") - F.col("p_start_s")) <= tolerance_s)
     columns = exact.columns
-    found = exact.unionByName(in_clip.select(*columns).unionByName(wall.select(*columns)).unionByName(near.select(*columns)).filter(fair))
+    rest = in_clip.select(*columns).unionByName(wall.select(*columns)).unionByName(near.select(*columns)).filter(fair)
+    found = exact.unionByName(rest.join(exact.select("n_event_key").distinct(), "n_event_key", "left_anti").select(*columns))
     found = found.dropDuplicates(["n_event_key", "p_event_key"])
     closest = Window.partitionBy("n_event_key").orderBy(F.abs(F.col("n_start_s") - F.col("p_start_s")).asc_nulls_last(), "p_dir_name", "p_event_key")
     return found.select(F.col("n_event_key").alias("new_key"), F.col("p_event_key").alias("prior_key"), F.row_number().over(closest).alias("rank"))

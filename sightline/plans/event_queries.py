@@ -50,7 +50,15 @@ def h12_label_carry(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reconcile.carried(groups, ["new_key"]).select("new_key", "n", "conflict", "event_id", "carried_label")
 
 
-@query()
+CLUSTERS = f"""(with recursive r as (select *, coalesce(end_s, start_s) as e, row_number() over (partition by camera_id, source_id order by start_s, event_key) as n from {E} where {IDENTIFIED}),
+f as (select camera_id, source_id, n, event_key, 0 as cluster, start_s as anchor, e as reach from r where n = 1
+  union all
+  select r.camera_id, r.source_id, r.n, r.event_key, case when joins then f.cluster else f.cluster + 1 end, case when joins then f.anchor else r.start_s end, case when joins then greatest(f.reach, r.e) else r.e end
+  from f join r on r.camera_id = f.camera_id and r.source_id = f.source_id and r.n = f.n + 1, lateral (select r.start_s <= f.reach or r.start_s - f.anchor <= 60 as joins))
+select event_key, camera_id, source_id, cluster from f)"""
+
+
+@query(f"select * from {CLUSTERS}")
 def h7_rerun_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..operators.intervals import anchored_clusters
 
@@ -58,18 +66,39 @@ def h7_rerun_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return anchored_clusters(rows, reconcile.KEYS, "start_s", "end_s", 60.0, "event_key").select("event_key", "camera_id", "source_id", "cluster")
 
 
-@query()
+# One row for each labelled state that rows of a group agree on; rank 1 first. Of equal times the first rank wins.
+LABELED = "label_status <> 'unlabeled'"
+LATEST = "coalesce(labeled_at, '') || lpad((100000 - rank)::varchar, 6, '0')"
+DECISION = f"""count(case when {LABELED} then 1 end) as n_labeled, count(distinct case when {LABELED} then label || '|' || coalesce(name, '') || '|' || coalesce(label_note, '') end) as kinds,
+  arg_max(label, {LATEST}) filter ({LABELED}) as best_label, arg_max(label_status, {LATEST}) filter ({LABELED}) as best_status, arg_max(event_id, {LATEST}) filter ({LABELED}) as best_id, arg_min(event_id, rank) as closest_id"""
+PLAN = f"""(with c as (select e.*, c.cluster, count(*) over (partition by e.camera_id, e.source_id, c.cluster) as size, row_number() over (partition by e.camera_id, e.source_id, c.cluster order by e.start_s, e.event_key) as rank
+  from {CLUSTERS} c join {E} e using (event_key)),
+d as (select camera_id, source_id, cluster, {DECISION} from c where size > 1 group by 1, 2, 3),
+k as (select *, row_number() over (partition by camera_id, source_id, cluster order by coalesce(recorded_s, modified_s, -1e18) desc, rank) as newest from c where size > 1),
+p as (select k.event_key, k.cluster, first_value(k.event_key) over (partition by k.camera_id, k.source_id, k.cluster order by k.newest) as keeper_key, d.kinds, case when d.n_labeled > 0 and d.kinds <= 1 then best_label end as carried_label,
+  case when d.n_labeled > 0 and d.kinds <= 1 then best_status end as carried_status from k join d using (camera_id, source_id, cluster))
+select event_key, cluster, keeper_key, case when kinds > 1 then 'conflict' when event_key = keeper_key then 'keep' else 'remove' end as action, carried_label, carried_status from p)"""
+
+
+@query(f"select event_key, cluster, keeper_key, action, carried_label from {PLAN}")
 def m1_collapse_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reconcile.collapse_plan(views.events(spark, sf_dir), 60.0).select("event_key", "cluster", "keeper_key", "action", "carried_label")
 
 
-@query()
+@query(f"""select e.event_key, case when p.action = 'keep' and carried_status is not null then carried_label else e.label end as label,
+  case when p.action = 'keep' and carried_status is not null then carried_status else e.label_status end as label_status from {E} e left join {PLAN} p using (event_key) where coalesce(p.action, '') <> 'remove'""")
 def m1_collapsed_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = views.events(spark, sf_dir)
     return reconcile.collapsed(rows, reconcile.collapse_plan(rows, 60.0)).select("event_key", "label", "label_status")
 
 
-@query()
+@query(f"""with w as (select m.new_key, m.prior_key, m.rank as r, row_number() over (partition by m.prior_key order by n.seq, m.new_key) as claim from {MATCHES} m join {N} n on n.event_key = m.new_key),
+g as (select w.new_key, row_number() over (partition by w.new_key order by w.r) as rank, p.* from w join {E} p on p.event_key = w.prior_key where claim = 1),
+d as (select new_key, {DECISION} from g group by 1)
+select event_key, event_id, label, label_status from {E} where event_key not in (select g.event_key from g join d using (new_key) where kinds <= 1)
+union all
+select n.event_key, coalesce(case when kinds <= 1 then case when n_labeled > 0 then best_id else closest_id end end, n.event_id), coalesce(case when kinds = 1 then best_label end, 'unknown'), coalesce(case when kinds = 1 then best_status end, 'unlabeled')
+from {N} n left join d on d.new_key = n.event_key""")
 def k7_recorded_run(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reconcile.recorded(views.new_events(spark, sf_dir), views.events(spark, sf_dir), 5.0).select("event_key", "event_id", "label", "label_status")
 

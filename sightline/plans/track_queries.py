@@ -96,9 +96,6 @@ def h14_look_back(spark: SparkSession, sf_dir: str) -> DataFrame:
     return events.look_back(views.frames(spark, sf_dir).withColumnRenamed("cam", "source"), 10.0, 40).select("source", "frame_idx")
 
 
-SPANS7 = f"(select camera_id, event_key as span_id, floor(start_s / 3600) * 3600 + 0::double as chunk, start_s as a, start_s + 4 + event_key % 5 as b from {E} where event_key % 2 = 0)"
-
-
 @query()
 def f7_chunk_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Spans seen by two chunks that overlap: every span that reaches over a chunk's end is found again in the next."""
@@ -218,7 +215,9 @@ class ByPlace:
         return np.where(boxes[:, 0] < 640, 1, 2) if len(boxes) else np.zeros(0, int)
 
 
-@query()
+@query(f"""with b as (select cam, frame_idx, x1 < 640 as is_left, case when frame_idx - lag(frame_idx) over (partition by cam order by frame_idx) < 7 then null else frame_idx + 1 end as begun from {D}),
+s as (select *, max(begun) over (partition by cam order by frame_idx)::bigint as segment from b)
+select cam::varchar as source, segment, count(distinct is_left) as n_tracks, count(*) as n from s group by 1, 2""")
 def n4_custom_tracker(spark: SparkSession, sf_dir: str) -> DataFrame:
     found, _ = tracking.tracked(*sources(spark, sf_dir), max_age=5, make=ByPlace)
     return found.groupBy("source", "segment").agg(F.count_distinct("track_id").alias("n_tracks"), F.count("*").alias("n"))

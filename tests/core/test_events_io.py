@@ -34,6 +34,57 @@ def test_clusters_do_not_chain_by_tolerance(spark):
     assert clusters(spark, (0, 0.5), (4, 4.5), (8, 8.5)) == [0, 0, 1]
 
 
+def looped(spans, tolerance):
+    out, anchor, reach, n = {}, None, None, -1
+    for s, k, e in sorted(((s, k, e) for k, s, e in spans), key=lambda x: (x[0] is not None, x[0] or 0, x[1])):
+        e = s if e is None else e
+        if s is None or anchor is None or not (s <= reach or s - anchor <= tolerance):
+            n, anchor, reach = n + 1, s, e
+        else:
+            reach = max(reach, e)
+        out[k] = n
+    return out
+
+
+@pytest.mark.parametrize("stretch", [7.0, 1e6])
+def test_clusters_over_stretches_are_those_of_a_loop(spark, stretch):
+    import random
+
+    draw = random.Random(4)
+    rows = {}
+    for camera, wide in (("a", 300), ("b", 3000)):
+        starts = [None if k % 50 == 0 else draw.uniform(0, wide) if k % 3 else float(draw.randrange(wide)) for k in range(150)]
+        rows[camera] = [(k, s, None if s is None or k % 9 == 0 else s + draw.choice([0.5, 1.0, 12.0])) for k, s in enumerate(starts)]
+    frame = spark.createDataFrame([(c, *x) for c, spans in rows.items() for x in spans], "camera_id string, k int, a double, b double")
+    got = {(r.camera_id, r.k): r.cluster for r in anchored_clusters(frame, ["camera_id"], "a", "b", 5.0, "k", stretch).collect()}
+    assert got == {(c, k): n for c, spans in rows.items() for k, n in looped(spans, 5.0).items()}
+
+
+def test_one_long_piece_is_folded_as_a_stream(spark):
+    rows = spark.range(100_000).select(F.lit("c").alias("camera_id"), "id", F.col("id").cast("double").alias("a"), (F.col("id") + F.when(F.col("id") == 0, 2e5).otherwise(1.0)).alias("b"))
+    found = anchored_clusters(rows, ["camera_id"], "a", "b", 5.0, "id").groupBy("cluster").count().collect()
+    assert [(r.cluster, r["count"]) for r in found] == [(0, 100_000)]
+
+
+@pytest.mark.parametrize("longest", [2.0, 1e5, 1e12, float("inf")])
+def test_interval_join_of_intervals_of_any_length(spark, longest):
+    import random
+
+    draw = random.Random(5)
+    span = lambda i: (s := draw.uniform(0, 500), s + (longest if i % 40 == 0 else draw.choice([0.0, 0.5, 90.0])))
+    left, right = ([(i % 2, i, *span(i)) for i in range(n)] for n in (150, 130))
+    pairs = interval_join(spark.createDataFrame(left, "c int, l int, a double, b double"), spark.createDataFrame(right, "c int, r int, x double, y double"), ["c"], ("a", "b"), ("x", "y"), 1.0)
+    got = sorted((r.l, r.r) for r in pairs.collect())
+    assert got == sorted((i, j) for c, i, a, b in left for d, j, x, y in right if c == d and a <= y and x <= b)
+
+
+def test_a_wrong_end_becomes_few_rows(spark):
+    from sightline.operators.intervals import _dealt, _levelled
+
+    rows = _levelled(spark.createDataFrame([(0.0, 1e9), (0.0, float("inf")), (0.0, 30.0)], "a double, b double"), ("a", "b"), 60.0)
+    assert _dealt(rows, ("a", "b"), F.array(*map(F.lit, range(9))), 1, 2, 60.0).count() < 500
+
+
 def test_matches(spark):
     priors = frame(spark, event("p1", 0, 2), event("p2", 1e9, 1e9 + 2, source_start_s=10.0, source_end_s=12.0), event("p3", 100, provider_id="x"), event("p4", 0, 2, source_id=""))
     new = frame(spark, event("n1", 1, 3), event("n2", 5e8, source_start_s=11.0, source_end_s=13.0), event("n3", 500, provider_id="x"), event("n4", 100))
