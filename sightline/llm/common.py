@@ -65,18 +65,20 @@ def fine_buckets(rows: int, size: int = 4096) -> int:
     return n
 
 
-def heavy_join(left: DataFrame, right: DataFrame, key: str, weight: Column, total: int, parts: int = 200) -> DataFrame:
+def heavy_join(left: DataFrame, right: DataFrame, key: str | list[str], weight: Column, total: int, parts: int = 200) -> DataFrame:
     """Inner join to a side with one row for each key. Keys of more than 1/parts of all left rows, which can be
     parts at most, are broadcast; the rest has no hot key and is shuffled."""
+    keys = [key] if isinstance(key, str) else key
     heavy = weight > total / parts
     hot = F.broadcast(right.filter(heavy))
-    return left.join(hot, key).unionByName(left.join(hot.select(key), key, "left_anti").join(right.filter(~heavy), key))
+    return left.join(hot, keys).unionByName(left.join(hot.select(*keys), keys, "left_anti").join(right.filter(~heavy), keys))
 
 
 def components(links: DataFrame, rounds: int = 60) -> DataFrame:
     """Connected components of links (a, b: long) as (node, component), the smallest id reachable; only linked nodes
-    come back. Alternating large-star and small-star rounds, each of a few joins and partial aggregations; every
-    round's links are written to the shared folder. Ends when a round changes nothing."""
+    come back. Alternating large-star and small-star rounds, each of a few joins and partial aggregations; a centre of
+    very many links is joined by broadcast, its links staying where they are. Every round's links are written to the
+    shared folder. Ends when a round changes nothing."""
     star = cut(links.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     digest = lambda d: tuple(d.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first())
     seen = digest(star)
@@ -84,11 +86,11 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
         return star.select(F.col("a").alias("node"), F.col("b").alias("component"))
     for _ in range(rounds):
         both = star.unionByName(star.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
-        large = both.join(least, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        large = large.unionByName(least.filter("m < a").select("a", F.col("m").alias("b"))).distinct()
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(low, "a").filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"), F.count("*").alias("n"))
+        large = heavy_join(both, least, "a", F.col("n"), 2 * seen[0]).filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        large = cut(large.unionByName(least.filter("m < a").select("a", F.col("m").alias("b"))).distinct())
+        low = cut(large.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n")))
+        small = heavy_join(large, low, "a", F.col("n"), seen[0]).filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         star = cut(small.unionByName(low.select("a", F.col("m").alias("b"))).distinct())
         now = digest(star)
         if now == seen:
@@ -128,8 +130,10 @@ def tile_groups(rows: DataFrame, key: str, item: Column, size: int, cell: Column
     tiles = F.ceil(F.col("n_") / size).cast("int")
     info = cells.select(key, "cell_", "n_", tiles.alias("tiles_"), F.sum("n_").over(whole).alias("all_"), F.map_from_entries(F.collect_list(F.struct("cell_", tiles)).over(whole)).alias("map_")).filter("all_ > 1")
     alone, rest = info.filter(F.col("all_") <= size).select(key).distinct(), info.filter(F.col("all_") > size)
-    small = rows.join(alone, key, "left_semi").select(*rows.columns, F.xxhash64(F.col(key)).alias("gid"), F.lit(2).alias("side"))
-    large = rows.join(rest, [key, "cell_"]).withColumn("tile_", F.pmod(F.xxhash64(item), F.col("tiles_")).cast("int"))
+    total = cells.agg(F.coalesce(F.sum("n_"), F.lit(0))).first()[0]
+    hot = rest.filter(F.col("all_") > total / 200).select(key).distinct()  # 200 at most: their rows need not be shuffled to be dropped
+    small = rows.join(F.broadcast(hot), key, "left_anti").join(alone, key, "left_semi").select(*rows.columns, F.xxhash64(F.col(key)).alias("gid"), F.lit(2).alias("side"))
+    large = heavy_join(rows, rest, [key, "cell_"], F.col("n_"), total).withColumn("tile_", F.pmod(F.xxhash64(item), F.col("tiles_")).cast("int"))
     mine = F.struct(F.col("cell_").alias("c"), F.col("tile_").alias("t"))
     others = F.flatten(F.transform(F.filter(F.sequence(F.col("cell_") - reach, F.col("cell_") + reach), lambda c: F.map_contains_key("map_", c)), lambda c: F.transform(F.sequence(F.lit(0), F.element_at("map_", c) - 1), lambda t: F.struct(c.alias("c"), t.alias("t")))))
     pair = lambda o: F.struct(F.xxhash64(F.col(key), F.least(mine, o)["c"], F.least(mine, o)["t"], F.greatest(mine, o)["c"], F.greatest(mine, o)["t"]).alias("gid"), F.when(mine == o, 2).when(mine < o, 0).otherwise(1).alias("side"))

@@ -210,6 +210,14 @@ def test_near_links_over_small_tiles(spark, tile):
     assert sorted(map(sorted, groups.values())) == sorted(sorted(x) for x in want.values() if len(x) > 1)
 
 
+def test_components_with_a_centre_of_most_links(spark):
+    from sightline.llm.common import components as connected
+
+    links = [(1_000, i) for i in range(2_000, 3_000)] + [(i, i + 1) for i in range(10, 300)] + [(10, 2_500), (5_000, 5_001)]
+    got = {r.node: r.component for r in connected(spark.createDataFrame(links, "a long, b long")).collect()}
+    assert got == {n: 5_000 if n >= 5_000 else 10 for link in links for n in link}
+
+
 def test_tokens_equal_the_tokenizers_library(spark):
     import public_tokenizers
 
