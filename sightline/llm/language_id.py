@@ -6,7 +6,8 @@ product over its words. Probabilities are learned by expectation maximisation ov
 
 Words are the runs of letters of the lower-cased text, with the vocabulary's word mark before each; pieces never cross
 words, so each distinct word is summed once and remembered. A character outside the vocabulary is the unknown piece.
-Words are cut after MAX_WORD characters.
+Words of any length are summed whole, and any piece of the vocabulary may be part of them: sums are scaled as they go
+on, so that long words do not vanish.
 
 The model is fitted on about SAMPLE_DOCS labelled documents of each language, chosen by a hash of the id (all, where
 there are fewer); at most MAX_LANGUAGES are learned, more is an error. All of each chosen text is used.
@@ -30,11 +31,12 @@ from pyspark.sql import functions as F
 from .common import cut
 
 SAMPLE_DOCS, MAX_LANGUAGES, ITERATIONS = 1500, 500, 3
-MAX_WORD, MAX_PIECE = 40, 12
 UNKNOWN, UNDETERMINED = 0, "und"
 SMOOTH = 0.01
-#: Words that a worker remembers.
-CACHE = 600_000
+#: Scores that a worker remembers (one for each word and language), and the longest word remembered.
+CACHE, CACHE_CHARS = 2_400_000, 64
+#: Positions between two scalings, and numbers that a forward pass holds.
+SCALE_EVERY, AT_ONCE = 8, 4_000_000
 #: Documents with a lower score are rejected by keep_known.
 REJECT_BELOW = 0.5
 _LETTERS = re.compile(r"[^\W\d_]+")
@@ -58,33 +60,33 @@ def pieces(path: str) -> dict[str, int]:
         known = {}
         for i in range(model.get_piece_size()):
             piece = model.id_to_piece(i)
-            if not (model.is_control(i) or model.is_byte(i) or model.is_unknown(i)) and len(piece) <= MAX_PIECE:
+            if not (model.is_control(i) or model.is_byte(i) or model.is_unknown(i)):
                 known.setdefault(piece.lower(), i)
         _VOCABULARIES[path] = known
     return _VOCABULARIES[path]
 
 
 def words(text: str | None) -> Counter:
-    found = Counter(_LETTERS.findall((text or "").lower()))
-    long = [w for w in found if len(w) > MAX_WORD]
-    for w in long:
-        n = found.pop(w)
-        for at in range(0, len(w), MAX_WORD):
-            found[w[at : at + MAX_WORD]] += n
-    return found
+    return Counter(_LETTERS.findall((text or "").lower()))
 
 
-def spans(batch: list[str], known: dict[str, int]) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """Of words of one length: (start, end, rows that have a piece there, their pieces), by end."""
+def longest(known: dict[str, int]) -> int:
+    return max(map(len, known), default=1)
+
+
+def spans(batch: list[str], known: dict[str, int], reach: int, backward: bool = False) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """Of words of one length: (start, end, rows that have a piece there, their pieces), by end, or by falling start."""
     marked = [MARK + w for w in batch]
-    get = known.get
-    for j in range(1, len(marked[0]) + 1):
-        for i in range(max(0, j - MAX_PIECE), j):
-            default = UNKNOWN if j == i + 1 else -1
-            ids = np.array([get(w[i:j], default) for w in marked])
+    get, n = known.get, len(marked[0])
+    ends = ((i, j) for j in range(1, n + 1) for i in range(max(0, j - reach), j))
+    starts = ((i, j) for i in range(n - 1, -1, -1) for j in range(i + 1, min(n, i + reach) + 1))
+    for i, j in starts if backward else ends:
+        default = UNKNOWN if j == i + 1 else -1
+        found = [get(w[i:j], default) for w in marked]
+        if max(found) >= 0:
+            ids = np.array(found)
             rows = np.flatnonzero(ids >= 0)
-            if len(rows):
-                yield i, j, rows, ids[rows]
+            yield i, j, rows, ids[rows]
 
 
 def by_length(batch: list[str]) -> list[list[str]]:
@@ -95,31 +97,61 @@ def by_length(batch: list[str]) -> list[list[str]]:
 
 
 def forward(batch: list[str], known: dict[str, int], p: np.ndarray) -> tuple[list[str], np.ndarray]:
-    """The words again, by length, and log probabilities (words x languages). p: pieces x languages."""
+    """The words again, by length, and log probabilities (words x languages). p: pieces x languages. Sums are held for
+    as many positions as the longest piece spans."""
     order, out = [], []
-    for group in by_length(batch):
-        alpha = np.zeros((len(group[0]) + 2, len(group), p.shape[1]))
+    reach = longest(known)
+    ring = reach + 1
+    most = max(1, AT_ONCE // (ring * max(1, p.shape[1])))
+    for group in (g[at : at + most] for g in by_length(batch) for at in range(0, len(g), most)):
+        alpha, log, last = np.zeros((ring, len(group), p.shape[1])), np.zeros((len(group), p.shape[1])), 0
         alpha[0] = 1
-        for i, j, rows, ids in spans(group, known):
-            alpha[j, rows] += alpha[i, rows] * p[ids]
+        for i, j, rows, ids in spans(group, known, reach):
+            if j != last:
+                if last and last % SCALE_EVERY == 0:
+                    scale = np.maximum(alpha.max(axis=0), 1e-300)
+                    alpha /= scale
+                    log += np.log(scale)
+                alpha[j % ring] = 0
+                last = j
+            alpha[j % ring, rows] += alpha[i % ring, rows] * p[ids]
         order += group
-        out.append(np.log(np.maximum(alpha[len(group[0]) + 1], 1e-300)))
+        out.append(np.log(np.maximum(alpha[last % ring], 1e-300)) + log)
     return order, np.concatenate(out) if out else np.zeros((0, p.shape[1]))
 
 
 def expected(batch: list[str], weight: np.ndarray, known: dict[str, int], p: np.ndarray) -> np.ndarray:
-    """Expected piece counts of words of one length under one language's p."""
-    n = len(batch[0]) + 1
-    found = list(spans(batch, known))
-    alpha, beta, counts = np.zeros((n + 1, len(batch))), np.zeros((n + 1, len(batch))), np.zeros(len(p))
+    """Expected piece counts of words of one length under one language's p. Each position has the log of its scale."""
+    n, reach = len(batch[0]) + 1, longest(known)
+    alpha, beta = np.zeros((n + 1, len(batch))), np.zeros((n + 1, len(batch)))
+    log_a, log_b, counts = np.zeros_like(alpha), np.zeros_like(beta), np.zeros(len(p))
     alpha[0], beta[n] = 1, 1
-    for i, j, rows, ids in found:
+
+    def scaled(sums: np.ndarray, log: np.ndarray, at: slice) -> None:
+        scale = np.maximum(sums[at].max(axis=0), 1e-300)
+        sums[at] /= scale
+        log[at] += np.log(scale)
+
+    last = 0
+    for i, j, rows, ids in spans(batch, known, reach):
+        if j != last:
+            if last and last % SCALE_EVERY == 0:
+                scaled(alpha, log_a, slice(max(0, last - reach), last + 1))
+            log_a[j] = log_a[last]
+            last = j
         alpha[j, rows] += alpha[i, rows] * p[ids]
-    for i, j, rows, ids in sorted(found, key=lambda x: -x[0]):
-        beta[i, rows] += p[ids] * beta[j, rows]
-    share = weight / np.maximum(alpha[n], 1e-300)
-    for i, j, rows, ids in found:
-        np.add.at(counts, ids, alpha[i, rows] * p[ids] * beta[j, rows] * share[rows])
+    whole = np.log(np.maximum(alpha[n], 1e-300)) + log_a[n]
+    last = n
+    for i, j, rows, ids in spans(batch, known, reach, backward=True):
+        if i != last:
+            if last < n and last % SCALE_EVERY == 0:
+                scaled(beta, log_b, slice(last, min(n, last + reach) + 1))
+            log_b[i] = log_b[last]
+            last = i
+        step = p[ids] * beta[j, rows]
+        beta[i, rows] += step
+        share = weight[rows] * np.exp(log_a[i, rows] + log_b[i, rows] - whole[rows])
+        np.add.at(counts, ids, alpha[i, rows] * step * share)
     return counts
 
 
@@ -199,6 +231,8 @@ def predict(docs: DataFrame, model: Model, keep: list[str], text_col: str = "tex
     languages, vocabulary = model.languages, model.vocabulary
     shared = docs.sparkSession.sparkContext.broadcast(model.p)
     token = id(shared), hash(model.p.tobytes())
+    taken = keep if text_col in keep else [*keep, text_col]
+    at_text = taken.index(text_col)
 
     def run(batches):
         import pyarrow as pa
@@ -210,8 +244,8 @@ def predict(docs: DataFrame, model: Model, keep: list[str], text_col: str = "tex
         for whole in batches:
             for at in range(0, whole.num_rows, 500):
                 batch = whole.slice(at, 500)
-                counts = [words(t) for t in batch.column(len(keep)).to_pylist()]
-                if len(known) > CACHE:
+                counts = [words(t) for t in batch.column(at_text).to_pylist()]
+                if len(known) * len(languages) > CACHE:
                     known.clear()
                 new = list({w for c in counts for w in c if w not in known})
                 order, logs = forward(new, vocab, p)
@@ -224,10 +258,13 @@ def predict(docs: DataFrame, model: Model, keep: list[str], text_col: str = "tex
                     total = np.fromiter(c.values(), float, len(c)) @ np.array([known[w] for w in c])
                     share = np.exp(total - total.max())
                     best.append(languages[int(total.argmax())]), scores.append(float(1 / share.sum()))
+                for w in new:
+                    if len(w) > CACHE_CHARS:
+                        del known[w]
                 yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(best, pa.string()), pa.array(scores, pa.float64())], names=[*keep, *names])
 
     schema = docs.select(*keep).schema.add(names[0], "string").add(names[1], "double")
-    return docs.select(*keep, F.col(text_col)).mapInArrow(run, schema)
+    return docs.select(*taken).mapInArrow(run, schema)
 
 
 def language_id(docs: DataFrame, **how) -> DataFrame:
@@ -240,6 +277,5 @@ def language_id(docs: DataFrame, **how) -> DataFrame:
 def keep_known(docs: DataFrame, reject_below: float = REJECT_BELOW, **how) -> DataFrame:
     """docs without the rows whose language stays undetermined, with all their columns."""
     model = fit(docs, **how)
-    marked = docs.withColumn("sightline_text", F.col("text"))
     names = ("sightline_lang", "sightline_score")
-    return predict(marked, model, docs.columns, "sightline_text", names).filter((F.col(names[0]) != UNDETERMINED) & (F.col(names[1]) >= reject_below)).select(*docs.columns)
+    return predict(docs, model, docs.columns, names=names).filter((F.col(names[0]) != UNDETERMINED) & (F.col(names[1]) >= reject_below)).select(*docs.columns)
