@@ -2,7 +2,8 @@
 
 Equal vectors are one class. Each class is hashed into several tables; a table's key is the signs of its dot products
 with random hyperplanes. Classes that share a key are compared by exact cosine in double precision, in tiles where a
-key is common; a pair counts in the first table that it shares. Linked classes are joined to connected components.
+key is common; a pair counts in the first table that it shares, so a vector carries its keys of this table and
+earlier ones along. Linked classes are joined to connected components.
 
 Keys have about log2(classes) - 4 bits, and as many tables are used as find a pair at the threshold with chance RECALL.
 
@@ -19,6 +20,7 @@ import math
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, FloatType
 
 from .common import components, cut, heavy_join, in_groups, tile_groups
 
@@ -32,7 +34,7 @@ def tables(classes: int, threshold: float = THRESHOLD, recall: float = RECALL) -
     return bits, max(1, math.ceil(math.log(1 - recall) / math.log(1 - share)))
 
 
-def _hash(bits: int, n_tables: int, seed: int):
+def _hash(bits: int, n_tables: int, seed: int, kind: str):
     planes: dict[int, np.ndarray] = {}
 
     def run(batches):
@@ -40,7 +42,7 @@ def _hash(bits: int, n_tables: int, seed: int):
 
         for batch in batches:
             vectors = batch.column(1).to_pylist()
-            keys = np.zeros((len(vectors), n_tables), np.int64)
+            keys = np.zeros((len(vectors), n_tables), np.int32 if bits < 32 else np.int64)
             by: dict[int, list[int]] = {}
             for i, v in enumerate(vectors):
                 by.setdefault(len(v), []).append(i)
@@ -50,7 +52,7 @@ def _hash(bits: int, n_tables: int, seed: int):
                 x = np.array([vectors[i] for i in rows], float)
                 signs = ((x / np.abs(x).max(axis=1, keepdims=True)) @ planes[d] > 0).reshape(len(rows), n_tables, bits)
                 keys[rows] = signs @ (1 << np.arange(bits, dtype=np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([np.array(v, float).tobytes() for v in vectors], pa.binary()), pa.array(list(keys), pa.list_(pa.int64())), batch.column(2)], names=["cid", "vector", "keys", "n"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([np.array(v, kind).tobytes() for v in vectors], pa.binary()), pa.array(list(keys), pa.list_(pa.int32() if bits < 32 else pa.int64())), batch.column(2)], names=["cid", "vector", "keys", "n"])
 
     return run
 
@@ -60,22 +62,21 @@ def cosines(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return (a @ b.T) / np.sqrt((a * a).sum(axis=1))[:, None] / np.sqrt((b * b).sum(axis=1))[None, :]
 
 
-def _compare(threshold: float):
+def _compare(threshold: float, kind: str):
     from .simhash import spanning
 
     def run(batches):
         import pyarrow as pa
 
         for table in in_groups(batches):
-            gid = table.column(0).to_numpy()
-            edges = np.flatnonzero(np.diff(gid)) + 1
+            gid, t, size = (table.column(i).to_numpy() for i in (0, 2, 7))
+            edges = np.flatnonzero((np.diff(gid) != 0) | (np.diff(t) != 0) | (np.diff(size) != 0)) + 1
             out: list[list] = [[], [], []]
             for s, e in zip([0, *edges], [*edges, len(gid)], strict=True):
                 g = table.slice(s, e - s)
                 side, cid, n = (g.column(i).to_numpy() for i in (1, 3, 6))
-                t = g.column(2)[0].as_py()
-                x = np.array([np.frombuffer(v) for v in g.column(4).to_pylist()])
-                keys = np.array(g.column(5).to_pylist())[:, :t]
+                x = np.array([np.frombuffer(v, kind) for v in g.column(4).to_pylist()], float)
+                keys = np.array(g.column(5).to_pylist())
                 add, label = np.zeros(len(cid), np.int64), np.arange(len(cid))
                 for left, right in ((side == 2, None), (side == 0, side == 1)):
                     i = np.flatnonzero(left)
@@ -87,7 +88,8 @@ def _compare(threshold: float):
                         a, b = rows[a], j[b]
                         ok = a < b if right is None else np.ones(len(a), bool)
                         a, b = a[ok], b[ok]
-                        ok = ~(keys[a] == keys[b]).any(axis=1)
+                        met = keys[a] == keys[b]  # in this table, and in no earlier one
+                        ok = met[:, -1] & ~met[:, :-1].any(axis=1)
                         a, b = a[ok], b[ok]
                         np.add.at(add, a, n[b]), np.add.at(add, b, n[a])
                         label = spanning(a, b, len(cid), label)
@@ -102,15 +104,19 @@ def embedding_dedup(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     """One row for each row of vectors: vec_id, n_links, component_id, kept."""
     v = F.col("v")
     fine = F.coalesce((F.size(v) > 0) & F.forall(v, lambda x: F.coalesce(F.abs(x) < float("inf"), F.lit(False))) & F.exists(v, lambda x: x != 0), F.lit(False))
-    rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("v")).withColumn("fine", fine)
+    # Single precision is carried as such; cosines are always taken in double.
+    given = vectors.select(vector_col).schema[0].dataType
+    single = isinstance(given, ArrayType) and isinstance(given.elementType, FloatType)
+    kind, sql_kind = ("f4", "float") if single else ("f8", "double")
+    rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast(f"array<{sql_kind}>").alias("v")).withColumn("fine", fine)
     good = rows.filter("fine").select("vec_id", "v")
     classes = cut(good.groupBy("v").agg(F.min("vec_id").alias("least"), F.count("*").alias("n")).withColumn("cid", F.monotonically_increasing_id()))
     n_classes, n_rows = classes.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
     bits, n_tables = tables(n_classes, threshold, recall)
-    hashed = cut(classes.select("cid", "v", "n").mapInArrow(_hash(bits, n_tables, seed), "cid long, vector binary, keys array<long>, n long"))
+    hashed = cut(classes.select("cid", "v", "n").mapInArrow(_hash(bits, n_tables, seed, kind), f"cid long, vector binary, keys array<{'int' if bits < 32 else 'long'}>, n long"))
     keyed = hashed.select("cid", F.octet_length("vector").alias("d"), F.posexplode("keys").alias("t", "k")).select("cid", "t", F.xxhash64("d", "t", "k").alias("key"))
-    groups = tile_groups(keyed, "key", F.col("cid"), tile).select("gid", "side", "t", "cid").join(hashed, "cid").select("gid", "side", "t", "cid", "vector", "keys", "n")
-    found = cut(groups.repartition("gid").sortWithinPartitions("gid").mapInArrow(_compare(threshold), "cid long, links long, to long"))
+    groups = tile_groups(keyed, "key", F.col("cid"), tile).select("gid", "side", "t", "cid").join(hashed, "cid").select("gid", "side", "t", "cid", "vector", F.slice("keys", F.lit(1), F.col("t") + 1).alias("keys"), "n", F.octet_length("vector").alias("size"))
+    found = cut(groups.repartition("gid").sortWithinPartitions("gid", "t", "size").mapInArrow(_compare(threshold, kind), "cid long, links long, to long"))
     linked = components(found.select(F.col("cid").alias("a"), F.col("to").alias("b")))
     degree = found.groupBy("cid").agg(F.sum("links").alias("links"))
     of = classes.join(degree, "cid", "left").join(linked, F.col("cid") == F.col("node"), "left").withColumn("component", F.coalesce("component", "cid"))

@@ -50,6 +50,32 @@ def test_forward_sums_all_segmentations():
             assert row[lang] == pytest.approx(math.log(brute("▁" + w, lang)))
 
 
+def test_words_and_pieces_of_any_length():
+    known = {"▁": 1, "a": 2, "b": 3, "ab": 4, "abababababababababab": 5, "ba": 6}
+    p = np.random.default_rng(3).random((7, 2)) * 1e-7
+    word = "ab" * 700 + "x" * 300 + "ba" * 40
+    marked, reach = "▁" + word, 20
+    logs = np.full((len(marked) + 1, 2), -np.inf)
+    logs[0] = 0
+    for j in range(1, len(marked) + 1):
+        for i in range(max(0, j - reach), j):
+            piece = known.get(marked[i:j], 0 if j == i + 1 else None)
+            if piece is not None:
+                logs[j] = np.logaddexp(logs[j], logs[i] + np.log(p[piece]))
+    assert logs[-1].max() < -5000  # far below what a double can hold
+    order, got = language_id.forward([word, "ab"], known, p)
+    assert order[0] == word and got[0] == pytest.approx(logs[-1], rel=1e-9)
+    counts = language_id.expected([word], np.array([2.0]), known, p[:, 0])
+    lengths = np.array([1, 1, 1, 1, 2, 20, 2])
+    assert (counts * lengths).sum() == pytest.approx(2 * len(marked))  # every segmentation covers the word
+    step = 1e-6  # counts are derivatives of the log probability by the logs of the pieces' probabilities
+    for piece in (2, 4, 5, 6):
+        moved = p[:, :1].copy()
+        moved[piece] *= np.exp(step)
+        assert 2 * (language_id.forward([word], known, moved)[1][0, 0] - got[0, 0]) / step == pytest.approx(counts[piece], rel=1e-3, abs=1e-3)
+    assert language_id.words("ab" * 1000 + " ab") == {"ab" * 1000: 1, "ab": 1}
+
+
 def test_expected_counts_are_those_of_all_segmentations():
     known = {"▁": 1, "a": 2, "▁a": 3}
     p = np.array([0.0, 0.2, 0.3, 0.1])
@@ -251,6 +277,15 @@ def test_embedding_dedup(spark):
     assert embedding_dedup.embedding_dedup(empty).count() == 0
 
 
+def test_embedding_dedup_of_single_precision(spark):
+    rng = np.random.default_rng(16)
+    centres = rng.normal(size=(5, 12))
+    vectors = [[float(np.float32(x)) for x in centres[i % 5] + rng.normal(size=12) * 0.2] for i in range(120)] + [[float("nan")] * 12, None]
+    frames = [spark.createDataFrame(list(enumerate(vectors)), f"vec_id long, embedding array<{kind}>") for kind in ("float", "double")]
+    got = [sorted(map(tuple, embedding_dedup.embedding_dedup(f, recall=1 - 1e-9, tile=16).collect())) for f in frames]
+    assert got[0] == got[1] and [r[1] for r in got[0]] == [len(x) for x in brute_links(vectors)]
+
+
 def test_embedding_recall_by_default(spark):
     rng = np.random.default_rng(8)
     base = rng.normal(size=(300, 32))
