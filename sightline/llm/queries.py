@@ -13,10 +13,13 @@ from . import language_id as _language
 from . import license_scan as _license
 from . import mixing as _mixing
 from . import packing as _packing
+from . import periodic as _periodic
+from . import pieces as _pieces
 from . import quality as _quality
 from . import simhash as _simhash
 from . import suffix_dedup as _suffix
 from . import url_filter as _url
+from . import whitening as _whitening
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -115,6 +118,18 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _url.judge(table(spark, sf_dir, "pages"))
 
 
+def op11_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _pieces.piece_digests(table(spark, sf_dir, "documents"))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _periodic.run_digests(table(spark, sf_dir, "documents"))
+
+
+def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_exact_dedup": op1_exact_dedup,
@@ -127,6 +142,9 @@ def queries() -> dict[str, Query]:
         "op8_repeated_passages": op8_repeated_passages,
         "op9_best_fit_packing": op9_best_fit_packing,
         "op10_url_filter": op10_url_filter,
+        "op11_sentencepiece": op11_sentencepiece,
+        "op12_periodic_runs": op12_periodic_runs,
+        "op13_embedding_whitening": op13_embedding_whitening,
     }
 
 
