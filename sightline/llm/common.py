@@ -165,8 +165,18 @@ def in_groups(batches, gid: int = 0):
         yield pa.Table.from_batches(held)
 
 
+def spare(name: str, columns: list[str]) -> str:
+    """name, lengthened until no column is called so (in any case, as Spark compares)."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def keep_rows(docs: DataFrame, decide) -> DataFrame:
-    """The rows of docs, with all their columns, whose row ids decide(docs with sightline_row) returns as row_id."""
-    kept = held(docs.withColumn("sightline_row", F.monotonically_increasing_id()))
-    stay = decide(kept).select(F.col("row_id").alias("sightline_row"))
-    return kept.join(stay, "sightline_row", "left_semi").select(*docs.columns)
+    """The rows of docs, with all their columns, whose row ids decide(docs with row ids, name of their column) returns as
+    row_id."""
+    row = spare("sightline_row", docs.columns)
+    kept = held(docs.withColumn(row, F.monotonically_increasing_id()))
+    stay = decide(kept, row).select(F.col("row_id").alias(row))
+    return kept.join(stay, row, "left_semi").select(*docs.columns)

@@ -81,4 +81,4 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs that stay, with all their columns; of rows that repeat wholly, one."""
-    return keep_rows(docs, lambda d: exact_dedup(d, id_col, text_col, "sightline_row").filter("kept"))
+    return keep_rows(docs, lambda d, row: exact_dedup(d, id_col, text_col, row).filter("kept"))

@@ -28,7 +28,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, spare
 
 SAMPLE_DOCS, MAX_LANGUAGES, ITERATIONS = 1500, 500, 3
 UNKNOWN, UNDETERMINED = 0, "und"
@@ -74,19 +74,36 @@ def longest(known: dict[str, int]) -> int:
     return max(map(len, known), default=1)
 
 
-def spans(batch: list[str], known: dict[str, int], reach: int, backward: bool = False) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """Of words of one length: (start, end, rows that have a piece there, their pieces), by end, or by falling start."""
+_BEGINNINGS: dict[int, tuple[dict[str, int], dict[str, int]]] = {}
+
+
+def beginnings(known: dict[str, int]) -> dict[str, int]:
+    """All that pieces begin with: the piece it is, or -1."""
+    if _BEGINNINGS.get(id(known), (None,))[0] is not known:
+        found = {piece[:k]: -1 for piece in known for k in range(1, len(piece))} | known
+        _BEGINNINGS.clear()
+        _BEGINNINGS[id(known)] = known, found
+    return _BEGINNINGS[id(known)][1]
+
+
+def spans(batch: list[str], known: dict[str, int], backward: bool = False) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """Of words of one length: (start, end, rows that have a piece there, their pieces), by start (falling, if
+    backward). A word is looked at no further than a piece goes on with what it has there."""
     marked = [MARK + w for w in batch]
-    get, n = known.get, len(marked[0])
-    ends = ((i, j) for j in range(1, n + 1) for i in range(max(0, j - reach), j))
-    starts = ((i, j) for i in range(n - 1, -1, -1) for j in range(i + 1, min(n, i + reach) + 1))
-    for i, j in starts if backward else ends:
-        default = UNKNOWN if j == i + 1 else -1
-        found = [get(w[i:j], default) for w in marked]
-        if max(found) >= 0:
-            ids = np.array(found)
-            rows = np.flatnonzero(ids >= 0)
-            yield i, j, rows, ids[rows]
+    get, n = beginnings(known).get, len(marked[0]) if marked else 0
+    for i in range(n - 1, -1, -1) if backward else range(n):
+        active, rows = marked, np.arange(len(marked))
+        for j in range(i + 1, n + 1):
+            ids = np.array([get(w[i:j], -2) for w in active])
+            if j == i + 1:
+                yield i, j, rows, np.where(ids < 0, UNKNOWN, ids)
+            elif (whole := ids >= 0).any():
+                yield i, j, rows[whole], ids[whole]
+            on = np.flatnonzero(ids > -2)
+            if not len(on):
+                break
+            if len(on) < len(rows):
+                rows, active = rows[on], [active[k] for k in on.tolist()]
 
 
 def by_length(batch: list[str]) -> list[list[str]]:
@@ -104,19 +121,19 @@ def forward(batch: list[str], known: dict[str, int], p: np.ndarray) -> tuple[lis
     ring = reach + 1
     most = max(1, AT_ONCE // (ring * max(1, p.shape[1])))
     for group in (g[at : at + most] for g in by_length(batch) for at in range(0, len(g), most)):
-        alpha, log, last = np.zeros((ring, len(group), p.shape[1])), np.zeros((len(group), p.shape[1])), 0
-        alpha[0] = 1
-        for i, j, rows, ids in spans(group, known, reach):
-            if j != last:
-                if last and last % SCALE_EVERY == 0:
+        alpha, log = np.zeros((ring, len(group), p.shape[1])), np.zeros((len(group), p.shape[1]))
+        alpha[0], last, n = 1, 0, len(group[0]) + 1
+        for i, j, rows, ids in spans(group, known):
+            if i != last:
+                alpha[last % ring] = 0  # the place of position last + ring
+                if i % SCALE_EVERY == 0:
                     scale = np.maximum(alpha.max(axis=0), 1e-300)
                     alpha /= scale
                     log += np.log(scale)
-                alpha[j % ring] = 0
-                last = j
+                last = i
             alpha[j % ring, rows] += alpha[i % ring, rows] * p[ids]
         order += group
-        out.append(np.log(np.maximum(alpha[last % ring], 1e-300)) + log)
+        out.append(np.log(np.maximum(alpha[n % ring], 1e-300)) + log)
     return order, np.concatenate(out) if out else np.zeros((0, p.shape[1]))
 
 
@@ -127,27 +144,26 @@ def expected(batch: list[str], weight: np.ndarray, known: dict[str, int], p: np.
     log_a, log_b, counts = np.zeros_like(alpha), np.zeros_like(beta), np.zeros(len(p))
     alpha[0], beta[n] = 1, 1
 
-    def scaled(sums: np.ndarray, log: np.ndarray, at: slice) -> None:
-        scale = np.maximum(sums[at].max(axis=0), 1e-300)
-        sums[at] /= scale
-        log[at] += np.log(scale)
-
-    last = 0
-    for i, j, rows, ids in spans(batch, known, reach):
-        if j != last:
-            if last and last % SCALE_EVERY == 0:
-                scaled(alpha, log_a, slice(max(0, last - reach), last + 1))
-            log_a[j] = log_a[last]
-            last = j
+    found, run, last = list(spans(batch, known)), np.zeros(len(batch)), 0
+    for i, j, rows, ids in found:
+        if i != last:
+            if i % SCALE_EVERY == 0:
+                live = alpha[i : i + reach + 1]
+                scale = np.maximum(live.max(axis=0), 1e-300)
+                live /= scale
+                run += np.log(scale)
+            log_a[i], last = run, i
         alpha[j, rows] += alpha[i, rows] * p[ids]
-    whole = np.log(np.maximum(alpha[n], 1e-300)) + log_a[n]
+    whole = np.log(np.maximum(alpha[n], 1e-300)) + run
     last = n
-    for i, j, rows, ids in spans(batch, known, reach, backward=True):
+    for i, j, rows, ids in reversed(found):
         if i != last:
             if last < n and last % SCALE_EVERY == 0:
-                scaled(beta, log_b, slice(last, min(n, last + reach) + 1))
-            log_b[i] = log_b[last]
-            last = i
+                live = slice(last, last + reach + 1)
+                scale = np.maximum(beta[live].max(axis=0), 1e-300)
+                beta[live] /= scale
+                log_b[live] += np.log(scale)
+            log_b[i], last = log_b[last], i
         step = p[ids] * beta[j, rows]
         beta[i, rows] += step
         share = weight[rows] * np.exp(log_a[i, rows] + log_b[i, rows] - whole[rows])
@@ -277,5 +293,5 @@ def language_id(docs: DataFrame, **how) -> DataFrame:
 def keep_known(docs: DataFrame, reject_below: float = REJECT_BELOW, **how) -> DataFrame:
     """docs without the rows whose language stays undetermined, with all their columns."""
     model = fit(docs, **how)
-    names = ("sightline_lang", "sightline_score")
+    names = spare("sightline_lang", docs.columns), spare("sightline_score", docs.columns)
     return predict(docs, model, docs.columns, names=names).filter((F.col(names[0]) != UNDETERMINED) & (F.col(names[1]) >= reject_below)).select(*docs.columns)

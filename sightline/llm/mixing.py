@@ -22,7 +22,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, cut, heavy_join, held, ranked
+from .common import WORD, cut, heavy_join, held, ranked, spare
 
 WEIGHTS = (5, 2, 1)
 REPEATS = 3
@@ -118,13 +118,16 @@ def mixed(docs: DataFrame, **how) -> DataFrame:
     """The documents of the mix with the columns of docs: a row for each time a document is taken, the text cut after
     the words taken where a source ends. Rows are dealt evenly, and each partition is in the order of the schedule, so a
     reader of any of them meets the sources near their shares all along."""
-    kept = held(docs.withColumn("mix_row_", F.monotonically_increasing_id()))
-    m = mix(kept.select(F.col("mix_row_").alias("row_id"), "doc_id", "source", "text"), **how)
-    times = m.pieces.groupBy("row_id", "epoch").agg(F.sum("words").alias("mix_words_"), F.min("slot").alias("mix_slot_")).join(m.rows.select("row_id", F.col("size").alias("mix_size_")), "row_id")
-    times = times.select(F.col("row_id").alias("mix_row_"), "mix_words_", "mix_slot_", "mix_size_")
-    whole = F.col("mix_words_") >= F.col("mix_size_")
-    head = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(WORD), F.lit(0)), 1, F.col("mix_words_").cast("int")), " ")
-    out = kept.join(times, "mix_row_").withColumn("text", F.when(whole, F.col("text")).otherwise(head))
+    row, taken, slot, size = (spare(n, docs.columns) for n in ("mix_row_", "mix_words_", "mix_slot_", "mix_size_"))
+    kept = held(docs.withColumn(row, F.monotonically_increasing_id()))
+    m = mix(kept.select(F.col(row).alias("row_id"), "doc_id", "source", "text"), **how)
+    times = m.pieces.groupBy("row_id", "epoch").agg(F.sum("words").alias(taken), F.min("slot").alias(slot)).join(m.rows.select("row_id", F.col("size").alias(size)), "row_id")
+    times = times.select(F.col("row_id").alias(row), taken, slot, size)
+    whole = F.col(taken) >= F.col(size)
+    head = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(WORD), F.lit(0)), 1, F.col(taken).cast("int")), " ")
+    out = kept.join(times, row)
+    # The length first: it looks at the text as it was.
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(whole, F.col("n_chars")).otherwise(F.length("text")).cast(docs.schema["n_chars"].dataType))
-    return out.sortWithinPartitions("mix_slot_").select(*docs.columns)
+        out = out.withColumn("n_chars", F.when(whole, F.col("n_chars")).otherwise(F.length(head)).cast(docs.schema["n_chars"].dataType))
+    out = out.withColumn("text", F.when(whole, F.col("text")).otherwise(head))
+    return out.sortWithinPartitions(slot).select(*docs.columns)

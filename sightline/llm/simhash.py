@@ -143,4 +143,4 @@ def simhash(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", row
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row of each component, the one of the smallest doc_id, with all its columns."""
-    return keep_rows(docs, lambda d: simhash(d, id_col, text_col, "sightline_row").filter("row_id = keep_row"))
+    return keep_rows(docs, lambda d, row: simhash(d, id_col, text_col, row).filter("row_id = keep_row"))

@@ -76,3 +76,16 @@ def test_empty_table(spark):
     for _, stage in corpus_pipeline.STAGES:
         docs = common.cut(stage(spark, docs, SF_DIR))
         assert docs.count() == 0
+
+
+def test_columns_named_like_helpers_come_through(spark):
+    """Helper columns of the stages, given by the user: their values come out as they went in."""
+    named = ["sightline_row", "Sightline_Row_", "sightline_lang", "sightline_score", "mix_row_", "mix_words_", "mix_slot_", "mix_size_", "row_id", "epoch", "slot", "keep_row", "lang_pred", "score", "rank", "size"]
+    text = "the quick brown fox and the lazy dog are in the house of the old man by the sea"
+    rows = [(k, f"{text} {'again ' * k}{k}", "en" if k % 4 else None, f"s{k % 2}", *(100 * k + i for i in range(len(named)))) for k in range(24)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, " + ", ".join(f"{n} long" for n in named))
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        docs = common.cut(stage(spark, docs, SF_DIR))
+        kept = docs.collect()
+        assert docs.columns == ["doc_id", "text", "lang", "source", *named] and kept
+        assert all(r[n] == 100 * r.doc_id + i for r in kept for i, n in enumerate(named))
