@@ -1,19 +1,24 @@
 """Sustained-dwell events: a subject that stands still long enough opens a candidate, which is emitted a little later.
 
-What can be said of each box by itself (the trailing stationarity window) is computed by window expressions; only the
-narrow fold over a burst's frames runs in Python, frame by frame. The same machine serves streams.
+A burst's frames are folded once, in order: each track's trailing window is a queue of what it still spans, from which
+the machine learns whether the track stands still. Bursts are folded in chunks (see chunked). The same machine serves
+streams.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+import copy
+import math
+from collections import deque
+from collections.abc import Sequence
+from dataclasses import dataclass, field, fields
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .spans import stationarity
-from .tracking import by_burst, overlaps, tracked
+from .chunked import CHUNK, by_chunk
+from .tracking import overlaps, tracked
 
 EVENTS = "source string, segment long, start_mono double, end_mono double, start_frame long, end_frame long, primary_track_id string, track_ids array<string>, n_detections long, multi boolean, ambiguous boolean, near_miss boolean, stationary_duration_s double, dwell_duration_s double, confidence double"
 IDLE, WATCHING, CANDIDATE = "idle", "watching", "candidate"
@@ -133,17 +138,49 @@ def track_order(track: str) -> tuple[int, str]:
     return (int(track), track) if track.lstrip("-").isdigit() else (0, track)
 
 
+class Trails:
+    """The trailing windows of tracks, box by box: each holds what it still spans, and no more."""
+
+    def __init__(self, settings: Settings, sample_rate_fps: float):
+        interval = 1.0 / sample_rate_fps if sample_rate_fps > 0 else 0.0
+        self.window = settings.stationary_threshold_s
+        self.tolerance = min(max(1e-3, 0.15 * self.window, 2.0 * interval), 0.5 * self.window)
+        self.recent: dict[str, deque[tuple[float, float, float, float]]] = {}  # time, centre, diagonal
+
+    def take(self, track: str, mono: float, box: Sequence[float]) -> Posture:
+        x1, y1, x2, y2 = box
+        trail = self.recent.setdefault(track, deque())
+        trail.append((mono, (x1 + x2) / 2, (y1 + y2) / 2, math.hypot(max(x2 - x1, 0.0), max(y2 - y1, 0.0))))
+        while trail[0][0] < mono - self.window:
+            trail.popleft()
+        begun, x, y, _ = trail[0]
+        motion = max(math.hypot(p[1] - x, p[2] - y) for p in trail)
+        diagonals = sorted(p[3] for p in trail)
+        span = max(0.0, mono - begun)
+        covered = span >= self.window - self.tolerance and len(trail) >= 2
+        return Posture(track, span, motion, begun, covered and motion <= max(10.0, 0.2 * diagonals[len(diagonals) // 2]))
+
+    def forget(self, mono: float) -> None:
+        """Tracks whose windows would be empty."""
+        self.recent = {t: p for t, p in self.recent.items() if p[-1][0] >= mono - self.window}
+
+
 class Dwelling:
-    """A burst's dwell machine as a fold over frames."""
+    """A burst's trailing windows and dwell machine as one fold over frames."""
 
-    def __init__(self, settings: Settings):
-        self.machine = Machine(settings)
+    def __init__(self, settings: Settings, sample_rate_fps: float):
+        self.settings, self.rate = settings, sample_rate_fps
+        self.machine, self.trails, self.seen = Machine(settings), Trails(settings, sample_rate_fps), 0
 
     def frame(self, number: int, rows: dict[str, np.ndarray]) -> list[tuple]:
-        boxes = rows["boxes"]
+        boxes, mono = rows["boxes"], float(rows["mono_ts"][0])
         here = np.flatnonzero(~np.isnan(boxes[:, 0]))
-        postures = [Posture(rows["track_id"][i], *(float(rows[c][i]) for c in ("span_s", "motion_px", "window_start")), bool(rows["stationary"][i])) for i in here if rows["track_id"][i] is not None]
-        return self.rows(self.machine.frame(float(rows["mono_ts"][0]), number, boxes[here], sorted(postures, key=lambda p: track_order(p.track)), int(rows["n_active"][0])))
+        current = sorted(((rows["track_id"][i], boxes[i].tolist()) for i in here if rows["track_id"][i] is not None), key=lambda x: track_order(x[0]))
+        postures = [self.trails.take(track, mono, box) for track, box in current]
+        self.seen += 1
+        if self.seen % 256 == 0:
+            self.trails.forget(mono)
+        return self.rows(self.machine.frame(mono, number, boxes[here], postures, int(rows["n_active"][0])))
 
     def end(self) -> list[tuple]:
         return self.rows(self.machine.flush())
@@ -152,18 +189,81 @@ class Dwelling:
     def rows(events: list[dict]) -> list[tuple]:
         return [tuple(e[f.split()[0]] for f in EVENTS.split(", ")[2:]) for e in events]
 
+    def state(self) -> tuple:
+        machine = self.machine
+        if machine.last:
+            self.trails.forget(machine.last[0])
+        return {f.name: getattr(machine, f.name) for f in fields(machine) if f.name != "settings"}, {t: list(p) for t, p in self.trails.recent.items()}
+
+    def resume(self, state: tuple) -> None:
+        self.__init__(self.settings, self.rate)
+        for name, value in copy.deepcopy(state[0]).items():
+            setattr(self.machine, name, value)
+        self.trails.recent = {t: deque(p) for t, p in state[1].items()}
+
+    @staticmethod
+    def follow(before: tuple | None, carried: list, base: int, start: tuple, end: tuple) -> tuple:
+        return before is None or before == start, [], end, [], 0
+
+
+SUPPRESSIONS = "source string, segment long, track_id string, since_s double, planned_until_s double, ended_s double, ended_by string"
+
+
+class Suppressing(Dwelling):
+    """The same fold; what it tells is when the machine ruled tracks out, and when and why that ended."""
+
+    def __init__(self, settings: Settings, sample_rate_fps: float):
+        super().__init__(settings, sample_rate_fps)
+        self.since: dict[str, float] = {}
+
+    def frame(self, number: int, rows: dict[str, np.ndarray]) -> list[tuple]:
+        before = dict(self.machine.until)
+        super().frame(number, rows)
+        return self._ended(before, float(rows["mono_ts"][0]))
+
+    def _ended(self, before: dict[str, float], mono: float) -> list[tuple]:
+        out = []
+        for track, until in before.items():
+            if track not in self.machine.until or (mono >= until and self.machine.until[track] != until):
+                out.append((track, self.since.pop(track), until, mono, "cooldown" if mono >= until else "cleared"))
+        for track in self.machine.until:
+            self.since.setdefault(track, mono)
+        return out
+
+    def end(self) -> list[tuple]:
+        before = dict(self.machine.until)
+        super().end()
+        return self._ended(before, self.machine.last[0]) if self.machine.last else []
+
+    def state(self) -> tuple:
+        return *super().state(), dict(self.since)
+
+    def resume(self, state: tuple) -> None:
+        super().resume(state)
+        self.since = dict(state[2])
+
 
-def dwell_events(frames: DataFrame, detections: DataFrame, settings: Settings | None = None, sample_rate_fps: float = 1.0, max_age: int | None = None, iou_threshold: float = 0.3, center_gate: float = 0.0) -> DataFrame:
+def _folded(frames: DataFrame, detections: DataFrame, make, schema: str, sample_rate_fps: float, max_age: int | None, iou_threshold: float, center_gate: float, chunk: int | None) -> DataFrame:
+    age = max(1, round(sample_rate_fps)) if max_age is None else max_age
+    found, state = tracked(frames, detections, iou_threshold, age, 0.0, center_gate, chunk=chunk)
+    boxes = found.select("source", "frame_idx", "det_rank", "track_id", "x1", "y1", "x2", "y2")
+    rows = state.join(frames.select("source", "frame_idx", "mono_ts"), ["source", "frame_idx"]).join(boxes, ["source", "frame_idx"], "left")
+    return by_chunk(rows, ["mono_ts", "n_active", "track_id", "x1", "y1", "x2", "y2"], make, schema, chunk or CHUNK)[0].drop("chunk")
+
+
+def dwell_events(frames: DataFrame, detections: DataFrame, settings: Settings | None = None, sample_rate_fps: float = 1.0, max_age: int | None = None, iou_threshold: float = 0.3, center_gate: float = 0.0, chunk: int | None = None) -> DataFrame:
     """frames: source, frame_idx, mono_ts of every sampled frame; detections (gated): source, frame_idx, det_rank,
-    x1..y2, confidence. One row for each event, and for each near miss if asked for."""
+    x1..y2, confidence. One row for each event, and for each near miss if asked for. chunk: frames of a burst that one
+    task folds."""
     settings = settings or Settings()
-    age = max(1, round(sample_rate_fps)) if max_age is None else max_age
-    found, state = tracked(frames, detections, iou_threshold, age, 0.0, center_gate)
-    timed = found.drop("mono_ts").join(frames.select("source", "frame_idx", "mono_ts"), ["source", "frame_idx"])
-    still = stationarity(timed, ["source", "track_id"], settings.stationary_threshold_s, sample_rate_fps)
-    columns = ["source", "frame_idx", "det_rank", "track_id", "x1", "y1", "x2", "y2", "span_s", "motion_px", "window_start", "stationary"]
-    rows = state.join(frames.select("source", "frame_idx", "mono_ts"), ["source", "frame_idx"]).join(still.select(*columns), ["source", "frame_idx"], "left")
-    return by_burst(rows, ["mono_ts", "n_active", *columns[3:]], lambda: Dwelling(settings), EVENTS)
+    return _folded(frames, detections, lambda: Dwelling(settings, sample_rate_fps), EVENTS, sample_rate_fps, max_age, iou_threshold, center_gate, chunk)
+
+
+def suppressions(frames: DataFrame, detections: DataFrame, settings: Settings | None = None, sample_rate_fps: float = 1.0, max_age: int | None = None, iou_threshold: float = 0.3, center_gate: float = 0.0, chunk: int | None = None) -> DataFrame:
+    """The tracks that events rule out: since when, until when at most, when that ended (the first frame at which it no
+    longer held), and why: the cooldown was over, or no track was alive any more or the stream ended (cleared)."""
+    settings = settings or Settings()
+    return _folded(frames, detections, lambda: Suppressing(settings, sample_rate_fps), SUPPRESSIONS, sample_rate_fps, max_age, iou_threshold, center_gate, chunk)
 
 
 def event_confidence(dwell_s, span_s, near_miss, known):

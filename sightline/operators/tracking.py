@@ -2,7 +2,8 @@
 
 A tracker forgets everything once no track is alive, so a stretch of max_age + 1 sampled frames without a box is an
 exact cut: each burst between cuts is tracked by itself, and its track numbers are shifted by the births before it.
-What the trackers say is kept as a checkpoint, so that they run once for all that is read from it.
+What the trackers say is kept as a checkpoint, so that they run once for all that is read from it. A burst is cut into
+chunks that are tracked in parallel (see chunked); trackers of the caller's own run over whole bursts.
 """
 
 from __future__ import annotations
@@ -17,6 +18,7 @@ from pyspark.sql.types import StructType
 from ..lineage import settled
 
 TRACKED = "source string, segment long, frame_idx long, det_rank int, track_no int, births int, n_active int"
+KEYS = ["source", "segment"]
 #: Results are handed on in batches of about so many rows.
 OUT_ROWS = 10_000
 
@@ -33,6 +35,8 @@ class Tracker:
     last: list[list[float]] = field(default_factory=list)
     missed: list[int] = field(default_factory=list)
     born: int = 0
+    #: Whether the tracks' order has decided who takes a box.
+    tied: bool = False
 
     def update(self, boxes: np.ndarray, confidence: np.ndarray) -> np.ndarray:
         """Takes one frame's boxes, empty or not; each box's track number, -1 if it is too unsure."""
@@ -48,6 +52,7 @@ class Tracker:
             near = (apart <= self.center_gate) if self.center_gate > 0 else np.zeros_like(shared, bool)
             far = apart if self.center_gate > 0 else np.zeros_like(apart)
             pairs = [(-shared[t, b], far[t, b], t, b) for t, b in zip(*np.nonzero((shared >= self.iou_threshold) | near), strict=True)]
+        self.tied = self.tied or _contested(pairs)
         taken, used = {}, set()
         for _, _, t, b in sorted(pairs):  # ties: older track, then surer box
             if t not in taken and b not in used:
@@ -71,6 +76,11 @@ class Tracker:
         return out
 
 
+def _contested(pairs: list[tuple]) -> bool:
+    """Whether two tracks are as near to one box."""
+    return len(pairs) > 1 and len({(p[0], p[1], p[3]) for p in pairs}) < len(pairs)
+
+
 def iou(a, b) -> float:
     """Of two boxes, in the order of operations of overlaps: for a few boxes it is quicker."""
     w, h = min(a[2], b[2]) - max(a[0], b[0]), min(a[3], b[3]) - max(a[1], b[1])
@@ -132,11 +142,13 @@ def by_burst(rows: DataFrame, columns: list[str], state, schema: str) -> DataFra
     state with frame(frame_idx, rows as a dict of arrays, x1..y2 also together as boxes) and end(), both giving tuples that follow source, segment."""
     names = ["source", "segment", "frame_idx", "det_rank", *columns]
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # few bytes, but much to do: never coalesced
-    dealt = rows.select(*names).repartition(parts, "source", "segment").sortWithinPartitions("source", "segment", "frame_idx", "det_rank")
-    return dealt.mapInArrow(_in_order(names, state, StructType.fromDDL(schema)), schema)
+    dealt = rows.select(*names).repartition(parts, *KEYS).sortWithinPartitions(*KEYS, "frame_idx", "det_rank")
+    return dealt.mapInArrow(in_order(names, state, StructType.fromDDL(schema)), schema)
+
 
+def in_order(names: list[str], state, schema: StructType, keys: int = 2):
+    """For mapInArrow: folds sorted rows, of which the first columns (so many) tell what belongs together."""
 
-def _in_order(names: list[str], state, schema: StructType):
     def run(batches):
         import pyarrow as pa
         from pyspark.sql.pandas.types import to_arrow_schema
@@ -155,15 +167,13 @@ def _in_order(names: list[str], state, schema: StructType):
         for batch in batches:
             if not batch.num_rows:
                 continue
-            sources, segments = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            frames = batch.column(2).to_pylist()
-            arrays = {n: batch.column(i + 3).to_numpy(zero_copy_only=False) for i, n in enumerate(names[3:])}
+            arrays = {n: batch.column(i + keys + 1).to_numpy(zero_copy_only=False) for i, n in enumerate(names[keys + 1 :])}
             if "x1" in arrays:
                 arrays["boxes"] = np.stack([arrays[c].astype(float) for c in ("x1", "y1", "x2", "y2")], axis=1)
-            ids = list(zip(sources, segments, frames, strict=True))
+            ids = list(zip(*(batch.column(i).to_pylist() for i in range(keys + 1)), strict=True))
             edges = [0, *(i for i in range(1, len(ids)) if ids[i] != ids[i - 1]), len(ids)]
             for a, b in zip(edges, edges[1:], strict=False):
-                key, number = ids[a][:2], ids[a][2]
+                key, number = ids[a][:keys], ids[a][keys]
                 if parts and (key != burst or number != frame):
                     out += settle()
                     parts = []
@@ -186,35 +196,78 @@ def _in_order(names: list[str], state, schema: StructType):
 
 
 class Tracking:
-    """A burst's tracker as a fold over frames."""
+    """A burst's tracker as a fold over frames. What it says of tracks counts from its beginning: those that were there
+    are 1, 2, ..., and those born later follow."""
 
     def __init__(self, make):
-        self.tracker = make()
+        self.make = make
+        self.resume(([], False))
 
     def frame(self, number: int, rows: dict[str, np.ndarray]) -> list[tuple]:
         confidence = rows["confidence"].astype(float)
         real = ~np.isnan(confidence)
         numbers = self.tracker.update(rows["boxes"][real], confidence[real])
-        born, active = self.tracker.born, len(self.tracker.numbers)
+        born, active = self.tracker.born - self.given, len(self.tracker.numbers)
         out = [(number, int(r), int(n), born, active) for r, n in zip(rows["det_rank"][real], numbers, strict=True) if n >= 0]
         return [*out, (number, -1, 0, born, active)]  # the frame itself
 
     def end(self) -> list[tuple]:
         return []
 
-
-def tracked(frames: DataFrame, detections: DataFrame, iou_threshold: float = 0.3, max_age: int = 15, min_confidence: float = 0.0, center_gate: float = 0.0, make=None) -> tuple[DataFrame, DataFrame]:
+    def state(self) -> tuple:
+        """Tracks as (last box, frames missed, number), by birth; whether their order has mattered; births."""
+        t = self.tracker
+        return [(tuple(map(float, b)), m, n) for b, m, n in zip(t.last, t.missed, t.numbers, strict=True)], t.tied, t.born - self.given
+
+    def resume(self, state: tuple) -> None:
+        tracks = state[0]
+        self.tracker = self.make()
+        self.given = len(tracks)
+        if tracks:
+            self.tracker.last, self.tracker.missed = [list(b) for b, _, _ in tracks], [m for _, m, _ in tracks]
+            self.tracker.numbers, self.tracker.born = list(range(1, len(tracks) + 1)), len(tracks)
+
+    @staticmethod
+    def follow(before: tuple | None, carried: list[int], base: int, start: tuple, end: tuple) -> tuple:
+        """carried: the numbers of before's tracks within the burst; base: births until then. Tracks' order only decides
+        between tracks that are as near to one box, so it may differ where that did not happen."""
+        have = [(b, m) for b, m, _ in start[0]]
+        place: list[int] | None = list(range(len(have)))
+        if before is not None:
+            want = [(b, m) for b, m, _ in before[0]]
+            if have != want:
+                other = end[1] or len(set(want)) < len(want) or sorted(have) != sorted(want)
+                place = None if other else [want.index(h) for h in have]
+        mine = list(range(-len(have), 0)) if place is None or before is None else [carried[p] for p in place]
+        numbers = [mine[n - 1] if n <= len(mine) else base + n - len(mine) for _, _, n in end[0]]
+        order = sorted(range(len(numbers)), key=numbers.__getitem__)  # by birth
+        return place is not None, mine, ([end[0][i] for i in order], *end[1:]), [numbers[i] for i in order], base + end[2]
+
+
+
+def tracked(frames: DataFrame, detections: DataFrame, iou_threshold: float = 0.3, max_age: int = 15, min_confidence: float = 0.0, center_gate: float = 0.0, make=None, chunk: int | None = None) -> tuple[DataFrame, DataFrame]:
     """frames: source, frame_idx of every sampled frame. detections: source, frame_idx, det_rank (int, surest first),
     x1..y2, confidence, and more. Returns detections with segment and track_id (by birth within the source, from 1),
-    and frames with segment and n_active. make builds another tracker with the same update()."""
+    and frames with segment and n_active. make builds another tracker with the same update(); chunk: frames of a burst
+    that one task tracks."""
+    from .chunked import CHUNK, by_chunk
+
     parts = segmented(frames.select("source", "frame_idx"), detections, max_age, min_confidence)
     boxes = detections.select("source", "frame_idx", "det_rank", "x1", "y1", "x2", "y2", "confidence")
     joined = parts.join(boxes, ["source", "frame_idx"], "left")
-    make = make or (lambda: Tracker(iou_threshold, max_age, min_confidence, center_gate))
-    raw = settled(by_burst(joined, ["x1", "y1", "x2", "y2", "confidence"], lambda: Tracking(make), TRACKED))
-    births = raw.groupBy("source", "segment").agg(F.max("births").alias("b_"))
+    columns = ["x1", "y1", "x2", "y2", "confidence"]
+    if make is None:
+        raw, links = by_chunk(joined, columns, lambda: Tracking(lambda: Tracker(iou_threshold, max_age, min_confidence, center_gate)), TRACKED, chunk or CHUNK, ends=False)
+        links = links.select(*KEYS, "chunk", "carried", "base", "total")
+    else:
+        raw = settled(by_burst(joined, columns, lambda: Tracking(make), TRACKED)).withColumn("chunk", F.lit(0).cast("long"))
+        links = raw.groupBy(*KEYS, "chunk").agg(F.max("births").alias("total")).withColumns({"carried": F.array().cast("array<long>"), "base": F.lit(0).cast("long")})
+    # Numbers within the burst; then after all births of the source's bursts before it.
+    births = links.groupBy(*KEYS).agg(F.max("total").alias("b_"))
     before = Window.partitionBy("source").orderBy("segment").rowsBetween(Window.unboundedPreceding, -1)
-    births = births.select("source", "segment", F.coalesce(F.sum("b_").over(before), F.lit(0)).alias("before_"))
-    numbered = raw.join(births, ["source", "segment"])
-    ids = numbered.filter("det_rank >= 0").select("source", "segment", "frame_idx", "det_rank", (F.col("track_no") + F.col("before_")).cast("string").alias("track_id"))
-    return detections.join(ids, ["source", "frame_idx", "det_rank"]), numbered.filter("det_rank < 0").select("source", "segment", "frame_idx", "n_active")
+    births = births.select(*KEYS, F.coalesce(F.sum("b_").over(before), F.lit(0)).alias("before_"))
+    numbered = raw.join(links.join(births, KEYS).drop("total"), [*KEYS, "chunk"])
+    given = F.size("carried")
+    number = F.when(F.col("track_no") <= given, F.try_element_at("carried", F.col("track_no"))).otherwise(F.col("base") + F.col("track_no") - given)
+    ids = numbered.filter("det_rank >= 0").select(*KEYS, "frame_idx", "det_rank", (number + F.col("before_")).cast("string").alias("track_id"))
+    return detections.join(ids, ["source", "frame_idx", "det_rank"]), numbered.filter("det_rank < 0").select(*KEYS, "frame_idx", "n_active")

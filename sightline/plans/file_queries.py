@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..lineage import shared_folder
 from ..operators import dwell
 from ..sources import metadata
-from ..streaming import sightings
+from ..streaming import dwelling, release, sightings
 from . import views
 from .event_queries import chosen
 from .registry import query
@@ -109,6 +109,12 @@ def k3_cooldown(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("source", F.explode("track_ids").alias("track_id"), F.col("end_mono").alias("since_s"), (F.col("end_mono") + settings.cooldown_s).alias("until_s"))
 
 
+@query()
+def k3_suppressions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Suppression as the machine applies it: over when the cooldown is, or earlier when no track is alive."""
+    return dwell.suppressions(*sources(spark, sf_dir), dwell.Settings(1.0, 2.0, 1.0), 5.0, 5).drop("segment")
+
+
 def drained(frame: DataFrame, spark: SparkSession) -> DataFrame:
     """All that a stream gives of what is there now, as a table."""
     at = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
@@ -134,3 +140,52 @@ def k6_new_event_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows.select("event_id", at).unionByName(rows.filter("event_key % 3 = 0").select("event_id", at)).write.json(path)
     feed = sightings.new_events(spark, path, "event_id string, recorded_at timestamp", rows.filter("event_key % 4 = 0").select("event_id"))
     return drained(feed, spark).select("event_id")
+
+
+@query(f"""with d as (select event_key, floor(coalesce(end_s, start_s) * 1000)::bigint as end_ms from {E})
+select event_key, case when end_ms + 30000 <= (select max(end_ms) from d) - 10000 then 'due' else 'shutdown' end as reason from d""")
+def k5_shutdown_release(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every event leaves: when its post-roll is over, 10 seconds of disorder allowed for, or else when the run stops.
+    The run is stopped and started again halfway."""
+    rows = views.events(spark, sf_dir).select("event_key", F.timestamp_millis(F.floor(F.coalesce("end_s", "start_s") * 1000).cast("long")).alias("end_ts"))
+    path, out, state = folder(spark, "pending"), folder(spark, "released"), folder(spark, "state")
+    first, last = rows.agg(F.unix_millis(F.min("end_ts")), F.unix_millis(F.max("end_ts"))).first()
+    half = F.timestamp_millis(F.lit((first or 0) + ((last or 0) - (first or 0)) // 2))
+    rows.filter(F.col("end_ts") < half).write.mode("append").parquet(path)
+    stream = release.released(spark.readStream.schema(rows.schema).parquet(path), 30.0, delay="10 seconds")
+    release.run_to_end(stream, out, state)
+    rows.filter(F.col("end_ts") >= half).write.mode("append").parquet(path)
+    return release.drained(stream, out, state).select("event_key", "reason")
+
+
+@query(f"select distinct event_id, floor(start_s)::bigint as recorded_s from {E} where event_key % 4 <> 0")
+def k6_feed_for_ever(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each event once for ever: all are fed in, every third one twice, and after a restart again, a day later. A quarter
+    was known at the first start."""
+    rows = views.events(spark, sf_dir).select("event_key", "event_id", F.floor("start_s").cast("long").alias("recorded_s"))
+    path, out, state = folder(spark, "feed"), folder(spark, "fed"), folder(spark, "state")
+    rows.unionByName(rows.filter("event_key % 3 = 0")).write.mode("append").parquet(path)
+    known = rows.filter("event_key % 4 = 0").select("event_id")
+    feed = release.new_once(spark.readStream.schema(rows.schema).parquet(path), known)
+    release.run_to_end(feed, out, state)
+    rows.withColumn("recorded_s", F.col("recorded_s") + 86_400).write.mode("append").parquet(path)
+    release.run_to_end(feed, out, state)
+    return spark.read.schema(feed.schema).parquet(out).select("event_id", "recorded_s")
+
+
+@query()
+def k2_dwell_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """k2_dwell_events as a stream, stopped and started twice; a last row tells that time has gone on."""
+    frames, found = sources(spark, sf_dir)
+    box = F.struct(F.col("det_rank"), *(F.col(c) for c in ("x1", "y1", "x2", "y2", "confidence")))
+    boxes = found.groupBy("source", "frame_idx").agg(F.array_sort(F.collect_list(box)).alias("boxes"))
+    rows = frames.join(boxes, ["source", "frame_idx"], "left").withColumn("wall_ts", F.timestamp_seconds(F.col("mono_ts") + 1_700_000_000))
+    path, out, state = folder(spark, "sightings"), folder(spark, "dwelt"), folder(spark, "state")
+    closing = rows.groupBy().agg(F.max("wall_ts").alias("t")).select(F.lit("").alias("source"), F.timestamp_seconds(F.unix_seconds("t") + 3600).alias("wall_ts"))
+    for low, high in ((0, 70), (70, 140), (140, None)):
+        rows.filter((F.col("mono_ts") >= low) & (F.lit(True) if high is None else F.col("mono_ts") < high)).write.mode("append").parquet(path)
+        if high is None:
+            closing.select(*(F.col(f.name) if f.name in closing.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in rows.schema)).write.mode("append").parquet(path)
+        stream = dwelling.dwell_stream(spark.readStream.schema(rows.schema).parquet(path), dwell.Settings(1.0, 2.0, 1.0), 5.0, 5)
+        release.run_to_end(stream, out, state)
+    return spark.read.schema(stream.schema).parquet(out).withColumn("track_ids", F.array_join("track_ids", ","))
