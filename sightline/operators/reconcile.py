@@ -14,6 +14,7 @@ from ..lineage import settled
 from .intervals import anchored_clusters, interval_join
 
 KEYS = ["camera_id", "source_id"]
+LABEL_FIELDS = ("label", "label_status", "name", "label_note", "labeled_at")
 
 
 def identified(events: DataFrame) -> DataFrame:
@@ -93,6 +94,13 @@ def collapse_plan(events: DataFrame, tolerance_s: float) -> DataFrame:
     return plan.withColumn("action", action)
 
 
+def collapse_changes(events: DataFrame, plan: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """What a plan changes: the keys of the events that go, and the keepers that are given labels, as whole rows."""
+    given = plan.filter("action = 'keep' and carried_label_status is not null").select("event_key", *(F.col(f"carried_{f}").alias(f"g_{f}") for f in LABEL_FIELDS))
+    relabelled = events.join(given, "event_key").withColumns({f: F.col(f"g_{f}") for f in LABEL_FIELDS}).select(*events.columns)
+    return plan.filter("action = 'remove'").select("event_key"), relabelled
+
+
 def collapsed(events: DataFrame, plan: DataFrame) -> DataFrame:
     """events after the plan: labels first, removals after; checked so that no label is lost."""
     plan = settled(plan)
@@ -109,6 +117,13 @@ def collapsed(events: DataFrame, plan: DataFrame) -> DataFrame:
 def recorded(new: DataFrame, priors: DataFrame, tolerance_s: float) -> DataFrame:
     """Priors and new events after a run: every new event matches the priors as they stood before the run, takes over
     the id and the labels that it repeats, and replaces them; where labels conflict, all stay. new: also seq."""
+    superseded, fresh = run_changes(new, priors, tolerance_s)
+    return priors.join(superseded, "event_key", "left_anti").unionByName(fresh)
+
+
+def run_changes(new: DataFrame, priors: DataFrame, tolerance_s: float) -> tuple[DataFrame, DataFrame]:
+    """What a run changes: the keys of the priors that are superseded, and the new events, with the ids and labels they
+    take over, as whole rows."""
     pairs = claimed(matches(new, priors, tolerance_s), new.select(F.col("event_key").alias("new_key"), "seq"))
     groups = pairs.join(priors.withColumnRenamed("event_key", "prior_key"), "prior_key")
     decision = settled(carried(groups, ["new_key"]))
@@ -116,4 +131,4 @@ def recorded(new: DataFrame, priors: DataFrame, tolerance_s: float) -> DataFrame
     given = decision.select(F.col("new_key").alias("event_key"), F.col("event_id").alias("g_event_id"), *(F.col(f"carried_{f}").alias(f"g_{f}") for f in ("label", "label_status", "name", "label_note", "labeled_at")))
     fields = ("event_id", "label", "label_status", "name", "label_note", "labeled_at")
     fresh = new.join(given, "event_key", "left").withColumns({f: F.coalesce(f"g_{f}", f) for f in fields}).select(*priors.columns)
-    return priors.join(superseded, "event_key", "left_anti").unionByName(fresh)
+    return superseded, fresh
