@@ -110,14 +110,43 @@ def without_chunk_repeats(found: DataFrame, keys: list[str], overlap_s: float, c
     pairs = interval_join(late, early, keys, ("ls", "le"), ("es", "ee"), chunk_s)
     reaches = (F.col("ee") > F.col("late_chunk")) & (F.col("es") < F.col("late_chunk") + overlap_s)
     links = pairs.filter((F.col("early_chunk") < F.col("late_chunk")) & reaches & (timebase.time_iou(F.col("ls"), F.col("le"), F.col("es"), F.col("ee")) >= min_iou)).select("late", "early").distinct()
-    links = settled(links)
-    dropped = links.limit(0).select(F.col("late").alias(span))
-    open_links = links
-    while not open_links.isEmpty():
-        waiting = open_links.select(F.col("late").alias("early")).distinct()
-        ready = open_links.join(waiting, "early", "left_anti")  # rivals that nothing can drop any more: they are kept
-        gone = settled(ready.select(F.col("late").alias(span)).distinct())
-        dropped = dropped.unionByName(gone)
-        # a dropped span drops nothing, and its own fate is settled
-        open_links = settled(open_links.join(gone.select(F.col(span).alias("late")), "late", "left_anti").join(gone.select(F.col(span).alias("early")), "early", "left_anti"))
-    return found.join(dropped, span, "left_anti")
+    return found.join(overruled(links).select(F.col("node").alias(span)), span, "left_anti")
+
+
+def overruled(links: DataFrame) -> DataFrame:
+    """Of links (late, early; no circles): node, each late that an early which is not overruled itself overrules.
+
+    Who has one rival is what the rival is not; so chains of such are followed by pointers that double their reach, with
+    whether the end's fate or its opposite is theirs. Those with several rivals wait until one stands or all are
+    overruled, and a rival that hangs on a chain counts by the chain's end. Rounds grow with the logarithm of a chain's
+    length, and with how many such knots follow one another."""
+    # A rival counts if it stands or, with turned, if it is overruled.
+    open_ = settled(links.select("late", "early").distinct().withColumn("turned", F.lit(False)))
+    ends = open_.select(F.col("early").alias("node")).distinct().join(open_.select(F.col("late").alias("node")), "node", "left_anti")
+    known = settled(ends.withColumn("stands", F.lit(True)))
+    fates = known
+    while not open_.isEmpty():
+        # What is known of rivals: one that counts overrules; one that does not is no rival any more.
+        seen = open_.join(known.withColumnRenamed("node", "early"), "early", "left").withColumn("counts", F.col("stands") != F.col("turned"))
+        each = seen.groupBy("late").agg(F.bool_or(F.coalesce("counts", F.lit(False))).alias("lost"), F.count_if(F.col("counts").isNull()).alias("rivals"))
+        each = settled(each)
+        known = settled(each.filter("lost or rivals = 0").select(F.col("late").alias("node"), (~F.col("lost")).alias("stands")))
+        fates = fates.unionByName(known)
+        rest = seen.filter(F.col("counts").isNull()).join(each.filter("not lost and rivals > 0").select("late", "rivals"), "late")
+        open_ = settled(rest.select("late", "early", "turned", "rivals"))
+        if open_.isEmpty():
+            break
+        # One rival: the fate is the rival's, turned round unless it is turned already.
+        ends_at = settled(open_.filter("rivals = 1").select(F.col("late").alias("node"), F.col("early").alias("end"), (~F.col("turned")).alias("other")))
+        while True:
+            onward = ends_at.select(F.col("node").alias("end"), F.col("end").alias("next"), F.col("other").alias("more"))
+            step = settled(ends_at.join(onward, "end", "left"))
+            if step.filter("next is not null").isEmpty():
+                break
+            ends_at = settled(step.select("node", F.coalesce("next", "end").alias("end"), (F.col("other") != F.coalesce("more", F.lit(False))).alias("other")))
+        via = ends_at.select(F.col("node").alias("early"), "end", "other")
+        knots = open_.filter("rivals > 1").join(via, "early", "left")
+        knots = knots.select("late", F.coalesce("end", "early").alias("early"), (F.col("turned") != F.coalesce("other", F.lit(False))).alias("turned"))
+        chained = ends_at.select(F.col("node").alias("late"), F.col("end").alias("early"), (~F.col("other")).alias("turned"))
+        open_ = settled(knots.unionByName(chained).distinct())
+    return fates.filter("not stands").select("node")

@@ -9,11 +9,11 @@ from pyspark.sql import functions as F
 
 from ..lineage import shared_folder
 from ..operators import dwell
-from ..sources import metadata
+from ..sources import metadata, tree
 from ..streaming import dwelling, release, sightings
 from . import views
 from .event_queries import chosen
-from .registry import query
+from .registry import SQL, query
 from .track_queries import folder, sources
 
 R, C, E = views.RANGES, views.CLIPS, views.EVENTS
@@ -48,6 +48,21 @@ def a1_event_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("camera_dir", "date_dir", "dir_name", "event_id", "camera_id", "label", F.col("start_s").cast("double").alias("start_s"))
 
 
+@query(SQL["a1_event_scan"])
+def a1_event_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same scan by camera and date."""
+    rows = tree.read_event_tree(spark, event_files(spark, sf_dir))
+    start = F.unix_micros(F.to_timestamp("utc_ts")) / 1e6
+    return rows.select("camera_dir", "date_dir", "dir_name", "event_id", "camera_id", "label", start.alias("start_s"))
+
+
+@query(f"select dir_name, event_id from ({SQL['a1_event_scan']}) where camera_dir in ('Cam1', 'Cam3') and date_dir >= '2023-11-16'")
+def a1_some_cameras(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two cameras, from a day on: no other file is opened."""
+    rows = tree.read_event_tree(spark, event_files(spark, sf_dir)).filter("camera_dir in ('Cam1', 'Cam3') and date_dir >= '2023-11-16'")
+    return rows.select("dir_name", "event_id")
+
+
 def clip_files(spark: SparkSession, sf_dir: str) -> str:
     """A folder for each clip: its metadata, its labels, and but for every fourth a video (a few bytes that stand for one),
     whose name is in capitals for every third."""
@@ -78,6 +93,19 @@ def a4_label_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metadata.read_label_ranges(spark, clip_files(spark, sf_dir)).select("clip", "start_frame", "end_frame", "start_s", "end_s", "behavior", "dog", "track_id")
 
 
+@query(SQL["a3_clip_scan"])
+def a3_clip_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = tree.read_clip_tree(spark, clip_files(spark, sf_dir), metadata.CLIPS, "metadata.json")
+    return rows.select("span_id", "source_id", "fps", "frame_count", "width", "height")
+
+
+@query(SQL["a4_label_scan"])
+def a4_label_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = tree.read_clip_tree(spark, clip_files(spark, sf_dir), metadata.LABELS, "labels.json")
+    rows = rows.select(F.coalesce("clip", "clip_name").alias("clip"), F.inline("ranges")).distinct()
+    return rows.select("clip", "start_frame", "end_frame", "start_s", "end_s", "behavior", "dog", "track_id")
+
+
 @query(f"select 'c' || clip::varchar as clip, 'clip.mp4' as file, length('video ' || source_id)::bigint as length from {C} where clip % 4 <> 0 union all select 'c' || clip::varchar, 'TAKE.MOV', length('take ' || source_id)::bigint from {C} where clip % 3 = 0")
 def a7_recordings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metadata.recordings(spark, clip_files(spark, sf_dir)).select(name_of("path", 2).alias("clip"), name_of("path").alias("file"), "length")

@@ -47,7 +47,8 @@ def read_json(spark: SparkSession, path: str, schema: str, name: str | None = No
 def read_events(spark: SparkSession, root: str) -> DataFrame:
     """<root>/<camera>/<date>/events/<event>/metadata.json at this depth only; the directory names fill in."""
     rows = read_json(spark, f"{root}/*/*/events/*/metadata.json", EVENTS).filter("bad is null")
-    part = lambda i: F.element_at(F.split("file_path", "/"), -i)
+    plain = F.url_decode(F.replace(F.col("file_path"), F.lit("+"), F.lit("%2B")))  # a path comes as a URL
+    part = lambda i: F.element_at(F.split(plain, "/"), -i)
     rows = rows.withColumns({"dir_name": part(2), "date_dir": part(4), "camera_dir": part(5)})
     return rows.withColumn("event_id", F.coalesce(F.nullif("event_id", F.lit("")), "dir_name")).drop("bad")
 
