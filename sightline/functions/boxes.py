@@ -117,20 +117,22 @@ def usable(b: Box, frame_width: int | Column, frame_height: int | Column, least:
     return fine & (r["x2"] - r["x1"] >= least) & (r["y2"] - r["y1"] >= least)
 
 
+def on_edge(x: Column, y: Column, a: Column, b: Column) -> Column:
+    """Whether a point lies on the edge from a to b (structs of x, y)."""
+    cross = (y - a["y"]) * (b["x"] - a["x"]) - (x - a["x"]) * (b["y"] - a["y"])
+    along = (x - a["x"]) * (x - b["x"]) + (y - a["y"]) * (y - b["y"])
+    return (F.abs(cross) <= EPSILON) & (along <= EPSILON)
+
+
+def crosses(x: Column, y: Column, a: Column, b: Column) -> Column:
+    """Whether the line from a point to the right crosses the edge from a to b."""
+    hit = ((b["y"] > y) != (a["y"] > y)) & (x < (a["x"] - b["x"]) * (y - b["y"]) / F.nullif(a["y"] - b["y"], F.lit(0.0)) + b["x"])
+    return F.coalesce(hit, F.lit(False))
+
+
 def in_polygon(x: Column, y: Column, points: Column) -> Column:
     """Even-odd rule over an array of struct<x, y>; a point on an edge is inside."""
     before = F.concat(F.slice(points, -1, 1), F.slice(points, 1, F.greatest(F.size(points) - 1, F.lit(0))))
     edges = F.zip_with(before, points, lambda a, b: F.struct(a.alias("a"), b.alias("b")))
-
-    def on_edge(e: Column) -> Column:
-        a, b = e["a"], e["b"]
-        cross = (y - a["y"]) * (b["x"] - a["x"]) - (x - a["x"]) * (b["y"] - a["y"])
-        along = (x - a["x"]) * (x - b["x"]) + (y - a["y"]) * (y - b["y"])
-        return (F.abs(cross) <= EPSILON) & (along <= EPSILON)
-
-    def crossed(e: Column) -> Column:
-        a, b = e["a"], e["b"]
-        return ((b["y"] > y) != (a["y"] > y)) & (x < (a["x"] - b["x"]) * (y - b["y"]) / F.nullif(a["y"] - b["y"], F.lit(0.0)) + b["x"])
-
-    odd = F.aggregate(edges, F.lit(False), lambda inside, e: inside != F.coalesce(crossed(e), F.lit(False)))
-    return F.exists(edges, on_edge) | odd
+    odd = F.aggregate(edges, F.lit(False), lambda inside, e: inside != crosses(x, y, e["a"], e["b"]))
+    return F.exists(edges, lambda e: on_edge(x, y, e["a"], e["b"])) | odd

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import boxes, keys
 from ..functions.boxes import Box
+from ..lineage import settled
 from .intervals import chains, interval_join
 
 
@@ -16,6 +17,7 @@ def windows(events: DataFrame, frames: DataFrame, pre_s: float, post_s: float, e
     frame_idx, mono_ts, wall_s."""
     stills = frames.select("source", "frame_idx", "mono_ts", "wall_s").dropDuplicates(["source", "frame_idx"])
     span = events.select("event_key", "source", (F.col("start_wall_s") - pre_s).alias("w0"), (F.col("end_wall_s") + post_s).alias("w1"), (F.col("first_mono") - pre_s).alias("m0"), (F.col("last_mono") + post_s + event_duration_s).alias("m1"))
+    span, stills = settled(span), settled(stills)
     wall = interval_join(span, stills.withColumn("w_", F.col("wall_s")), ["source"], ("w0", "w1"), ("wall_s", "w_"), bucket_s)
     mono = interval_join(span, stills.withColumn("m_", F.col("mono_ts")), ["source"], ("m0", "m1"), ("mono_ts", "m_"), bucket_s)
     both = wall.select("event_key", "source", "frame_idx", F.lit("wall").alias("by")).unionByName(mono.select("event_key", "source", "frame_idx", F.lit("mono").alias("by")))

@@ -28,18 +28,27 @@ def _levelled(rows: DataFrame, span: tuple[str, str], bucket: float) -> DataFram
     return rows.filter(F.col(span[0]) <= F.col(span[1])).withColumn("level_", level)
 
 
-def _dealt(rows: DataFrame, span: tuple[str, str], others: Column, first: int, second: int, bucket: float) -> DataFrame:
-    """rows in the buckets in which they can meet others, an array of the other side's levels. At its own level a row
-    is a host: it meets hosts (role 0) and, if the other side has finer rows, guests (role first). At the other side's
-    coarser levels it is a guest (role second)."""
-    rows = rows.withColumn("others_", others)
-    own, others = F.col("level_"), F.col("others_")
-    place = lambda level, role: F.struct(level.alias("level_"), F.lit(role).alias("role_"))
-    host = F.when(F.array_contains(others, own), F.array(place(own, 0))).otherwise(F.array().cast("array<struct<level_:int,role_:int>>"))
-    meets = F.when(F.exists(others, lambda x: x < own), F.array(place(own, first))).otherwise(F.array().cast("array<struct<level_:int,role_:int>>"))
-    guest = F.transform(F.filter(others, lambda x: x > own), lambda x: place(x, second))
-    out = rows.withColumn("place_", F.explode(F.concat(host, meets, guest))).drop("level_", "others_").select("*", "place_.*").drop("place_")
-    return out.withColumn("bucket_", F.explode(F.sequence(_bucket(F.col(span[0]), F.col("level_"), bucket), _bucket(F.col(span[1]), F.col("level_"), bucket))))
+def _levels(rows: DataFrame) -> list[int]:
+    """The levels that rows have: LEVELS + 1 at most."""
+    return sorted(rows.agg(F.collect_set("level_")).first()[0])
+
+
+def _dealt(rows: DataFrame, span: tuple[str, str], others: list[int], first: int, second: int, bucket: float) -> DataFrame:
+    """rows in the buckets in which they can meet others (the other side's levels). At its own level a row is a host: it
+    meets hosts (role 0) and, if the other side has finer rows, guests (role first). At the other side's coarser levels
+    it is a guest (role second)."""
+    own = F.col("level_")
+    none = F.array().cast("array<struct<level_:int,role_:int>>")
+    place = lambda level, role: F.struct(level.cast("int").alias("level_"), F.lit(role).alias("role_"))
+    host = F.when(own.isin(others), F.array(place(own, 0))).otherwise(none)
+    meets = F.when(own > min(others, default=LEVELS), F.array(place(own, first))).otherwise(none)
+    guests = [F.when(own < x, F.array(place(F.lit(x), second))).otherwise(none) for x in others]
+    out = rows.withColumn("place_", F.explode(F.concat(host, meets, *guests))).drop("level_").select("*", "place_.*").drop("place_")
+    return _in_buckets(out, span, F.col("level_"), bucket)
+
+
+def _in_buckets(rows: DataFrame, span: tuple[str, str], level: Column, bucket: float) -> DataFrame:
+    return rows.withColumn("bucket_", F.explode(F.sequence(_bucket(F.col(span[0]), level, bucket), _bucket(F.col(span[1]), level, bucket))))
 
 
 def interval_join(left: DataFrame, right: DataFrame, keys: list[str], a: tuple[str, str], b: tuple[str, str], bucket: float, longest: float | None = None) -> DataFrame:
@@ -47,15 +56,22 @@ def interval_join(left: DataFrame, right: DataFrame, keys: list[str], a: tuple[s
     b name the start and end (doubles). Both sides are dealt to buckets of time, so only neighbours in time meet, and
     a pair is kept in the one bucket where the later of the two begins. Long intervals are dealt to wider buckets, so
     one with a wrong end (infinite, too) becomes few rows; short ones visit wide buckets only where the other side has
-    long ones, and there meet these alone. longest: a length that no interval passes, where one is known; if it is
-    short, nobody needs to look which levels there are."""
+    long ones, and there meet these alone. Which levels there are is looked up first, so what comes from a long plan is
+    best kept before (settled). longest: a length that no interval passes, where one is known; if it is short, nobody
+    needs to look."""
     left, right = _levelled(left, a, bucket), _levelled(right, b, bucket)
-    short = longest is not None and longest <= WIDER * bucket
-    levels = lambda d: F.array(F.lit(0)) if short else F.coalesce(d.agg(F.collect_set("level_")).scalar(), F.array().cast("array<int>"))
-    pairs = _dealt(left, a, levels(right), 1, 2, bucket).join(_dealt(right, b, levels(left), 2, 1, bucket), [*keys, "level_", "role_", "bucket_"])
     touch = (F.col(a[0]) <= F.col(b[1])) & (F.col(b[0]) <= F.col(a[1]))
-    begins = _bucket(F.greatest(a[0], b[0]), F.col("level_"), bucket)
-    return pairs.filter(touch & (F.col("bucket_") == begins)).drop("level_", "role_", "bucket_")
+    short = longest is not None and longest <= WIDER * bucket
+    of_left, of_right = ([0], [0]) if short else (_levels(left), _levels(right))
+    if {*of_left, *of_right} <= {0}:  # all of them short
+        level = F.lit(0)
+        sides = (_in_buckets(d.drop("level_"), span, level, bucket) for d, span in ((left, a), (right, b)))
+        pairs, more = next(sides).join(next(sides), [*keys, "bucket_"]), ["bucket_"]
+    else:
+        level, more = F.col("level_"), ["level_", "role_", "bucket_"]
+        pairs = _dealt(left, a, of_right, 1, 2, bucket).join(_dealt(right, b, of_left, 2, 1, bucket), [*keys, *more])
+    begins = _bucket(F.greatest(a[0], b[0]), level, bucket)
+    return pairs.filter(touch & (F.col("bucket_") == begins)).drop(*more)
 
 
 def islands(rows: DataFrame, keys: list[str], order: str, gap: float | Column, name: str = "island") -> DataFrame:

@@ -27,12 +27,15 @@ def matches(new: DataFrame, priors: DataFrame, tolerance_s: float, bucket_s: flo
     with the new event's provider id shuts out all others; else in-clip times that touch, wall times that touch, or
     starts within the tolerance, but never across different provider ids."""
     fields = ["event_key", "start_s", "end_s", "source_start_s", "source_end_s", "provider_id", "dir_name"]
-    own = identified(new).select(*KEYS, *(F.col(f).alias(f"n_{f}") for f in fields))
-    old = identified(priors).select(*KEYS, *(F.col(f).alias(f"p_{f}") for f in fields))
+    # Each side is read once, however often it is joined.
+    own = settled(identified(new).select(*KEYS, *(F.col(f).alias(f"n_{f}") for f in fields)))
+    old = settled(identified(priors).select(*KEYS, *(F.col(f).alias(f"p_{f}") for f in fields)))
     known = lambda c: F.coalesce(F.col(c) != "", F.lit(False))
     same = old.filter(known("p_provider_id")).withColumn("provider_", F.col("p_provider_id"))
     exact = own.filter(known("n_provider_id")).withColumn("provider_", F.col("n_provider_id")).join(same, [*KEYS, "provider_"])
     exact = exact.select(*own.columns, *(c for c in old.columns if c not in KEYS))
+    exact = settled(exact)
+    own = own.join(exact.select("n_event_key").distinct(), "n_event_key", "left_anti").select(*own.columns)
     fair = ~known("p_provider_id") | F.col("p_provider_id").eqNullSafe(F.col("n_provider_id"))
     in_clip = interval_join(own, old, KEYS, ("n_source_start_s", "n_source_end_s"), ("p_source_start_s", "p_source_end_s"), bucket_s)
     wall = interval_join(own, old, KEYS, ("n_start_s", "n_end_s"), ("p_start_s", "p_end_s"), bucket_s)
@@ -41,7 +44,7 @@ def matches(new: DataFrame, priors: DataFrame, tolerance_s: float, bucket_s: flo
     near = near.filter(F.abs(F.col("n_start_s") - F.col("p_start_s")) <= tolerance_s)
     columns = exact.columns
     rest = in_clip.select(*columns).unionByName(wall.select(*columns)).unionByName(near.select(*columns)).filter(fair)
-    found = exact.unionByName(rest.join(exact.select("n_event_key").distinct(), "n_event_key", "left_anti").select(*columns))
+    found = exact.unionByName(rest)
     found = found.dropDuplicates(["n_event_key", "p_event_key"])
     closest = Window.partitionBy("n_event_key").orderBy(F.abs(F.col("n_start_s") - F.col("p_start_s")).asc_nulls_last(), "p_dir_name", "p_event_key")
     return found.select(F.col("n_event_key").alias("new_key"), F.col("p_event_key").alias("prior_key"), F.row_number().over(closest).alias("rank"))

@@ -195,6 +195,9 @@ def in_order(names: list[str], state, schema: StructType, keys: int = 2):
     return run
 
 
+_in_order = in_order
+
+
 class Tracking:
     """A burst's tracker as a fold over frames. What it says of tracks counts from its beginning: those that were there
     are 1, 2, ..., and those born later follow."""
