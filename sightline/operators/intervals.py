@@ -33,17 +33,21 @@ def _levels(rows: DataFrame) -> list[int]:
     return sorted(rows.agg(F.collect_set("level_")).first()[0])
 
 
-def _dealt(rows: DataFrame, span: tuple[str, str], others: list[int], first: int, second: int, bucket: float) -> DataFrame:
-    """rows in the buckets in which they can meet others (the other side's levels). At its own level a row is a host: it
-    meets hosts (role 0) and, if the other side has finer rows, guests (role first). At the other side's coarser levels
-    it is a guest (role second)."""
-    own = F.col("level_")
-    none = F.array().cast("array<struct<level_:int,role_:int>>")
-    place = lambda level, role: F.struct(level.cast("int").alias("level_"), F.lit(role).alias("role_"))
-    host = F.when(own.isin(others), F.array(place(own, 0))).otherwise(none)
-    meets = F.when(own > min(others, default=LEVELS), F.array(place(own, first))).otherwise(none)
-    guests = [F.when(own < x, F.array(place(F.lit(x), second))).otherwise(none) for x in others]
-    out = rows.withColumn("place_", F.explode(F.concat(host, meets, *guests))).drop("level_").select("*", "place_.*").drop("place_")
+def _array(levels: list[int]) -> Column:
+    return F.array(*map(F.lit, levels)).cast("array<int>")
+
+
+def _dealt(rows: DataFrame, span: tuple[str, str], others: Column, first: int, second: int, bucket: float) -> DataFrame:
+    """rows in the buckets in which they can meet others, an array of the other side's levels. At its own level a row
+    is a host: it meets hosts (role 0) and, if the other side has finer rows, guests (role first). At the other side's
+    coarser levels it is a guest (role second)."""
+    rows = rows.withColumn("others_", others)
+    own, others = F.col("level_"), F.col("others_")
+    place = lambda level, role: F.struct(level.alias("level_"), F.lit(role).alias("role_"))
+    host = F.when(F.array_contains(others, own), F.array(place(own, 0))).otherwise(F.array().cast("array<struct<level_:int,role_:int>>"))
+    meets = F.when(F.exists(others, lambda x: x < own), F.array(place(own, first))).otherwise(F.array().cast("array<struct<level_:int,role_:int>>"))
+    guest = F.transform(F.filter(others, lambda x: x > own), lambda x: place(x, second))
+    out = rows.withColumn("place_", F.explode(F.concat(host, meets, guest))).drop("level_", "others_").select("*", "place_.*").drop("place_")
     return _in_buckets(out, span, F.col("level_"), bucket)
 
 
@@ -69,7 +73,7 @@ def interval_join(left: DataFrame, right: DataFrame, keys: list[str], a: tuple[s
         pairs, more = next(sides).join(next(sides), [*keys, "bucket_"]), ["bucket_"]
     else:
         level, more = F.col("level_"), ["level_", "role_", "bucket_"]
-        pairs = _dealt(left, a, of_right, 1, 2, bucket).join(_dealt(right, b, of_left, 2, 1, bucket), [*keys, *more])
+        pairs = _dealt(left, a, _array(of_right), 1, 2, bucket).join(_dealt(right, b, _array(of_left), 2, 1, bucket), [*keys, *more])
     begins = _bucket(F.greatest(a[0], b[0]), level, bucket)
     return pairs.filter(touch & (F.col("bucket_") == begins)).drop(*more)
 
