@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .chunked import CHUNK, by_chunk
-from .tracking import overlaps, tracked
+from .tracking import located, overlaps
 
 EVENTS = "source string, segment long, start_mono double, end_mono double, start_frame long, end_frame long, primary_track_id string, track_ids array<string>, n_detections long, multi boolean, ambiguous boolean, near_miss boolean, stationary_duration_s double, dwell_duration_s double, confidence double"
 IDLE, WATCHING, CANDIDATE = "idle", "watching", "candidate"
@@ -138,6 +138,10 @@ def track_order(track: str) -> tuple[int, str]:
     return (int(track), track) if track.lstrip("-").isdigit() else (0, track)
 
 
+def _apart(x: float, y: float) -> float:
+    return math.sqrt(x * x + y * y)
+
+
 class Trails:
     """The trailing windows of tracks, box by box: each holds what it still spans, and no more."""
 
@@ -150,11 +154,11 @@ class Trails:
     def take(self, track: str, mono: float, box: Sequence[float]) -> Posture:
         x1, y1, x2, y2 = box
         trail = self.recent.setdefault(track, deque())
-        trail.append((mono, (x1 + x2) / 2, (y1 + y2) / 2, math.hypot(max(x2 - x1, 0.0), max(y2 - y1, 0.0))))
+        trail.append((mono, (x1 + x2) / 2, (y1 + y2) / 2, _apart(max(x2 - x1, 0.0), max(y2 - y1, 0.0))))
         while trail[0][0] < mono - self.window:
             trail.popleft()
         begun, x, y, _ = trail[0]
-        motion = max(math.hypot(p[1] - x, p[2] - y) for p in trail)
+        motion = max(_apart(p[1] - x, p[2] - y) for p in trail)
         diagonals = sorted(p[3] for p in trail)
         span = max(0.0, mono - begun)
         covered = span >= self.window - self.tolerance and len(trail) >= 2
@@ -245,9 +249,7 @@ class Suppressing(Dwelling):
 
 def _folded(frames: DataFrame, detections: DataFrame, make, schema: str, sample_rate_fps: float, max_age: int | None, iou_threshold: float, center_gate: float, chunk: int | None) -> DataFrame:
     age = max(1, round(sample_rate_fps)) if max_age is None else max_age
-    found, state = tracked(frames, detections, iou_threshold, age, 0.0, center_gate, chunk=chunk)
-    boxes = found.select("source", "frame_idx", "det_rank", "track_id", "x1", "y1", "x2", "y2")
-    rows = state.join(frames.select("source", "frame_idx", "mono_ts"), ["source", "frame_idx"]).join(boxes, ["source", "frame_idx"], "left")
+    rows = located(frames, detections, iou_threshold, age, center_gate, chunk)
     return by_chunk(rows, ["mono_ts", "n_active", "track_id", "x1", "y1", "x2", "y2"], make, schema, chunk or CHUNK)[0].drop("chunk")
 
 

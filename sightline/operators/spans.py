@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import math
+from collections import deque
+from collections.abc import Callable, Iterator
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from ..functions import boxes, timebase
+from ..functions import timebase
 from ..functions.boxes import Box
 from ..lineage import settled
 from .intervals import interval_join, islands
@@ -44,12 +49,81 @@ def spans(samples: DataFrame, keys: list[str], fps: float, total_frames: int | C
     return out.select(*keys, "span_no", "part", near("start_s").alias("start_frame"), F.greatest(near("start_s"), near("end_s")).alias("end_frame"), "start_s", "end_s", held.alias("n_samples"))
 
 
-def trailing(tracks: DataFrame, keys: list[str], seconds: float, fields: list[str], time: str = "mono_ts", name: str = "recent") -> DataFrame:
-    """Adds the rows of the last seconds of the same track, this one included, as an array of structs by time."""
-    parts = ", ".join(f"`{k}`" for k in keys)
-    item = ", ".join(f"'{f}', `{f}`" for f in (time, *fields))
-    frame = f"over (partition by {parts} order by `{time}` range between {float(seconds)!r}D preceding and current row)"
-    return tracks.withColumn(name, F.array_sort(F.expr(f"collect_list(named_struct({item})) {frame}")))
+def _by_trail(tracks: DataFrame, keys: list[str], seconds: float, time: str, added: str, each: Callable) -> DataFrame:
+    """tracks with the columns added, which each gives of a row's trailing window and its own box. Rows come sorted and
+    are read once; what is held is the window, a queue of (time, x1, y1, x2, y2) of the last seconds, this row and those of
+    the same time included. A row without a time has those without one as its window."""
+    extra = StructType.fromDDL(added)
+    rows = tracks.drop(*extra.fieldNames())
+    schema = StructType([*rows.schema.fields, *extra.fields])
+    named = [rows.columns.index(c) for c in (*keys, time, *Box._fields)]
+    n = len(keys)
+
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+        from pyspark.sql.pandas.types import to_arrow_schema
+
+        kinds, none = to_arrow_schema(extra), (None,) * len(extra)
+        track: tuple | None = None
+        window: deque[tuple] = deque()
+        left: list = []
+
+        def done(table):
+            nonlocal track, window
+            columns = [table.column(i).to_pylist() for i in named]
+            of, at, own = list(zip(*columns[:n], strict=True)), columns[n], list(zip(*columns[n + 1 :], strict=True))
+            out, start, total = [], 0, table.num_rows
+            while start < total:
+                stop = start + 1
+                while stop < total and at[stop] == at[start] and of[stop] == of[start]:
+                    stop += 1
+                now = at[start]
+                if of[start] != track or (window and window[-1][0] is None):
+                    track, window = of[start], deque()
+                window.extend((now, *own[k]) for k in range(start, stop) if None not in own[k])
+                while now is not None and window and window[0][0] < now - seconds:
+                    window.popleft()
+                out += [none if None in own[k] else each(window, own[k]) for k in range(start, stop)]
+                start = stop
+            new = [pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), kinds, strict=True)]
+            whole = pa.Table.from_arrays([*table.columns, *new], names=[*table.column_names, *kinds.names])
+            return whole.combine_chunks().to_batches()
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            left.append(batch)
+            # The last rows of one time wait for more of it.
+            same = [batch.column(i).slice(0, 1).to_pylist()[0] == batch.column(i).slice(batch.num_rows - 1, 1).to_pylist()[0] for i in named[: n + 1]]
+            if all(same):
+                continue
+            table = pa.Table.from_batches(left)
+            ends = [table.column(i).to_pylist() for i in named[: n + 1]]
+            stop = table.num_rows - 1
+            while stop and all(c[stop - 1] == c[-1] for c in ends):
+                stop -= 1
+            yield from done(table.slice(0, stop)) if stop else ()
+            left = table.slice(stop).to_batches()
+        if left:
+            yield from done(pa.Table.from_batches(left))
+
+    return rows.repartition(*keys).sortWithinPartitions(*keys, time).mapInArrow(run, schema)
+
+
+def _middle(box: tuple) -> tuple[float, float]:
+    return (box[0] + box[2]) / 2, (box[1] + box[3]) / 2
+
+
+def _apart(x: float, y: float) -> float:
+    return math.sqrt(x * x + y * y)
+
+
+def _diagonal(box: tuple) -> float:
+    return _apart(max(box[2] - box[0], 0.0), max(box[3] - box[1], 0.0))
+
+
+def _area(box: tuple) -> float:
+    return max(box[2] - box[0], 0.0) * max(box[3] - box[1], 0.0)
 
 
 def stationarity(tracks: DataFrame, keys: list[str], threshold_s: float, sample_rate_fps: float, time: str = "mono_ts") -> DataFrame:
@@ -57,33 +131,39 @@ def stationarity(tracks: DataFrame, keys: list[str], threshold_s: float, sample_
     allowed motion (10 pixels or a fifth of the upper median diagonal), and whether the track stands still."""
     interval = 1.0 / sample_rate_fps if sample_rate_fps > 0 else 0.0
     tolerance = min(max(1e-3, 0.15 * threshold_s, 2.0 * interval), 0.5 * threshold_s)
-    with_recent = trailing(tracks, keys, threshold_s, list(Box._fields), time)
-    first = Box.of(F.get("recent", F.lit(0)))
-    motion = F.array_max(F.transform("recent", lambda r: boxes.distance(first, Box.of(r))))
-    diagonals = F.array_sort(F.transform("recent", lambda r: boxes.diagonal(Box.of(r))))
-    n = F.size("recent")
-    start, end = F.get("recent", F.lit(0))[time], F.get("recent", n - 1)[time]
-    out = with_recent.withColumns({
-        "window_start": start, "window_end": end, "n_recent": n, "span_s": F.greatest(end - start, F.lit(0.0)),
-        "motion_px": motion, "allowed_px": F.greatest(F.lit(10.0), 0.2 * F.get(diagonals, F.floor(n / 2).cast("int"))),
-    }).drop("recent")
-    return out.withColumn("stationary", (F.col("span_s") >= threshold_s - tolerance) & (F.col("n_recent") >= 2) & (F.col("motion_px") <= F.col("allowed_px")))
+
+    def each(window: deque, box: tuple) -> tuple:
+        start, end, n = window[0][0], window[-1][0], len(window)
+        x, y = _middle(window[0][1:])
+        motion = max(_apart(p - x, q - y) for p, q in (_middle(w[1:]) for w in window))
+        diagonals = sorted(_diagonal(w[1:]) for w in window)
+        allowed = max(10.0, 0.2 * diagonals[n // 2])
+        span = None if start is None else max(end - start, 0.0)
+        still = span is not None and span >= threshold_s - tolerance and n >= 2 and motion <= allowed
+        return start, end, n, span, motion, allowed, still
+
+    added = "window_start double, window_end double, n_recent int, span_s double, motion_px double, allowed_px double, stationary boolean"
+    return _by_trail(tracks, keys, threshold_s, time, added, each)
 
 
 def steadied(tracks: DataFrame, keys: list[str], window_s: float, max_shift: float = 1.0, max_growth: float = 4.0, time: str = "mono_ts") -> DataFrame:
     """Adds u1..: the union with the track's boxes of the last window_s whose centres are within max_shift diagonals;
     the raw box where that would be over max_growth times its area."""
     names = ("ux1", "uy1", "ux2", "uy2")
-    own = Box.of()
     if window_s <= 0:
-        return tracks.withColumns(dict(zip(names, own, strict=True)))
-    with_recent = trailing(tracks, keys, window_s, list(Box._fields), time)
-    diagonal = boxes.diagonal(own)
-    near = F.filter("recent", lambda r: (diagonal <= 0) | (boxes.distance(own, Box.of(r)) <= max_shift * diagonal))
-    edge = lambda f, n, side: side(F.coalesce(f(F.transform(near, lambda r: r[n])), F.col(n)), F.col(n))
-    grown = Box(edge(F.array_min, "x1", F.least), edge(F.array_min, "y1", F.least), edge(F.array_max, "x2", F.greatest), edge(F.array_max, "y2", F.greatest))
-    raw = (boxes.area(own) > 0) & (boxes.area(grown) > max_growth * boxes.area(own))
-    return with_recent.withColumns({n: F.when(raw, o).otherwise(g) for n, o, g in zip(names, own, grown, strict=True)}).drop("recent")
+        return tracks.withColumns(dict(zip(names, Box.of(), strict=True)))
+
+    def each(window: deque, box: tuple) -> tuple:
+        (x, y), reach = _middle(box), _diagonal(box)
+        near = [box]
+        for _, *b in window:
+            p, q = _middle(b)
+            if reach <= 0 or _apart(p - x, q - y) <= max_shift * reach:
+                near.append(b)
+        grown = min(b[0] for b in near), min(b[1] for b in near), max(b[2] for b in near), max(b[3] for b in near)
+        return box if _area(box) > 0 and _area(grown) > max_growth * _area(box) else grown
+
+    return _by_trail(tracks, keys, window_s, time, ", ".join(f"{n} double" for n in names), each)
 
 
 def dwell_runs(still: DataFrame, keys: list[str], time: str = "mono_ts") -> DataFrame:

@@ -248,22 +248,32 @@ class Tracking:
 
 
 
-def tracked(frames: DataFrame, detections: DataFrame, iou_threshold: float = 0.3, max_age: int = 15, min_confidence: float = 0.0, center_gate: float = 0.0, make=None, chunk: int | None = None) -> tuple[DataFrame, DataFrame]:
-    """frames: source, frame_idx of every sampled frame. detections: source, frame_idx, det_rank (int, surest first),
-    x1..y2, confidence, and more. Returns detections with segment and track_id (by birth within the source, from 1),
-    and frames with segment and n_active. make builds another tracker with the same update(); chunk: frames of a burst
-    that one task tracks."""
+LOCATED = TRACKED + ", mono_ts double, x1 double, y1 double, x2 double, y2 double"
+
+
+class Located(Tracking):
+    """The same, with each frame's time and boxes, for folds that go on from there."""
+
+    def frame(self, number: int, rows: dict[str, np.ndarray]) -> list[tuple]:
+        mono, boxes = float(rows["mono_ts"][0]), rows["boxes"].tolist()
+        at = dict(zip(rows["det_rank"].tolist(), boxes, strict=True))
+        return [(*x, mono, *(at[x[1]] if x[1] >= 0 else [None] * 4)) for x in super().frame(number, rows)]
+
+
+def _numbered(frames: DataFrame, detections: DataFrame, fold: type[Tracking], schema: str, iou_threshold: float, max_age: int, min_confidence: float, center_gate: float, make, chunk: int | None) -> DataFrame:
+    """What the fold tells of each box, and of each frame (det_rank -1), with chunk and track_id (by birth within the
+    source, from 1)."""
     from .chunked import CHUNK, by_chunk
 
-    parts = segmented(frames.select("source", "frame_idx"), detections, max_age, min_confidence)
+    parts = segmented(frames, detections, max_age, min_confidence)
     boxes = detections.select("source", "frame_idx", "det_rank", "x1", "y1", "x2", "y2", "confidence")
     joined = parts.join(boxes, ["source", "frame_idx"], "left")
-    columns = ["x1", "y1", "x2", "y2", "confidence"]
+    columns = [*(c for c in frames.columns if c not in ("source", "frame_idx")), "x1", "y1", "x2", "y2", "confidence"]
     if make is None:
-        raw, links = by_chunk(joined, columns, lambda: Tracking(lambda: Tracker(iou_threshold, max_age, min_confidence, center_gate)), TRACKED, chunk or CHUNK, ends=False)
+        raw, links = by_chunk(joined, columns, lambda: fold(lambda: Tracker(iou_threshold, max_age, min_confidence, center_gate)), schema, chunk or CHUNK, ends=False)
         links = links.select(*KEYS, "chunk", "carried", "base", "total")
     else:
-        raw = settled(by_burst(joined, columns, lambda: Tracking(make), TRACKED)).withColumn("chunk", F.lit(0).cast("long"))
+        raw = settled(by_burst(joined, columns, lambda: fold(make), schema)).withColumn("chunk", F.lit(0).cast("long"))
         links = raw.groupBy(*KEYS, "chunk").agg(F.max("births").alias("total")).withColumns({"carried": F.array().cast("array<long>"), "base": F.lit(0).cast("long")})
     # Numbers within the burst; then after all births of the source's bursts before it.
     births = links.groupBy(*KEYS).agg(F.max("total").alias("b_"))
@@ -272,5 +282,21 @@ def tracked(frames: DataFrame, detections: DataFrame, iou_threshold: float = 0.3
     numbered = raw.join(links.join(births, KEYS).drop("total"), [*KEYS, "chunk"])
     given = F.size("carried")
     number = F.when(F.col("track_no") <= given, F.try_element_at("carried", F.col("track_no"))).otherwise(F.col("base") + F.col("track_no") - given)
-    ids = numbered.filter("det_rank >= 0").select(*KEYS, "frame_idx", "det_rank", (number + F.col("before_")).cast("string").alias("track_id"))
+    track = F.when(F.col("det_rank") >= 0, (number + F.col("before_")).cast("string"))
+    return numbered.withColumn("track_id", track).drop("carried", "base", "before_", "track_no", "births")
+
+
+def located(frames: DataFrame, detections: DataFrame, iou_threshold: float = 0.3, max_age: int = 15, center_gate: float = 0.0, chunk: int | None = None) -> DataFrame:
+    """source, segment, frame_idx, det_rank, n_active, mono_ts, x1..y2, track_id: a row for each box, and for each frame
+    one without (det_rank -1). frames: source, frame_idx, mono_ts."""
+    return _numbered(frames.select("source", "frame_idx", "mono_ts"), detections, Located, LOCATED, iou_threshold, max_age, 0.0, center_gate, None, chunk).drop("chunk")
+
+
+def tracked(frames: DataFrame, detections: DataFrame, iou_threshold: float = 0.3, max_age: int = 15, min_confidence: float = 0.0, center_gate: float = 0.0, make=None, chunk: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """frames: source, frame_idx of every sampled frame. detections: source, frame_idx, det_rank (int, surest first),
+    x1..y2, confidence, and more. Returns detections with segment and track_id (by birth within the source, from 1),
+    and frames with segment and n_active. make builds another tracker with the same update(); chunk: frames of a burst
+    that one task tracks."""
+    numbered = _numbered(frames.select("source", "frame_idx"), detections, Tracking, TRACKED, iou_threshold, max_age, min_confidence, center_gate, make, chunk)
+    ids = numbered.filter("det_rank >= 0").select(*KEYS, "frame_idx", "det_rank", "track_id")
     return detections.join(ids, ["source", "frame_idx", "det_rank"]), numbered.filter("det_rank < 0").select(*KEYS, "frame_idx", "n_active")
