@@ -3,8 +3,8 @@
 from __future__ import annotations
 
 from functools import reduce
-from typing import NamedTuple
 
+import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -80,63 +80,95 @@ def torso_centroid(points: Column, min_conf: float) -> Column:
 
 
 USED = ("neck", "withers", "spine_mid", "hips", "tail_base", "tail_end", "hind_left_paw", "hind_right_paw", "belly")
-
-
-class Point(NamedTuple):
-    """Two plain columns that serve as a point."""
-
-    x: Column
-    y: Column
-
-    def __getitem__(self, axis: str) -> Column:
-        return self.x if axis == "x" else self.y
-
-    def isNotNull(self) -> Column:  # noqa: N802
-        return self.x.isNotNull()
-
-
-def at(name: str) -> Point:
-    return Point(F.col(f"{name}_x_"), F.col(f"{name}_y_"))
-
-
-def role_columns(points: Column, min_conf: float) -> dict[str, Column]:
-    """x and y of each role, to be computed once, in plain columns that `at` names."""
-    return {f"{n}_{axis}_": F.coalesce(*(point(points, c, min_conf)[axis] for c in ROLES[n])) for n in USED for axis in ("x", "y")}
-
-
-def length_columns() -> dict[str, Column]:
-    """Neck to hips, and withers to hips."""
-    return {"long_": _length(_minus(at("neck"), at("hips"))), "short_": _length(_minus(at("withers"), at("hips")))}
-
-
-def scale_columns(crop: Column) -> dict[str, Column]:
-    """scale and quality from the columns of lengths, as body_scale has them."""
-    long, short = F.col("long_"), F.col("short_")
-    torso = F.coalesce((long + short) / 2, long, short)
-    w, h = F.greatest(crop["x2"] - crop["x1"], F.lit(0.0)), F.greatest(crop["y2"] - crop["y1"], F.lit(0.0))
-    diagonal = F.sqrt(w * w + h * h)
-    fine = F.nullif(torso, F.lit(0.0))
-    return {"scale": F.coalesce(fine, F.nullif(diagonal, F.lit(0.0))), "quality": F.when(fine.isNotNull(), "torso").when(diagonal > 0, "bbox_fallback").otherwise("none")}
-
-
-def line_columns() -> dict[str, Column]:
-    """Signed distances from the neck-spine line, of the hips, the hind paws together, and each of them."""
-    left, right = at("hind_left_paw"), at("hind_right_paw")
-    mean = lambda f: F.when(left.isNotNull() & right.isNotNull(), (left[f] + right[f]) / 2).otherwise(F.coalesce(left[f], right[f]))
-    of = {"hips": at("hips"), "paws": Point(mean("x"), mean("y")), "left": left, "right": right}
-    return {f"line_{n}_": signed_distance(p, at("neck"), at("spine_mid"), at("belly")) for n, p in of.items()}
-
-
-def frame_posture(scale: Column) -> dict[str, Column]:
-    """One frame's features from the columns of roles and lines; null where a point is missing."""
-    line = lambda n: F.col(f"line_{n}_")
-    return {
-        "spine_angle_deg": angle_at(at("withers"), at("spine_mid"), at("hips")),
-        "hip_offset_ratio": line("hips") / scale,
-        "hind_paw_drop_ratio": (line("paws") - line("hips")) / scale,
-        "tail_angle_deg": angle_between(_minus(at("hips"), at("spine_mid")), _minus(at("tail_end"), at("tail_base"))),
-        "hind_paw_asymmetry": F.abs(line("left") - line("right")) / scale,
-    }
+#: What frames gives of a pose: scale and quality, FEATURES, and the centroid.
+FRAME = f"scale double, quality string, {', '.join(f'{f} double' for f in FEATURES)}, centroid struct<x:double,y:double>"
+
+
+def _points(column, min_conf: float) -> tuple[dict[str, np.ndarray], np.ndarray]:
+    """Of an Arrow array of maps: the (x, y) of each name used, NaN where it is missing or unsure; and, for each row, of
+    how many torso points."""
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    n = len(column)
+    sizes = np.diff(column.offsets.to_numpy())
+    sizes[column.is_null().to_numpy(zero_copy_only=False)] = 0
+    first, last = column.offsets[0].as_py(), column.offsets[-1].as_py()
+    names, items = column.keys.slice(first, last - first), column.items.slice(first, last - first)
+    at = np.repeat(np.arange(n), sizes)
+    if isinstance(names, pa.ChunkedArray):
+        names = names.combine_chunks()
+    x, y, sure = (pc.struct_field(items, f).to_numpy(zero_copy_only=False).astype(float) for f in ("x", "y", "confidence"))
+    sure = (sure >= min_conf) & items.is_valid().to_numpy(zero_copy_only=False)
+    coded = pc.dictionary_encode(names)
+    codes, known = coded.indices.to_numpy(), coded.dictionary.to_pylist()
+    found = {}
+    for name in sorted({c for r in USED for c in ROLES[r]} | set(TORSO)):
+        found[name] = np.full((n, 2), np.nan)
+        if name in known:
+            mine = sure & (codes == known.index(name))
+            found[name][at[mine]] = np.stack((x[mine], y[mine]), axis=1)
+    return found, sum((~np.isnan(found[name][:, 0])).astype(int) for name in TORSO)
+
+
+def _first(*choices: np.ndarray) -> np.ndarray:
+    """The first that is known."""
+    out = choices[0].copy()
+    for more in choices[1:]:
+        gaps = np.isnan(out)
+        out[gaps] = more[gaps]
+    return out
+
+
+def _long(v: np.ndarray) -> np.ndarray:
+    return np.sqrt(v[:, 0] * v[:, 0] + v[:, 1] * v[:, 1])
+
+
+def _angle(v: np.ndarray, w: np.ndarray) -> np.ndarray:
+    cosine = np.clip((v[:, 0] * w[:, 0] + v[:, 1] * w[:, 1]) / (_long(v) * _long(w)), -1.0, 1.0)
+    return np.where((_long(v) > 0) & (_long(w) > 0), np.degrees(np.arccos(cosine)), np.nan)
+
+
+def frames(points, crop, min_conf: float) -> tuple[list, np.ndarray]:
+    """For Arrow arrays of points and crops (struct x1..y2): the columns of FRAME, as the functions above have them one by
+    one, for a batch at once; and how many torso points each row has. Without a scale there are no features."""
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    with np.errstate(divide="ignore", invalid="ignore"):
+        found, torso = _points(points, min_conf)
+        role = {r: _first(*(found[c] for c in ROLES[r])) for r in USED}
+        long, short = _long(role["neck"] - role["hips"]), _long(role["withers"] - role["hips"])
+        size = _first((long + short) / 2, long, short)
+        side = lambda low, high: np.nan_to_num(np.maximum(pc.struct_field(crop, high).to_numpy(zero_copy_only=False).astype(float) - pc.struct_field(crop, low).to_numpy(zero_copy_only=False).astype(float), 0.0))
+        w, h = side("x1", "x2"), side("y1", "y2")
+        diagonal = np.sqrt(w * w + h * h)
+        fine = np.where(size == 0, np.nan, size)
+        scale = np.where(np.isnan(fine), np.where(diagonal > 0, diagonal, np.nan), fine)
+        quality = np.where(~np.isnan(fine), "torso", np.where(diagonal > 0, "bbox_fallback", "none"))
+        neck, axis = role["neck"], role["spine_mid"] - role["neck"]
+        cross = lambda q: axis[:, 0] * (q - neck)[:, 1] - axis[:, 1] * (q - neck)[:, 0]
+        belly = role["belly"]
+        turned = np.where(np.isnan(belly[:, 0]), -axis[:, 0] < 0, cross(belly) < 0)
+
+        def line(p: np.ndarray) -> np.ndarray:
+            signed = cross(p) / _long(axis)
+            return np.where(_long(axis) > 0, np.where(turned, -signed, signed), np.nan)
+
+        left, right = role["hind_left_paw"], role["hind_right_paw"]
+        hips, paws = line(role["hips"]), line(_first((left + right) / 2, left, right))
+        features = {
+            "spine_angle_deg": _angle(role["withers"] - role["spine_mid"], role["hips"] - role["spine_mid"]),
+            "hip_offset_ratio": hips / scale,
+            "hind_paw_drop_ratio": (paws - hips) / scale,
+            "tail_angle_deg": _angle(role["hips"] - role["spine_mid"], role["tail_end"] - role["tail_base"]),
+            "hind_paw_asymmetry": np.abs(line(left) - line(right)) / scale,
+        }
+        middle = sum((np.nan_to_num(found[t]) for t in TORSO), np.zeros((len(scale), 2))) / torso[:, None]
+    none = np.isnan(scale)
+    known = lambda values: pa.array(values, mask=np.isnan(values) | none)
+    centroid = pa.StructArray.from_arrays([pa.array(middle[:, 0]), pa.array(middle[:, 1])], names=["x", "y"], mask=pa.array(none | (torso == 0)))
+    return [known(scale), pa.array(quality, pa.string()), *(known(features[f]) for f in FEATURES), centroid], torso
 
 
 def decision(spine: Column, hip: Column, motion: Column, tail: Column, dwell: Column, asymmetry: Column) -> Column:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..functions import boxes, posture, timebase
 from ..functions.boxes import Box
@@ -11,26 +12,31 @@ from ..lineage import settled
 from .gates import best_per_frame
 
 
-def frame_features(poses: DataFrame, min_conf: float = 0.5, min_torso: int = 3) -> DataFrame:
-    """poses (points, crop_bbox, mono_ts, ...) that have enough torso points, with scale (null: not usable), quality, the
-    features of the frame, and the centroid."""
-    # roles, lengths and lines are plain columns of their own, and the poses a checkpoint: written out in every
-    # feature, the expression would grow without bound, and in one stage with what made the poses, the code beyond what
-    # the JVM compiles
-    points = F.col("points")
-    roles, lengths, lines = posture.role_columns(points, min_conf), posture.length_columns(), posture.line_columns()
-    found = settled(poses).filter(posture.torso_count(points, min_conf) >= min_torso).withColumns(roles)
-    found = found.withColumns(lengths).withColumns(posture.scale_columns(F.col("crop_bbox"))).withColumns(lines)
-    # without a scale a row keeps its place with null features: a filter would be pushed below, and written out, too
-    made = posture.frame_posture(F.col("scale")) | {"centroid": posture.torso_centroid(points, min_conf)}
-    return found.withColumns({n: F.when(F.col("scale").isNotNull(), c) for n, c in made.items()}).drop(*roles, *lengths, *lines)
+def frame_features(poses: DataFrame, min_conf: float = 0.5, min_torso: int = 3, keep: list[str] | None = None) -> DataFrame:
+    """poses (points, crop_bbox, ...) that have enough torso points, with scale (null: not usable), quality, the features
+    of the frame, and the centroid. keep: columns of poses that come along (all). A batch is computed at once: as
+    columns the expressions are more code than the JVM compiles."""
+    keep = poses.columns if keep is None else keep
+    extra = StructType.fromDDL(posture.FRAME)
+    rows = poses.select(*keep, F.col("points").alias("points_"), F.col("crop_bbox").alias("crop_"))
+    schema = StructType([*rows.schema.fields[: len(keep)], *extra.fields])
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            made, torso = posture.frames(batch.column(len(keep)), batch.column(len(keep) + 1), min_conf)
+            whole = pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], *made], names=[*keep, *extra.fieldNames()])
+            yield whole.filter(pa.array(torso >= min_torso))
+
+    return rows.mapInArrow(run, schema)
 
 
 def window_features(poses: DataFrame, keys: list[str], min_conf: float = 0.5, min_frames: int = 3, min_coverage: float = 0.5, min_torso: int = 3, order: str = "mono_ts") -> DataFrame:
     """One row for each window (keys) with a usable pose: medians, extremes, coverage, support counts, what is missing,
     and whether to fall back to the boxes."""
     totals = poses.groupBy(*keys).agg(F.count("*").alias("n_frames_total"))
-    rows = settled(frame_features(poses, min_conf, min_torso).select(*keys, order, "scale", "quality", *posture.FEATURES, "centroid"))  # read twice below
+    rows = settled(frame_features(poses, min_conf, min_torso, [*keys, order]))  # read twice below
     at = F.when(F.col("scale").isNotNull(), F.col(order))
     base = rows.groupBy(*keys).agg(
         F.count("scale").alias("n_frames_valid"), (F.max(at) - F.min(at)).alias("dwell_duration_s"), F.percentile("scale", 0.5).alias("body_scale_px"),
