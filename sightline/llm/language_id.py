@@ -74,36 +74,66 @@ def longest(known: dict[str, int]) -> int:
     return max(map(len, known), default=1)
 
 
-_BEGINNINGS: dict[int, tuple[dict[str, int], dict[str, int]]] = {}
-
-
-def beginnings(known: dict[str, int]) -> dict[str, int]:
-    """All that pieces begin with: the piece it is, or -1."""
-    if _BEGINNINGS.get(id(known), (None,))[0] is not known:
-        found = {piece[:k]: -1 for piece in known for k in range(1, len(piece))} | known
-        _BEGINNINGS.clear()
-        _BEGINNINGS[id(known)] = known, found
-    return _BEGINNINGS[id(known)][1]
+@dataclass
+class Trie:
+    """All that pieces begin with: sorted (beginning, next character) keys, what they lead to, the piece that is, or -1,
+    and whether any piece goes on from there."""
+
+    keys: np.ndarray
+    target: np.ndarray
+    piece: np.ndarray
+    goes_on: np.ndarray
+
+
+_TRIES: dict[int, tuple[dict[str, int], Trie]] = {}
+#: Bits of a code point.
+CHARACTER = 21
+
+
+def trie(known: dict[str, int]) -> Trie:
+    if _TRIES.get(id(known), (None,))[0] is not known:
+        numbers, steps = {"": 0}, {}
+        for text in known:
+            for k in range(1, len(text) + 1):
+                here = numbers.setdefault(text[:k], len(numbers))
+                steps[numbers[text[: k - 1]] << CHARACTER | ord(text[k - 1])] = here
+        keys = np.array(sorted(steps), np.int64)
+        piece = np.full(len(numbers), -1)
+        piece[[numbers[t] for t in known]] = list(known.values())
+        goes_on = np.zeros(len(numbers), bool)
+        goes_on[keys >> CHARACTER] = True
+        _TRIES.clear()
+        _TRIES[id(known)] = known, Trie(keys, np.array([steps[k] for k in keys.tolist()], np.int64), piece, goes_on)
+    return _TRIES[id(known)][1]
 
 
 def spans(batch: list[str], known: dict[str, int], backward: bool = False) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """Of words of one length: (start, end, rows that have a piece there, their pieces), by start (falling, if
     backward). A word is looked at no further than a piece goes on with what it has there."""
-    marked = [MARK + w for w in batch]
-    get, n = beginnings(known).get, len(marked[0]) if marked else 0
+    if not batch:
+        return
+    t, n = trie(known), len(batch[0]) + 1
+    if not len(t.keys):  # no vocabulary: each character is unknown
+        for i in range(n - 1, -1, -1) if backward else range(n):
+            yield i, i + 1, np.arange(len(batch)), np.full(len(batch), UNKNOWN)
+        return
+    codes = np.frombuffer("".join(MARK + w for w in batch).encode("utf-32-le"), np.uint32).reshape(len(batch), n).astype(np.int64)
     for i in range(n - 1, -1, -1) if backward else range(n):
-        active, rows = marked, np.arange(len(marked))
+        rows, node = np.arange(len(batch)), np.zeros(len(batch), np.int64)
         for j in range(i + 1, n + 1):
-            ids = np.array([get(w[i:j], -2) for w in active])
+            key = node << CHARACTER | codes[rows, j - 1]
+            at = np.minimum(np.searchsorted(t.keys, key), len(t.keys) - 1)
+            hit = t.keys[at] == key
+            node = t.target[at]
+            ids = np.where(hit, t.piece[node], -1)
             if j == i + 1:
                 yield i, j, rows, np.where(ids < 0, UNKNOWN, ids)
             elif (whole := ids >= 0).any():
                 yield i, j, rows[whole], ids[whole]
-            on = np.flatnonzero(ids > -2)
-            if not len(on):
+            on = hit & t.goes_on[node]
+            rows, node = rows[on], node[on]
+            if not len(rows):
                 break
-            if len(on) < len(rows):
-                rows, active = rows[on], [active[k] for k in on.tolist()]
 
 
 def by_length(batch: list[str]) -> list[list[str]]:
