@@ -9,8 +9,8 @@ Keys have about log2(classes) - 4 bits, and as many tables are used as find a pa
 
 Defined cases: a vector that is null, empty or zero, or holds null or non-finite components, links with nothing, also
 not with its equals; vectors of different lengths never link; a null vec_id gets a row, is never kept and names no
-component unless it is alone; rows that repeat link to each other; an empty table gives an empty result; other columns
-are ignored.
+component unless it is alone; rows that repeat link to each other; a cosine of exactly the threshold links; of rows that
+share the smallest id of a component, each is kept; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations

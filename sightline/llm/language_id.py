@@ -13,8 +13,9 @@ The model is fitted on about SAMPLE_DOCS labelled documents of each language, ch
 there are fewer); at most MAX_LANGUAGES are learned, more is an error. All of each chosen text is used.
 
 Defined cases: a null text, or one without a letter, is `und` with score 0, and so is every text if nothing was
-labelled; a null lang is never learned; a null doc_id counts as the empty id; ties go to the first language in order;
-other columns are ignored.
+labelled; a null lang is never learned; a null doc_id counts as the empty id; very long texts are scored whole; rows that
+repeat are learned and scored one by one, alike; ties go to the first language in order; an empty table gives an empty
+result; other columns are ignored.
 """
 
 from __future__ import annotations

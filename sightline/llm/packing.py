@@ -7,8 +7,9 @@ needs of the corpus is the count for each length, 1,024 numbers at most; it give
 pieces look up. The result is that of best-fit decreasing.
 
 Defined cases: a null or empty text is the end token alone; rows that repeat are packed one by one; an empty table
-gives no pieces; an added token's string in a text (here <|endoftext|>) is that token, as in the library by default; other columns are
-ignored.
+gives no pieces; an added token's string in a text (here <|endoftext|>) is that token, as in the library by default;
+very long texts are encoded whole and cut into pieces of full length but for the first; pieces of one length go by a hash
+of their document, number and ids, then by these; other columns are ignored.
 """
 
 from __future__ import annotations

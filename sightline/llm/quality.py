@@ -8,7 +8,8 @@ are fewer). Every round, each shard takes one pass of AdaGrad steps from the sha
 
 Defined cases: a null text is empty and is scored by its statistics alone; a null label is not learned, of several
 labels of one document the mean counts; without labels every score is 0.5; a null n_chars is a feature of its own;
-a null doc_id counts as the empty id and has no label; other columns are ignored.
+a null doc_id counts as the empty id and has no label; very long texts are scored whole; rows that repeat are scored one
+by one, alike; a score of exactly 0.3 is predicted 1; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -129,6 +130,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOCS, roun
                 yield pa.RecordBatch.from_arrays([pa.array([after.tobytes()]), pa.array([len(mine)])], names=["theta", "n"])
 
         parts = sorted(rows.mapInArrow(step, "theta binary, n long").collect())  # a few shards' parameters
+        if not parts:  # none of the labelled documents is there
+            return np.zeros_like(theta)
         theta = sum(np.frombuffer(p, float).reshape(theta.shape) * n for p, n in parts) / sum(n for _, n in parts)
         shared.unpersist()
     return theta

@@ -7,8 +7,9 @@ is skipped, any other is compared by exclusive-or and bit counts. A task hands o
 never all pairs, and these are joined to connected components.
 
 Defined cases: a null text or one without words has fingerprint 0, which links like any other; a null doc_id gets a row
-but never names a component unless it holds null ids alone; rows that repeat share a component; an empty table gives
-an empty result; other columns are ignored.
+but never names a component unless it holds null ids alone; rows that repeat share a component; very long texts are taken
+whole; a bit set in exactly half of the hashes is 0; of several rows with the smallest id, one stays where one is to
+stay; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations

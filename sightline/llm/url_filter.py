@@ -4,7 +4,9 @@ A rule (verdict, host, path) fits its host and all subdomains where the URL's pa
 that fits decides. The classifier is trained from a small table of labelled URLs; more than MAX_LABELLED is an error.
 
 Defined cases: a null URL, or one without `://`, has an empty host and path and is judged by the classifier's bias;
-rows that repeat are judged one by one; other columns are ignored.
+URLs of any length are taken whole; rows that repeat are judged one by one; of rules that fit, the longest host and path
+decides, of equal ones the last in alphabetical order; a score of exactly 0.5 allows; an empty table gives an empty
+result, and without labelled URLs every score is 0.5; other columns are ignored.
 """
 
 from __future__ import annotations
