@@ -39,10 +39,16 @@ def retention_plan(events: DataFrame, cameras: DataFrame, now_s: float) -> DataF
     rows = events.join(cameras.select("camera_id", "retention_days", "max_bytes"), "camera_id")
     old = F.col("modified_s") < now_s - F.col("retention_days") * 86400.0
     rows = rows.withColumn("old_", F.coalesce(old, F.lit(False)))
-    left = F.when(~F.col("old_"), F.col("bytes")).otherwise(0)
-    oldest = Window.partitionBy("camera_id").orderBy("modified_s", "event_key")
-    before = F.coalesce(F.sum(left).over(oldest.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    total = F.sum(left).over(Window.partitionBy("camera_id"))
+    # Sums over a camera's history go by days: of all days before, one row each is needed.
+    day = F.coalesce(F.floor(F.col("modified_s") / 86400.0).cast("long"), F.lit(-(1 << 62)))
+    rows = rows.withColumns({"day_": day, "left_": F.when(~F.col("old_"), F.col("bytes")).otherwise(0)})
+    camera = Window.partitionBy("camera_id")
+    days = rows.groupBy("camera_id", "day_").agg(F.sum("left_").alias("n_"))
+    earlier = F.sum("n_").over(camera.orderBy("day_").rowsBetween(Window.unboundedPreceding, -1))
+    days = days.select("camera_id", "day_", F.coalesce(earlier, F.lit(0)).alias("earlier_"), F.sum("n_").over(camera).alias("total_"))
+    oldest = Window.partitionBy("camera_id", "day_").orderBy("modified_s", "event_key")
+    before = F.coalesce(F.sum("left_").over(oldest.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) + F.col("earlier_")
+    rows, total = rows.join(days, ["camera_id", "day_"]), F.col("total_")
     over = F.col("max_bytes").isNotNull() & (total - before > F.col("max_bytes"))
     return rows.withColumn("reason", F.when(F.col("old_"), "age").when(over, "size")).select(*events.columns, "reason")
 

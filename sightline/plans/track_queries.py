@@ -129,7 +129,7 @@ def a14_label_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     good, _ = labels.validated(labels.renewed_times(views.ranges(spark, sf_dir), views.clips(spark, sf_dir)))
     path = folder(spark, "labels")
-    good.write.partitionBy("clip").parquet(path)
+    metadata.write_labels(good, path)
     return spark.read.parquet(path).groupBy("clip").agg(F.count("*").alias("n_ranges"), F.min("start_frame").alias("first_frame"))
 
 

@@ -170,6 +170,12 @@ def write_events(events: DataFrame, path: str) -> None:
     events.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("camera_dir", "date_dir").parquet(path)
 
 
+def write_labels(ranges: DataFrame, path: str) -> None:
+    """The label table, clips side by side in files of ranges of clips: a filter on a clip reads the row groups that may
+    hold it, and no clip has a folder of its own."""
+    ranges.repartitionByRange("clip").sortWithinPartitions("clip", "start_frame").write.mode("overwrite").parquet(path)
+
+
 #: The columns of a manifest file.
 MANIFEST = ("crop_path", "dog_crop_path", "behavior", "dog", "track_id", "clip_id", "source_id", "date", "split", "matched")
 
