@@ -20,9 +20,9 @@ SLACK = 1e-9
 
 
 def raw_spans(samples: DataFrame, keys: list[str], merge_gap_s: float = MERGE_GAP_S, time: str = "time_s") -> DataFrame:
-    """Gaps and islands: one row for each run of a track's samples, with the samples' times in order."""
+    """Gaps and islands: one row for each run of a track's samples."""
     found = islands(samples, keys, time, merge_gap_s, "span_no")
-    return found.groupBy(*keys, "span_no").agg(F.min(time).alias("raw_start_s"), F.max(time).alias("raw_end_s"), F.count("*").alias("n_samples"), F.array_sort(F.collect_list(time)).alias("times_"))
+    return found.groupBy(*keys, "span_no").agg(F.min(time).alias("raw_start_s"), F.max(time).alias("raw_end_s"), F.count("*").alias("n_samples"))
 
 
 def spans(samples: DataFrame, keys: list[str], fps: float, total_frames: int | Column, merge_gap_s: float = MERGE_GAP_S, pad_s: float = PAD_S, min_len_s: float = MIN_LEN_S, max_len_s: float = MAX_LEN_S, time: str = "time_s") -> DataFrame:
@@ -43,10 +43,27 @@ def spans(samples: DataFrame, keys: list[str], fps: float, total_frames: int | C
         parts = F.when(F.col("b_") - F.col("a_") > max_len_s, cuts).otherwise(whole)
     else:
         parts = F.array(F.struct(F.col("a_").alias("start_s"), F.col("b_").alias("end_s")))
-    out = raw.select(*keys, "span_no", "times_", F.posexplode(parts).alias("part", "p_")).select(*keys, "span_no", "part", "p_.start_s", "p_.end_s", "times_")
+    out = raw.select(*keys, "span_no", F.posexplode(parts).alias("part", "p_")).select(*keys, "span_no", "part", "p_.start_s", "p_.end_s")
     near = lambda c: timebase.frame_nearest(F.col(c), rate, total)
-    held = F.size(F.filter("times_", lambda t: (t >= F.col("start_s") - SLACK) & (t <= F.col("end_s") + SLACK)))
-    return out.select(*keys, "span_no", "part", near("start_s").alias("start_frame"), F.greatest(near("start_s"), near("end_s")).alias("end_frame"), "start_s", "end_s", held.alias("n_samples"))
+    out = out.join(_held(samples, keys, merge_gap_s, pad_s, max_len_s, time, duration), [*keys, "span_no", "part"], "left")
+    return out.select(*keys, "span_no", "part", near("start_s").alias("start_frame"), F.greatest(near("start_s"), near("end_s")).alias("end_frame"), "start_s", "end_s", F.coalesce("held_", F.lit(0)).cast("int").alias("n_samples"))
+
+
+def _held(samples: DataFrame, keys: list[str], merge_gap_s: float, pad_s: float, max_len_s: float, time: str, duration: Column) -> DataFrame:
+    """keys, span_no, part, held_: how many samples each piece of a span holds. A sample tells its piece from where its
+    span begins; next to a cut, within SLACK, it is in both pieces."""
+    found = islands(samples, keys, time, merge_gap_s, "span_no")
+    begun = F.min(time).over(Window.partitionBy(*keys, "span_no").orderBy(time).rowsBetween(Window.unboundedPreceding, 0))
+    t = F.col(time)
+    rows = found.withColumn("a_", F.greatest(F.lit(0.0), F.least(duration, begun - pad_s))).filter((t >= F.col("a_") - SLACK) & (t <= duration + SLACK))
+    if max_len_s > 0:
+        part = F.floor((t - F.col("a_")) / max_len_s).cast("int")
+        over = t - F.col("a_") - part * max_len_s  # how far into the piece
+        mine = F.array(part, F.when(over <= SLACK, part - 1), F.when(max_len_s - over <= SLACK, part + 1))
+        rows = rows.withColumn("part", F.explode(F.filter(mine, lambda k: k >= 0)))
+    else:
+        rows = rows.withColumn("part", F.lit(0))
+    return rows.groupBy(*keys, "span_no", "part").agg(F.count("*").alias("held_"))
 
 
 def _by_trail(tracks: DataFrame, keys: list[str], seconds: float, time: str, added: str, each: Callable) -> DataFrame:
