@@ -119,8 +119,15 @@ def telemetry(calls: DataFrame, window: int = 2048) -> DataFrame:
         F.count("*").alias("total_calls"), *(F.count_if(F.col("outcome") == o).alias(f"n_{o}") for o in outcomes), F.count("latency_ms").alias("latency_count"), F.avg("latency_ms").alias("latency_mean"), F.min("latency_ms").alias("latency_min"), F.max("latency_ms").alias("latency_max"),
         *((F.sum(F.when(ok, F.col(c))) / F.nullif(F.count_if(ok), F.lit(0))).alias(f"mean_{c}") for c in ("mean_conf", "frac_ge", "n_keypoints")),
     )
-    latest = Window.partitionBy("source").orderBy(F.col("ts").desc(), F.col("call_id").desc())
-    last = calls.filter("latency_ms is not null").withColumn("r_", F.row_number().over(latest)).filter(F.col("r_") <= window)
+    # The last calls of a source: hours that are newer count as a whole, so only the hour that the window begins in is
+    # looked at call by call.
+    timed = calls.filter("latency_ms is not null").withColumn("hour_", F.floor(F.col("ts").cast("double") / 3600))
+    newer = Window.partitionBy("source").orderBy(F.col("hour_").desc_nulls_last()).rowsBetween(Window.unboundedPreceding, -1)
+    hours = timed.groupBy("source", "hour_").agg(F.count("*").alias("n_"))
+    hours = hours.select(F.col("source").alias("s_"), F.col("hour_").alias("h_"), F.coalesce(F.sum("n_").over(newer), F.lit(0)).alias("newer_")).filter(F.col("newer_") < window)
+    latest = Window.partitionBy("source", "hour_").orderBy(F.col("ts").desc(), F.col("call_id").desc())
+    last = timed.join(hours, F.col("source").eqNullSafe(F.col("s_")) & F.col("hour_").eqNullSafe(F.col("h_")))
+    last = last.withColumn("r_", F.row_number().over(latest) + F.col("newer_")).filter(F.col("r_") <= window)
     last = last.groupBy("source").agg(*(F.percentile("latency_ms", p / 100).alias(f"latency_p{p}") for p in (50, 95, 99)))
     return totals.join(last, "source", "left").withColumn("success_rate", F.col("n_success") / F.col("total_calls"))
 
