@@ -37,11 +37,15 @@ from .common import cut, release
 
 LENGTH, GRAM, SEED = 50, 20, 5
 LAST = (1 << 63) - 1
-#: Bytes of text hashed at once, and of text whose anchors a task brings together.
+#: Bytes of a long text's sections, and of text whose anchors a task brings together.
 SECTION, CHUNK = 1 << 18, 1 << 22
+#: Bytes after which sections are hashed: few enough for a core's cache.
+AT_ONCE = 1 << 16
 #: Grams are dealt in so many slices, one after another, each with a shuffle of its own: less disk, for hashing texts again.
 SLICES = 2
 _ENTRY = ("h", "c", "doc", "lo", "span", "off")
+_PLACE = 24  # bits of a hash that give way to a place
+_PLACES = np.uint64((1 << _PLACE) - 1)
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -60,6 +64,7 @@ class Thinner:
         self.byte = rng.integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
         self.base = int(rng.integers(1 << 62, 1 << 63)) | 1
         self.powers = self.inverses = np.ones(1, np.uint64)
+        self.places = np.zeros(1, np.uint64)
 
     def parts(self) -> list[tuple[int, int]]:
         """Offsets of an anchor in its windows, in three parts."""
@@ -74,42 +79,44 @@ class Thinner:
                 return np.multiply.accumulate(steps)
 
             self.powers, self.inverses = powers(self.base), powers(pow(self.base, -1, 1 << 64))
+            self.places = np.arange(n, dtype=np.uint64)
 
-    def anchors(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> dict[str, np.ndarray]:
-        """data: all bytes; starts, ends of the texts. h: anchor hash, c: hash of the stretch, doc, lo: first window
+    def anchors(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, slices: int = 1, mine: int = 0) -> dict[str, np.ndarray]:
+        """data: all bytes; starts, ends of the texts; of the anchors, one slice. h: anchor hash, c: hash of the stretch, doc, lo: first window
         of the run in its text, span: last window - lo, off: anchor - lo."""
         none = {k: np.zeros(0, np.uint64 if k in "hc" else np.int64) for k in _ENTRY}
         n, g, w = len(data), self.gram, self.width
-        if n < self.length:
+        inside = ends - starts >= self.length
+        if not inside.any():
             return none
+        if n > 1 << _PLACE:
+            raise ValueError(f"{n} bytes at once, more than {1 << _PLACE}")
         self.grow(n + 1)
-        x = self.byte[data]
-        summed = np.concatenate((np.zeros(1, np.uint64), np.cumsum(x * self.inverses[:n], dtype=np.uint64)))
+        summed = np.zeros(n + 1, np.uint64)
+        np.cumsum(np.take(self.byte, data) * self.inverses[:n], out=summed[1:])
         hashes = _mix((summed[g:] - summed[:-g]) * self.powers[: n - g + 1])
-        values, places, reach = hashes, np.arange(len(hashes), dtype=np.int64), 1
-        while reach < w:  # least hash, then first place, of the next `reach` strings
+        # least hash, then first place, of the next `reach` strings: the place stands in the hash's last bits
+        least, reach = hashes & ~_PLACES | self.places[: len(hashes)], 1
+        while reach < w:
             step = min(reach, w - reach)
-            left = values[:-step] <= values[step:]
-            places = np.where(left, places[:-step], places[step:])
-            values = np.where(left, values[:-step], values[step:])
+            least = np.minimum(least[:-step], least[step:])
             reach += step
-        inside = ends - starts >= self.length
-        starts, ends, docs = starts[inside], ends[inside], np.flatnonzero(inside)
-        counts = ends - starts - self.length + 1
-        if not len(counts):
-            return none
-        doc = np.repeat(np.arange(len(docs)), counts)
-        first = np.concatenate(([0], counts.cumsum()[:-1]))
-        windows = np.arange(len(doc)) - first[doc] + starts[doc]
-        at = places[windows]
-        new = np.concatenate(([True], (at[1:] != at[:-1]) | (doc[1:] != doc[:-1])))
+        docs, starts, last = np.flatnonzero(inside), starts[inside], ends[inside] - self.length
+        new = np.concatenate(([True], least[1:] != least[:-1]))
+        new[starts] = True
         heads = np.flatnonzero(new)
-        tails = np.concatenate((heads[1:], [len(doc)])) - 1
-        lo, hi, anchor, of = windows[heads], windows[tails], at[heads], doc[heads]
+        of = np.searchsorted(starts, heads, "right") - 1
+        tails = np.minimum(np.concatenate((heads[1:], [len(least)])) - 1, last[of])
+        anchor = (least[heads] & _PLACES).astype(np.int64)
+        # least hashes are all small: mixed again, they spread evenly
+        h = _mix(hashes[anchor] + np.uint64(0x632BE59BD9B4E019))
+        own = (of >= 0) & (heads <= tails)  # what begins over a text's end is no window
+        if slices > 1:
+            own &= (h >> np.uint64(32) & np.uint64(0xFFFF)) % np.uint64(slices) == mine
+        h, lo, hi, anchor, of = h[own], heads[own], tails[own], anchor[own], of[own]
         stretch = (summed[hi + self.length] - summed[lo]) * self.powers[lo]
         shape = (hi - lo).astype(np.uint64) * np.uint64(256) + (anchor - lo).astype(np.uint64)
-        # least hashes are all small: mixed again, they spread evenly
-        return {"h": _mix(hashes[anchor] + np.uint64(0x632BE59BD9B4E019)), "c": _mix(stretch ^ _mix(shape + np.uint64(1))), "doc": docs[of], "lo": lo - starts[of], "span": hi - lo, "off": anchor - lo}
+        return {"h": h, "c": _mix(stretch ^ _mix(shape + np.uint64(1))), "doc": docs[of], "lo": lo - starts[of], "span": hi - lo, "off": anchor - lo}
 
 
 #: What a row says of its windows: met in the shuffle by its gram; repeated; in doubt; only stands for others.
@@ -125,6 +132,17 @@ def _rows(gram, stretch, ids, rid, place):
     return pa.RecordBatch.from_arrays([pa.array(x) for x in (gram, stretch, ids, rid, place)], names=["gram", "stretch", "id", "rid", "place"])
 
 
+def _order(rows: list[np.ndarray]) -> np.ndarray:
+    """np.lexsort by the first column, then the next; only rows that share the first are sorted by the rest."""
+    order = np.argsort(rows[0])
+    first = rows[0][order]
+    same = np.concatenate(([False], first[1:] == first[:-1], [False]))
+    at = np.flatnonzero(same[1:] | same[:-1])
+    shared = order[at]
+    order[at] = shared[np.lexsort([x[shared] for x in rows[::-1]])]
+    return order
+
+
 class Meeting:
     """Entries sorted by (gram, stretch, id, rid, place), batch by batch: which repeat the stretch of a smaller id, and
     which meet another document's in their gram. Between batches it keeps the last row and, of a gram that one id alone
@@ -173,7 +191,7 @@ def _thin(length: int, gram: int, section: int, chunk: int, slices: int = 1, min
         rid, ids = np.array(rid, np.int64), np.array(ids, np.int64)
         key = (found["h"] >> np.uint64(16) << np.uint64(16) | found["span"].astype(np.uint64) << np.uint64(8) | found["off"].astype(np.uint64)).view(np.int64)
         rows = [key, found["c"].view(np.int64), ids[found["doc"]], rid[found["doc"]], found["lo"]]
-        order = np.lexsort(rows[::-1])
+        order = _order(rows)
         met = Meeting()
         rows, over, doubt, same = met.meet([x[order] for x in rows])
         kind = np.where(over, REPEATED, np.where(doubt, DOUBT, ENTRY))
@@ -188,6 +206,8 @@ def _thin(length: int, gram: int, section: int, chunk: int, slices: int = 1, min
             two = np.concatenate((at[heads], at[np.minimum.reduceat(other, heads)]))
             yield _rows(*(x[two] for x in rows[:4]), rows[4][two] + (STANDS << _KIND))
 
+    section = min(section, 1 << _PLACE - 1)
+
     def run(batches):
         thinner = _THINNERS.setdefault((length, gram), Thinner(length, gram))
         rid, ids, found, size = [], [], [], 0
@@ -196,10 +216,7 @@ def _thin(length: int, gram: int, section: int, chunk: int, slices: int = 1, min
         def hashed():
             lengths = np.array([len(x[2]) for x in parts], np.int64)
             ends = lengths.cumsum()
-            new = thinner.anchors(np.frombuffer(b"".join(x[2] for x in parts), np.uint8), ends - lengths, ends)
-            if slices > 1:
-                own = new["h"] >> np.uint64(32) & np.uint64(0xFFFF)
-                new = {k: v[own % np.uint64(slices) == mine] for k, v in new.items()}
+            new = thinner.anchors(np.frombuffer(b"".join(x[2] for x in parts), np.uint8), ends - lengths, ends, slices, mine)
             new["lo"] = new["lo"] + np.array([x[1] for x in parts], np.int64)[new["doc"]]
             new["doc"] = np.array([x[0] for x in parts], np.int64)[new["doc"]]
             found.append(new)
@@ -212,7 +229,7 @@ def _thin(length: int, gram: int, section: int, chunk: int, slices: int = 1, min
                     parts.append((len(rid) - 1, at, bytes(text[at : at + section + length - 1])))
                     waiting += len(parts[-1][2])
                     size += len(parts[-1][2])
-                    if waiting >= section:
+                    if waiting >= min(section, AT_ONCE):
                         hashed()
                         parts, waiting = [], 0
                     if size >= chunk:
@@ -228,19 +245,21 @@ def _thin(length: int, gram: int, section: int, chunk: int, slices: int = 1, min
     return run
 
 
-_SPANS = "kind int, id long, rid long, lo long, hi long, anchor long"
+_SPANS = "kind int, id long, rid long, run long"
 
 
 def _met(batches):
-    """Rows sorted by gram, to repeated and doubtful runs of windows lo to hi. What chunks have settled passes through."""
+    """Rows sorted by gram, to repeated and doubtful runs of windows: the first window's place, 8 bits of how many more, 8
+    of the anchor's offset. What chunks have settled passes through."""
     import pyarrow as pa
 
     meeting = Meeting()
 
     def spans(kind, rows):
         gram, _, ids, rid, place = rows
-        lo = place & (1 << _KIND) - 1
-        return pa.RecordBatch.from_arrays([pa.array(np.broadcast_to(np.int32(kind), len(lo)) if np.isscalar(kind) else kind.astype(np.int32)), pa.array(ids), pa.array(rid), pa.array(lo), pa.array(lo + (gram >> 8 & 255)), pa.array(lo + (gram & 255))], names=["kind", "id", "rid", "lo", "hi", "anchor"])
+        run = (place & (1 << _KIND) - 1) << 16 | gram & 0xFFFF
+        kind = np.full(len(run), kind, np.int32) if np.isscalar(kind) else kind.astype(np.int32)
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in (kind, ids, rid, run)], names=["kind", "id", "rid", "run"])
 
     for batch in batches:
         rows = [c.to_numpy() for c in batch.columns]
@@ -266,6 +285,7 @@ def _squeezed(batches):
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.binary())], names=["id", "rid", "data"])
 
 
+_TAGS = [bytes([k]) for k in range(3)]  # of the parts
 _CORES = "id long, rid long, anchor long, lo long, hi long, part int, rank binary, before binary, after binary"
 
 
@@ -277,27 +297,42 @@ def _cores(length: int, parts: list[tuple[int, int]]):
         import zstandard
         from xxhash import xxh3_128_digest
 
-        kinds = [*[pa.int64()] * 5, pa.int32(), *[pa.binary()] * 3]
         names = [f.split()[0] for f in _CORES.split(", ")]
-        open_up, out, last = zstandard.ZstdDecompressor().decompress, [[] for _ in kinds], None
-        flush = lambda: pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], names=names)
-        for batch in batches:
-            for i, rid, data, runs in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3), strict=True):
-                if last == (i, rid):  # the same row again
+        near, far = np.array(parts).T
+        open_up, last = zstandard.ZstdDecompressor().decompress, None
+        for whole in batches:
+            # as many texts at once as have some thousand runs
+            ends = np.asarray(whole.column(3).value_lengths()).cumsum()
+            cuts = [0, *(np.flatnonzero(np.diff(ends // 8192)) + 1).tolist(), len(ends)]
+            for batch in (whole.slice(x, y - x) for x, y in zip(cuts, cuts[1:], strict=False)):
+                ids, rids = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+                if not len(ids):
+                    continue
+                again = np.concatenate(([last == (ids[0], rids[0])], (ids[1:] == ids[:-1]) & (rids[1:] == rids[:-1])))  # the same row again
+                last = ids[-1], rids[-1]
+                text_of = np.repeat(np.arange(len(ids)), np.asarray(batch.column(3).value_lengths()))
+                packed = batch.column(3).flatten().to_numpy()
+                lo = (packed >> 16)[:, None]
+                hi, anchor = lo + (packed >> 8 & 255)[:, None], lo + (packed & 255)[:, None]
+                first, end = np.maximum(lo, anchor - far), np.minimum(hi, anchor - near)
+                fine = (first <= end) & ~again[text_of][:, None]
+                at, part = np.nonzero(fine)
+                if not len(at):
                     continue
-                last, text = (i, rid), open_up(data.as_buffer())
-                for lo, hi, anchor in zip(*(runs.values.field(k).to_pylist() for k in ("lo", "hi", "anchor")), strict=True):
-                    for part, (near, far) in enumerate(parts):
-                        first, end = max(lo, anchor - far), min(hi, anchor - near)
-                        if first <= end:
-                            a, b = anchor - near, anchor - far + length
-                            row = (i, rid, anchor, first, end, part, xxh3_128_digest(text[a:b]) + bytes([part]), text[max(0, a - far + near) : a], text[b : b + far - near])
-                            for column, x in zip(out, row, strict=True):
-                                column.append(x)
-                if len(out[0]) >= 20_000:
-                    yield flush()
-                    out = [[] for _ in kinds]
-        yield flush()
+                anchor, of, extra = anchor[at, 0], text_of[at], (far - near)[part]
+                a = anchor - near[part]
+                b = anchor - far[part] + length
+                slices = list(zip(part.tolist(), np.maximum(0, a - extra).tolist(), a.tolist(), b.tolist(), (b + extra).tolist(), strict=True))
+                ranks, before, after = [], [], []
+                heads = np.flatnonzero(np.concatenate(([True], of[1:] != of[:-1]))).tolist()
+                for x, y in zip(heads, [*heads[1:], len(of)], strict=True):
+                    text = open_up(batch.column(2)[int(of[x])].as_buffer())
+                    for k, p, q, r, t in slices[x:y]:
+                        ranks.append(xxh3_128_digest(text[q:r]) + _TAGS[k])
+                        before.append(text[p:q])
+                        after.append(text[r:t])
+                numbers = (ids[of], rids[of], anchor, first[fine], end[fine], part.astype(np.int32))
+                yield pa.RecordBatch.from_arrays([*map(pa.array, numbers), *(pa.array(x, pa.binary()) for x in (ranks, before, after))], names=names)
 
     return run
 
@@ -330,10 +365,9 @@ def _removed(length: int):
                 text = open_up(data.as_buffer().to_pybytes()) if data.is_valid and len(data.as_buffer()) else b""
                 kept, gone, runs, end = [], 0, 0, 0
                 if spans.is_valid and len(spans.values):
-                    lo = spans.values.field("lo").to_numpy()
-                    hi = spans.values.field("hi").to_numpy() + length
-                    order = np.argsort(lo, kind="stable")
-                    lo, far = lo[order], np.maximum.accumulate(hi[order])
+                    packed = np.sort(spans.values.to_numpy())
+                    lo = packed >> 8
+                    far = np.maximum.accumulate(lo + (packed & 255) + length)
                     heads = np.flatnonzero(np.concatenate(([True], lo[1:] > far[:-1])))
                     for a, b in zip(lo[heads].tolist(), far[np.concatenate((heads[1:], [len(lo)])) - 1].tolist(), strict=True):
                         kept.append(text[end:a])
@@ -362,10 +396,11 @@ def repeated_spans(texts: DataFrame, length: int = LENGTH, gram: int = GRAM, sec
         runs.append(cut(thinned(mine).mapInArrow(_met, _SPANS)))
         release(texts.sparkSession)
     runs = reduce(DataFrame.unionByName, runs)
-    doubt = lambda: runs.filter(F.col("kind") == DOUBT).groupBy("id", "rid").agg(F.collect_list(F.struct("lo", "hi", "anchor")).alias("runs"))
+    doubt = lambda: runs.filter(F.col("kind") == DOUBT).groupBy("id", "rid").agg(F.collect_list("run").alias("runs"))
     cores = cut(_squeezed_texts(texts).join(doubt(), ["id", "rid"]).select("id", "rid", "data", "runs").mapInArrow(_cores(length, parts), _CORES))
     release(texts.sparkSession)
-    found = [runs.filter(F.col("kind") == REPEATED).select("id", "rid", "lo", "hi")]
+    lo = F.shiftright("run", 16)
+    found = [runs.filter(F.col("kind") == REPEATED).select("id", "rid", lo.alias("lo"), (lo + F.shiftright("run", 8).bitwiseAND(255)).alias("hi"))]
     for part, (near, far) in enumerate(parts):
         windows = cut(longer(with_rivals(cores.filter(F.col("part") == part)), near, far))
         last = with_rivals(windows).filter("id > first")
@@ -380,6 +415,6 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     hash of its text, whose last bit says that the id is null; its spans are collected beside it, at most as many as it has windows."""
     text = F.encode(F.coalesce(F.col(text_col), F.lit("")), "UTF-8")
     rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)).alias("id"), F.xxhash64(text).bitwiseAND(-2).bitwiseOR(F.col(id_col).isNull().cast("long")).alias("rid"), text.alias("text"))
-    spans = repeated_spans(rows, length, gram, **how).groupBy("id", "rid").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
+    spans = repeated_spans(rows, length, gram, **how).groupBy("id", "rid").agg(F.collect_list(F.shiftleft("lo", 8).bitwiseOR(F.col("hi") - F.col("lo"))).alias("spans"))
     joined = _squeezed_texts(rows).join(spans, ["id", "rid"], "left").select("rid", F.when(F.col("rid").bitwiseAND(1) == 0, F.col("id")).alias("doc_id"), "data", "spans")
     return joined.mapInArrow(_removed(length), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
