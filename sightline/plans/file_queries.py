@@ -26,8 +26,9 @@ def iso(seconds: Column) -> Column:
 def event_files(spark: SparkSession, sf_dir: str) -> str:
     """An event for each block of a camera: every fifth without an id, every seventh broken, every eleventh no object."""
     rows = views.ranges(spark, sf_dir)
-    number = F.col("clip") * 100 + F.col("blk")
-    start = F.lit(1_700_000_000) + F.col("clip") * 86_400 + F.col("start_s")
+    clip = F.col("clip").cast("long")  # seconds of all clips pass an int
+    number = clip * 100 + F.col("blk")
+    start = F.lit(1_700_000_000) + clip * 86_400 + F.col("start_s")
     about = F.to_json(F.struct(
         F.when(number % 5 != 0, F.concat(F.lit("id"), number.cast("string"))).alias("event_id"), F.concat(F.lit("cam"), F.col("clip").cast("string")).alias("camera_id"), F.lit("src").alias("sanitized_source_id"),
         iso(start).alias("utc_ts"), F.when(F.col("blk") % 2 == 0, F.lit("unknown")).otherwise(F.lit("pee")).alias("label"), F.lit("not a number").alias("source_start_s"),

@@ -106,3 +106,17 @@ def test_a_long_chain_takes_few_rounds(spark, monkeypatch):
     links = [(k + 1, k) for k in range(n)]
     found = spans.overruled(spark.createDataFrame(links, "late long, early long")).collect()
     assert sorted(x.node for x in found) == list(range(1, n + 1, 2)) and rounds[0] <= 20
+
+
+def test_event_files_of_late_clips(spark, tmp_path):
+    """Clips whose seconds (from 5,180 on) or days (from 24,856 on) pass an int."""
+    from sightline.plans import catalog
+
+    clips = (1, 3, 5200, 25000)
+    rows = [(1000 * c + 60 * b + k, 1, 5.0) for c in clips for b in range(3) for k in (0, 9)]
+    spark.createDataFrame(rows, "l_orderkey long, l_linenumber int, l_quantity double").write.parquet(f"{tmp_path}/lineitem.parquet")
+    want = {(f"Cam{c}", f"e{100 * c + b:08d}", 1_700_000_000.0 + 86_400 * c + 12 * b) for c in clips for b in range(3) if (100 * c + b) % 7 and (100 * c + b) % 11}
+    for name in ("a1_event_scan", "a1_event_tree"):
+        assert {(r.camera_dir, r.dir_name, r.start_s) for r in catalog.queries()[name](spark, str(tmp_path)).collect()} == want
+    some = {r.dir_name for r in catalog.queries()["a1_some_cameras"](spark, str(tmp_path)).collect()}
+    assert some == {n for c, n, _ in want if c == "Cam3"} and {c for c, _, _ in want} == {f"Cam{c}" for c in clips}
