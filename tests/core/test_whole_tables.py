@@ -200,3 +200,31 @@ def test_one_iou_is_that_of_all_pairs():
     boxes = rng.integers(0, 20, (40, 4)).astype(float)
     every = tracking.overlaps(boxes, boxes)[0]
     assert all(tracking.iou(a, b) == every[i, j] for i, a in enumerate(boxes.tolist()) for j, b in enumerate(boxes.tolist()))
+
+
+def test_frame_times_take_time_in_proportion(spark):
+    """One clip of 12,000 frames: the normalised times are computed once, and not again for each of them."""
+    import threading
+
+    from pyspark.sql import functions as F
+
+    from sightline.functions import timebase
+
+    n = 12000
+    times = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: i / 5.0 + i % 7 / F.lit(100.0) + F.col("id"))
+    spark.sparkContext.setJobGroup("frame times", "frame times", True)
+    stop = threading.Timer(60, lambda: spark.sparkContext.cancelJobGroup("frame times"))
+    stop.start()
+    try:
+        rows = spark.range(1, 2).select(times.alias("t")).select(timebase.normalised_times(F.col("t")).alias("fine"), timebase.uneven_times(F.col("t"), F.lit(5.0)).alias("uneven"), timebase.clip_times(F.col("t"), F.lit(10), F.lit(n - 1)).alias("part"))
+        (row,) = rows.collect()
+    finally:
+        stop.cancel()
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    plain = [i / 5 + i % 7 / 100 + 1 for i in range(n)]
+    assert row.fine == row.uneven == [pytest.approx(t - 1, abs=1e-9) for t in plain] and row.part == [pytest.approx(t - plain[10], abs=1e-9) for t in plain[10:]]
+    odd = spark.createDataFrame([([],), (None,), ([2.0],), ([1.0, 1.2, 1.4],)], "t array<double>").select(timebase.normalised_times(F.col("t")).alias("fine"), timebase.uneven_times(F.col("t"), F.lit(5.0)).alias("uneven"), timebase.clip_times(F.col("t"), F.lit(1), F.lit(2)).alias("part"))
+    assert [tuple(r) for r in odd.collect()] == [([], None, None), (None, None, None), ([0.0], None, None), ([0.0, 0.2, 0.4], None, [0.0, 0.2])]
+    for bad in ([0.0, float("nan")], [0.0, 1.0, 0.5], [0.0, None]):
+        with pytest.raises(Exception, match="finite"):
+            spark.createDataFrame([(bad,)], "t array<double>").select(timebase.normalised_times(F.col("t"))).collect()
