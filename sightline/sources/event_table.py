@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import keys
-from ..lineage import settled
+from ..lineage import settled, stored
 from ..operators import reconcile
 
 PARTS = ["camera_dir", "date_dir"]
@@ -51,14 +51,14 @@ def change(spark: SparkSession, path: str, removed: DataFrame | None = None, wri
     go there first, under stamp."""
     table = read(spark, path)
     gone = table.limit(0).select("event_key") if removed is None else removed.select("event_key").distinct()
-    gone = settled(gone)
-    fresh = settled(table.limit(0) if written is None else written.select(*table.columns))
-    leaving = settled(table.join(gone, "event_key", "left_semi"))
+    gone = stored(gone)
+    fresh = stored(table.limit(0) if written is None else written.select(*table.columns))
+    leaving = stored(table.join(gone, "event_key", "left_semi"))
     replaced = table.join(fresh.select("event_key"), "event_key", "left_semi")
-    touched = settled(leaving.select(*PARTS).unionByName(fresh.select(*PARTS)).unionByName(replaced.select(*PARTS)).distinct())
+    touched = stored(leaving.select(*PARTS).unionByName(fresh.select(*PARTS)).unionByName(replaced.select(*PARTS)).distinct())
     out = gone.unionByName(fresh.select("event_key")).distinct()
     rows = table.join(touched, PARTS, "left_semi").join(out, "event_key", "left_anti").select(*table.columns).unionByName(fresh)
-    rows = settled(rows)
+    rows = stored(rows)
     if trash is not None:
         bin_ = f"{trash}/trashed_at={stamp}"
         leaving.repartition(*PARTS).write.mode("overwrite").partitionBy(*PARTS).parquet(bin_)
@@ -148,7 +148,7 @@ def record(spark: SparkSession, path: str, new: DataFrame, tolerance_s: float) -
     """Settles a run's new events (whole rows and seq) against the table: see reconcile.recorded. What the run changes is
     written down first (in path-runs, by what the run holds), so a run that broke off goes on as it was meant, and one
     that was applied is not applied again."""
-    new = settled(new)
+    new = stored(new)
     n, total = new.agg(F.count("*"), F.sum(F.xxhash64(*new.columns).cast("decimal(38,0)"))).first()
     intent = f"{path}-runs/{n}-{total or 0}"
     if exists(spark, f"{intent}/done"):
