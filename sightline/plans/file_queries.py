@@ -195,7 +195,7 @@ def k6_feed_for_ever(spark: SparkSession, sf_dir: str) -> DataFrame:
     path, out, state = folder(spark, "feed"), folder(spark, "fed"), folder(spark, "state")
     rows.unionByName(rows.filter("event_key % 3 = 0")).write.mode("append").parquet(path)
     known = rows.filter("event_key % 4 = 0").select("event_id")
-    feed = release.new_once(spark.readStream.schema(rows.schema).parquet(path), known)
+    feed = release.new_once(spark.readStream.schema(rows.schema).parquet(path), known, kept=folder(spark, "known"))
     release.run_to_end(feed, out, state)
     rows.withColumn("recorded_s", F.col("recorded_s") + 86_400).write.mode("append").parquet(path)
     release.run_to_end(feed, out, state)

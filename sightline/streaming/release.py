@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import StringType, StructField, StructType
 
+from ..sources.event_table import exists
+
 STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 DUE, SHUTDOWN = "due", "shutdown"
 
@@ -124,9 +126,18 @@ class _Seen(StatefulProcessor):
         pass
 
 
-def new_once(events: DataFrame, known: DataFrame | None = None, key: str = "event_id") -> DataFrame:
+def new_once(events: DataFrame, known: DataFrame | None = None, key: str = "event_id", kept: str | None = None) -> DataFrame:
     """The events of a stream whose ids were neither known at its first start nor seen since, restarts included. Of an
-    id's rows in one batch, one."""
-    stateful(events.sparkSession)
-    start = None if known is None else known.select(key).distinct().groupBy(key)
-    return events.groupBy(key).transformWithState(_Seen(), events.schema, "append", "none", start)
+    id's rows in one batch, one. kept: a folder that belongs to the checkpoint as long as it lives; ids known at the
+    first start are written there and looked up by a join, and ids are told apart without a call of Python for each.
+    Without it, known ids become the state's first entries, id by id. A checkpoint goes on the way it was begun."""
+    spark = events.sparkSession
+    stateful(spark)
+    if known is not None and kept is None:
+        return events.groupBy(key).transformWithState(_Seen(), events.schema, "append", "none", known.select(key).distinct().groupBy(key))
+    if known is not None:
+        if not exists(spark, f"{kept}/_SUCCESS"):
+            known.select(key).distinct().write.mode("overwrite").parquet(kept)
+        ids = spark.read.schema(known.select(key).schema).parquet(kept).withColumnRenamed(key, "known_")
+        events = events.join(ids, events[key].eqNullSafe(ids["known_"]), "left_anti")
+    return events.dropDuplicates([key])

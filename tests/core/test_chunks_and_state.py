@@ -163,3 +163,21 @@ def test_feed_never_repeats(spark, tmp_path):
         release.run_to_end(feed, f"{tmp_path}/out", f"{tmp_path}/state")
         seen.append(sorted(r.event_id for r in spark.read.parquet(f"{tmp_path}/out").collect()))
     assert seen == [["a", "b"], ["a", "b", "c"], ["a", "b", "c", "d"]]
+
+
+def test_feed_with_kept_ids_never_repeats(spark, tmp_path, monkeypatch):
+    """No id goes through Python; what is known later than at the first start is fed all the same."""
+    monkeypatch.setattr(release, "_Seen", None)
+    frame = lambda ids: spark.createDataFrame([(i,) for i in ids], "event_id string")
+    seen, known = [], ["known", "known", None]
+    for ids_ in (["a", "b", "b", "known", None], ["a", "c", "known"], ["b", "known", "d", "d", None]):
+        frame(ids_).write.mode("append").parquet(f"{tmp_path}/in")
+        feed = release.new_once(spark.readStream.schema("event_id string").parquet(f"{tmp_path}/in"), frame(known), kept=f"{tmp_path}/known")
+        release.run_to_end(feed, f"{tmp_path}/out", f"{tmp_path}/state")
+        seen.append(sorted(r.event_id for r in spark.read.parquet(f"{tmp_path}/out").collect()))
+        known = ["known", "d"]
+    assert seen == [["a", "b"], ["a", "b", "c"], ["a", "b", "c", "d"]]
+    frame(["a", None, None, "a"]).write.parquet(f"{tmp_path}/more")
+    feed = release.new_once(spark.readStream.schema("event_id string").parquet(f"{tmp_path}/more"))
+    release.run_to_end(feed, f"{tmp_path}/out2", f"{tmp_path}/state2")
+    assert sorted(map(str, spark.read.schema("event_id string").parquet(f"{tmp_path}/out2").collect())) == ["Row(event_id='a')", "Row(event_id=None)"]
