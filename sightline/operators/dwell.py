@@ -8,6 +8,7 @@ streams.
 from __future__ import annotations
 
 import copy
+import itertools
 import math
 from collections import deque
 from collections.abc import Sequence
@@ -18,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .chunked import CHUNK, by_chunk
-from .tracking import located, overlaps
+from .tracking import iou, located, overlaps
 
 EVENTS = "source string, segment long, start_mono double, end_mono double, start_frame long, end_frame long, primary_track_id string, track_ids array<string>, n_detections long, multi boolean, ambiguous boolean, near_miss boolean, stationary_duration_s double, dwell_duration_s double, confidence double"
 IDLE, WATCHING, CANDIDATE = "idle", "watching", "candidate"
@@ -98,8 +99,11 @@ class Machine:
         seen["tracks"] |= {p.track for p in current}
         if len(seen["tracks"]) > 1:
             seen["multi"] = seen["ambiguous"] = True
-        if len(boxes) > 1 and (np.triu(overlaps(boxes, boxes)[0], 1) >= AMBIGUOUS_IOU).any():
-            seen["ambiguous"] = True
+        if len(boxes) > 1 and not seen["ambiguous"]:
+            if len(boxes) <= 4:  # plain numbers are quicker
+                seen["ambiguous"] = any(iou(a, b) >= AMBIGUOUS_IOU for a, b in itertools.combinations(boxes.tolist(), 2))
+            else:
+                seen["ambiguous"] = bool((np.triu(overlaps(boxes, boxes)[0], 1) >= AMBIGUOUS_IOU).any())
 
     def weigh(self, mono: float, current: list[Posture]) -> None:
         still = [p for p in current if p.stationary]
@@ -138,7 +142,7 @@ def track_order(track: str) -> tuple[int, str]:
     return (int(track), track) if track.lstrip("-").isdigit() else (0, track)
 
 
-def _apart(x: float, y: float) -> float:
+def apart(x: float, y: float) -> float:
     return math.sqrt(x * x + y * y)
 
 
@@ -154,11 +158,11 @@ class Trails:
     def take(self, track: str, mono: float, box: Sequence[float]) -> Posture:
         x1, y1, x2, y2 = box
         trail = self.recent.setdefault(track, deque())
-        trail.append((mono, (x1 + x2) / 2, (y1 + y2) / 2, _apart(max(x2 - x1, 0.0), max(y2 - y1, 0.0))))
+        trail.append((mono, (x1 + x2) / 2, (y1 + y2) / 2, apart(max(x2 - x1, 0.0), max(y2 - y1, 0.0))))
         while trail[0][0] < mono - self.window:
             trail.popleft()
         begun, x, y, _ = trail[0]
-        motion = max(_apart(p[1] - x, p[2] - y) for p in trail)
+        motion = max(apart(p[1] - x, p[2] - y) for p in trail)
         diagonals = sorted(p[3] for p in trail)
         span = max(0.0, mono - begun)
         covered = span >= self.window - self.tolerance and len(trail) >= 2

@@ -21,6 +21,8 @@ from .release import stateful
 from .sightings import EVENTS, Live
 
 BOXES = "array<array<double>>"
+#: Frames that one call puts into the state.
+TOGETHER = 4096
 #: The parts of a source's state.
 WAITING = f"wall_ms long, frame long, mono double, boxes {BOXES}, confidence array<double>"
 TRACK = f"place int, last array<double>, missed int, times array<double>, boxes {BOXES}"
@@ -50,13 +52,18 @@ class _Dwelling(StatefulProcessor):
         self.suppressed = handle.getMapState("suppressed", "track string", "until double")
 
     def handleInputRows(self, key: Any, rows: Iterator[Row], timerValues: Any) -> Iterator[Row]:
-        newest = None
+        newest, waiting = None, []
         for row in rows:
             wall = int(row["wall_ms"])
             newest = wall if newest is None else max(newest, wall)
             if row["frame_idx"] is not None:  # else the source only tells the time
                 boxes = row["boxes"] or []
-                self.waiting.appendValue((wall, row["frame_idx"], row["mono_ts"], [[b[c] for c in ("x1", "y1", "x2", "y2")] for b in boxes], [b["confidence"] for b in boxes]))
+                waiting.append((wall, row["frame_idx"], row["mono_ts"], [[b[c] for c in ("x1", "y1", "x2", "y2")] for b in boxes], [b["confidence"] for b in boxes]))
+                if len(waiting) >= TOGETHER:
+                    self.waiting.appendList(waiting)
+                    waiting = []
+        if waiting:
+            self.waiting.appendList(waiting)
         if newest is not None:
             self.handle.registerTimer(newest)
             self.handle.registerTimer(newest + self.idle_ms)
@@ -66,6 +73,8 @@ class _Dwelling(StatefulProcessor):
         now = timerValues.getCurrentWatermarkInMs()
         waiting = list(self.waiting.get())
         ready = sorted((w for w in waiting if w[0] <= now), key=lambda w: w[1])
+        if not ready and (waiting or not self.machine.exists()):
+            return  # nothing is due, and a source without a machine has nothing to end
         live, before = self._load()
         events = []
         for wall, frame, mono, boxes, confidence in ready:
@@ -94,7 +103,7 @@ class _Dwelling(StatefulProcessor):
             live.tracker.last.append(list(last))
             live.tracker.missed.append(missed)
             if times:
-                live.recent[track] = [(t, np.array(b)) for t, b in zip(times, boxes, strict=True)]
+                live.recent[track] = [(t, tuple(b)) for t, b in zip(times, boxes, strict=True)]
         machine = live.machine
         machine.runs = {k: v[0] for k, v in stored["runs"].items()}
         machine.until = {k: v[0] for k, v in stored["suppressed"].items()}

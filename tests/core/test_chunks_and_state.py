@@ -181,3 +181,17 @@ def test_feed_with_kept_ids_never_repeats(spark, tmp_path, monkeypatch):
     feed = release.new_once(spark.readStream.schema("event_id string").parquet(f"{tmp_path}/more"))
     release.run_to_end(feed, f"{tmp_path}/out2", f"{tmp_path}/state2")
     assert sorted(map(str, spark.read.schema("event_id string").parquet(f"{tmp_path}/out2").collect())) == ["Row(event_id='a')", "Row(event_id=None)"]
+
+
+def test_frames_go_into_the_state_together():
+    from unittest.mock import MagicMock
+
+    from sightline.streaming import dwelling
+
+    processor = dwelling._Dwelling(dwell.Settings(), 5.0, 5, 1000)
+    processor.handle, processor.waiting = MagicMock(), MagicMock()
+    box = {"x1": 1.0, "y1": 2.0, "x2": 3.0, "y2": 4.0, "confidence": 0.5}
+    rows = [{"wall_ms": k, "frame_idx": None if k == 7 else k, "mono_ts": k / 5, "boxes": [box] * (k % 3)} for k in range(2 * dwelling.TOGETHER)]
+    assert list(processor.handleInputRows(("s",), iter(rows), None)) == []
+    calls = processor.waiting.method_calls
+    assert len(calls) == 2 and [w[:3] for c in calls for w in c.args[0]] == [(k, k, k / 5) for k in range(len(rows)) if k != 7]
